@@ -1,0 +1 @@
+"""strandline.streaming"""
