@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.canon import canon_source_name
 from strandline.plans.tables import materialise
 
 MAX_TARGETS = 10_000
+HASH_CLASSES = 65_536
 
 
 def hash_uniform(*parts: Column) -> Column:
@@ -48,18 +49,28 @@ def document_sizes(documents: DataFrame, doc_id: str, tokens: Column, source: st
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: float | None = None) -> DataFrame:
     """(mix_name, doc_id, source, copy, tokens): each document floor(rate) times, and once more with the fraction's chance.
 
-    The extra copy is drawn from a hash of seed, mix and document, so the result does not depend on partitions or
-    retries. The rate never exceeds max_repeats, nor do the copies. Rows of equal doc_id get the same draw. Empty
+    The extra copy is drawn by a hash of seed, mix and document that is compared with a threshold, so the result does
+    not depend on partitions or retries. The threshold starts as the rate's fraction and is moved to where the tokens
+    drawn come closest to fraction · source tokens: a plain draw leaves small sources far from their share. It is found
+    from token sums in 65,536 hash classes per mix and source, never from a list of documents.
+
+    The rate never exceeds max_repeats, nor do the copies. Rows of equal doc_id get the same draw. Empty
     documents or targets give an empty result. ``sizes`` comes from ``document_sizes``.
     """
     plan = mix_plan(sizes, targets, total_tokens)
     spark = sizes.sparkSession
     # at most MAX_TARGETS rows, checked in mix_plan
-    rates = F.broadcast(spark.createDataFrame([(m, s, r) for m, s, _, _, _, r in plan if r > 0], "mix_name string, source string, rate double"))
-    each = sizes.join(rates, "source")
-    whole = F.floor("rate")
-    extra = F.when(hash_uniform(F.lit(seed), F.col("mix_name"), F.col("doc_id")) < F.col("rate") - whole, 1).otherwise(0)
-    each = each.withColumn("n", (whole + extra).cast("int")).where("n > 0")
+    rows = [(m, s, int(r), (r - int(r)) * n) for m, s, _, _, n, r in plan if r > 0]
+    rates = F.broadcast(spark.createDataFrame(rows, "mix_name string, source string, whole int, goal double"))
+    unit = F.floor(hash_uniform(F.lit(seed), F.col("mix_name"), F.col("doc_id")) * HASH_CLASSES).cast("int")
+    each = sizes.join(rates, "source").withColumn("unit", unit)
+    sums = each.groupBy("mix_name", "source", "unit").agg(F.sum("tokens").alias("t"), F.first("goal").alias("goal"))
+    upto = F.sum("t").over(Window.partitionBy("mix_name", "source").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0))
+    off = sums.withColumn("off", F.abs(upto - F.col("goal")))
+    best = off.groupBy("mix_name", "source").agg(F.min(F.struct("off", "unit")).alias("b"), F.first("goal").alias("goal"))
+    cut = best.select("mix_name", "source", F.when(F.col("b.off") < F.col("goal"), F.col("b.unit")).otherwise(-1).alias("cut"))
+    each = each.join(F.broadcast(cut), ["mix_name", "source"])  # one row per plan row, so bounded as the plan is
+    each = each.withColumn("n", F.col("whole") + F.when(F.col("unit") <= F.col("cut"), 1).otherwise(0)).where("n > 0")
     return each.select("mix_name", "doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "tokens")
 
 

@@ -124,9 +124,13 @@ have AS (SELECT source, sum(tokens) AS have FROM sizes GROUP BY 1),
 t AS (SELECT mix_name, {_SOURCE} AS source, target_share, max_repeats FROM mix_targets),
 tot AS (SELECT mix_name, min(max_repeats * have / target_share) AS total FROM t JOIN have USING (source) GROUP BY 1),
 plan AS (SELECT t.mix_name, t.source, t.target_share, coalesce(least(CAST(t.max_repeats AS DOUBLE), t.target_share * tot.total / h.have), 0) AS rate FROM t JOIN tot USING (mix_name) LEFT JOIN have h ON h.source = t.source),
-drawn AS (SELECT p.mix_name, s.doc_id, s.source, s.tokens, CAST(floor(p.rate) AS INTEGER) + CASE WHEN
-  CAST('0x' || substr(md5('0|' || p.mix_name || '|' || CAST(s.doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < p.rate - floor(p.rate) THEN 1 ELSE 0 END AS n
- FROM sizes s JOIN plan p ON p.source = s.source),
+each AS (SELECT p.mix_name, s.doc_id, s.source, s.tokens, CAST(floor(p.rate) AS INTEGER) AS whole, (p.rate - floor(p.rate)) * h.have AS goal,
+  CAST(floor(CAST('0x' || substr(md5('0|' || p.mix_name || '|' || CAST(s.doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 * 65536) AS INTEGER) AS unit
+ FROM sizes s JOIN plan p ON p.source = s.source JOIN have h ON h.source = s.source),
+sums AS (SELECT mix_name, source, unit, sum(tokens) AS t, min(goal) AS goal FROM each GROUP BY 1, 2, 3),
+offs AS (SELECT *, abs(sum(t) OVER (PARTITION BY mix_name, source ORDER BY unit ROWS UNBOUNDED PRECEDING) - goal) AS off FROM sums),
+cuts AS (SELECT mix_name, source, CASE WHEN min(off) < min(goal) THEN arg_min(unit, off) ELSE -1 END AS cut FROM offs GROUP BY 1, 2),
+drawn AS (SELECT e.mix_name, e.doc_id, e.source, e.tokens, whole + CASE WHEN unit <= cut THEN 1 ELSE 0 END AS n FROM each e JOIN cuts USING (mix_name, source)),
 mixed AS (SELECT mix_name, doc_id, source, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy, tokens FROM drawn WHERE n > 0)
 """
 
