@@ -1,5 +1,5 @@
 """Registry of queries: name -> (callable of (spark, sf_dir), DuckDB SQL or None)."""
 
-from strandline.queries import general, hmm, sfs, sites
+from strandline.queries import general, hmm, panel, sfs, sites
 
-REGISTRY = {**general.QUERIES, **sites.QUERIES, **hmm.QUERIES, **sfs.QUERIES}
+REGISTRY = {**general.QUERIES, **sites.QUERIES, **hmm.QUERIES, **sfs.QUERIES, **panel.QUERIES}
