@@ -165,7 +165,7 @@ SELECT sample, chrom, min(id) AS start, max(id) AS "end", max(id) - min(id) + 1
     ),
     "desert_overlap": (
         lambda s, d: TR.overlaps_any(tracts(s, d), genes(s, d).where("n < 4").select("chrom", "r_start", "r_end"), ["chrom"], ["sample", "chrom", "target", "type", "start", "end", "id", "id_end"], 5 * GENE).groupBy("chrom", "overlaps").agg(F.count(F.lit(1)).alias("n")),
-        f"WITH {_TR}, {_GENE}, o AS (SELECT t.chrom, EXISTS (SELECT 1 FROM g WHERE g.n < 4 AND g.chrom = t.chrom AND t.s <= g.re AND g.rs <= t.e) AS "overlaps" FROM t) SELECT chrom, "overlaps", count(*) AS n FROM o GROUP BY 1, 2",
+        f"""WITH {_TR}, {_GENE}, o AS (SELECT t.chrom, EXISTS (SELECT 1 FROM g WHERE g.n < 4 AND g.chrom = t.chrom AND t.s <= g.re AND g.rs <= t.e) AS "overlaps" FROM t) SELECT chrom, "overlaps", count(*) AS n FROM o GROUP BY 1, 2""",
     ),
     "tract_summary": (
         lambda s, d: TR.tract_summary(with_len(s, d), ["target", "type"], "sample", "len").select("target", "type", "n_samples", "n_tracts", r("mean_len"), r("total", 4), r("longest"), r("per_sample")),
