@@ -21,10 +21,10 @@ def with_block(df: DataFrame, order: str, block: int) -> DataFrame:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, block: int) -> DataFrame:
-    """``out`` = sum of ``value`` over rows of the same keys up to and including this one."""
+    """``out`` = sum of ``value`` over rows of the same keys up to and including this one; nulls count as 0."""
     df = with_block(df, order, block)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
-    local = df.withColumn(out, F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    local = df.withColumn(out, F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     per = df.groupBy(*keys, BLOCK).agg(F.sum(value).alias("__s"))
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
