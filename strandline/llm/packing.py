@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,6 +17,8 @@ CLASSES = 96
 DEPTH = 3
 SALTS = 64
 MAX_CAPACITY = 1 << 22
+#: Weight of a class in the least squares by its share of the capacity.
+WEIGHTS = (lambda s: np.where(s < 0.125, 0.09, 1.0), lambda s: np.maximum(s, 0.02), lambda s: np.maximum(s, 0.02) ** 3)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
@@ -77,6 +79,9 @@ class Pool:
             insort(self.rooms, room)
         self.groups[room].append((pattern, count))
 
+    def containers(self) -> int:
+        return sum(m for g in self.groups.values() for _, m in g)
+
     def pop(self, at: int) -> tuple[int, tuple, int]:
         room = self.rooms[at]
         pattern, count = self.groups[room].pop()
@@ -101,18 +106,29 @@ class Pool:
                 self.add(room, pattern, m)
 
 
-def _longest(queue: dict[int, list[int]], hist: np.ndarray, combo: tuple[int, ...]) -> dict[int, int]:
-    """Length -> items to take for one container of ``combo``, the longest of each class first; empty if a class runs out."""
+def _fill(queue: dict[int, list[int]], hist: np.ndarray, left: list[int], combo: tuple[int, ...], capacity: int) -> dict[int, int]:
+    """Length -> items to take for one container of ``combo``; empty if a class runs out.
+
+    The longest of each class go first; the last member is the longest length that still fits, which makes up for the
+    rounding of the classes.
+    """
     mult: dict[int, int] = {}
-    for k, need in Counter(combo).items():
+    for k, need in Counter(combo[:-1]).items():
         for n in reversed(queue[k]):
             take = min(need, int(hist[n]))
-            mult[n], need = take, need - take
+            if take:
+                mult[n], need = take, need - take
             if not need:
                 break
         if need:
             return {}
-    return mult
+    room = capacity - sum(n * q for n, q in mult.items())
+    for at in range(bisect_right(left, room) - 1, -1, -1):
+        n = left[at]
+        if hist[n] > mult.get(n, 0):
+            mult[n] = mult.get(n, 0) + 1
+            return mult
+    return {}
 
 
 def plan_packing(lengths: np.ndarray, counts: np.ndarray, capacity: int, classes: int = CLASSES, depth: int = DEPTH) -> tuple[np.ndarray, int]:
@@ -120,46 +136,59 @@ def plan_packing(lengths: np.ndarray, counts: np.ndarray, capacity: int, classes
 
     Lengths (1 … capacity) are classed in ``classes`` units, rounded up, so that a combination that fills the window
     in units fits it in tokens. Non-negative least squares gives the repeats of the combinations that best explain
-    the class histogram (short items weigh less, as they fill any rest); they are rounded down and carried out
-    on real lengths, longest first. What is left, and the room left in those containers, goes to best fit.
+    the class histogram; they are rounded down and carried out on real lengths, longest first. What is left, and the
+    room left in those containers, goes to best fit. Short items weigh less in the least squares, as they fill any
+    rest; how much less is tried in a few steps (``WEIGHTS``), and the plan of fewest containers counts.
     """
     hist = np.zeros(capacity + 1, np.int64)
     np.add.at(hist, lengths, counts)
-    pool = Pool(capacity)
     classes = min(classes, capacity)
     unit = -(-capacity // classes)
     classes = capacity // unit
-    of = lambda n: -(-n // unit)
+    best = None
+    for weight in WEIGHTS:
+        pool = _combine(hist.copy(), capacity, unit, classes, depth, weight(np.arange(classes + 1) / classes))
+        if best is None or pool.containers() < best.containers():
+            best = pool
+    return _slots(best)
+
+
+def _combine(hist: np.ndarray, capacity: int, unit: int, classes: int, depth: int, weight: np.ndarray) -> Pool:
+    pool = Pool(capacity)
     present = np.flatnonzero(hist)
+    of = -(-present // unit)
     queue: dict[int, list[int]] = {}
-    for n in present:  # rising, so the longest of a class is popped first
-        queue.setdefault(int(of(n)), []).append(int(n))
+    for n, k in zip(present.tolist(), of.tolist()):  # rising, so the longest of a class is popped first
+        queue.setdefault(k, []).append(n)
+    left = present.tolist()
     combos = [c for c in strategies(classes, depth) if all(k in queue for k in c)]
     if combos:
         a, b = np.zeros((classes + 1, len(combos))), np.zeros(classes + 1)
         for j, c in enumerate(combos):
             for k in c:
                 a[k, j] += 1
-        for n in present:
-            if of(n) <= classes:
-                b[of(n)] += hist[n]
-        weight = np.where(np.arange(classes + 1) * 8 < classes, 0.09, 1.0)
+        inside = of <= classes
+        np.add.at(b, of[inside], hist[present[inside]])
         x = nnls(a * weight[:, None], b * weight)
         for j in np.argsort(-x, kind="stable"):
             need = int(x[j] + 1e-6)
-            while need and (mult := _longest(queue, hist, combos[j])):
+            while need and (mult := _fill(queue, hist, left, combos[j], capacity)):
                 times = min([need, *(int(hist[n]) // q for n, q in mult.items())])
                 pattern = None
                 for n, q in mult.items():
                     pattern = (pattern, n, q)
                     hist[n] -= q * times
-                for k in set(combos[j]):
-                    while queue[k] and hist[queue[k][-1]] == 0:
-                        queue[k].pop()
+                    if not hist[n]:
+                        del left[bisect_left(left, n)]
+                        queue[-(-n // unit)].remove(n)
                 pool.add(capacity - sum(n * q for n, q in mult.items()), pattern, times)
                 need -= times
     for n in np.flatnonzero(hist)[::-1]:
         pool.place(int(n), int(hist[n]))
+    return pool
+
+
+def _slots(pool: Pool) -> tuple[np.ndarray, int]:
     rows, base = [], 0
     for room in pool.rooms:
         for pattern, m in pool.groups[room]:

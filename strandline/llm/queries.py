@@ -25,7 +25,7 @@ QS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     """Every run of bins: first and last id, number of bins, first and last position and length in base pairs."""
     b = table(spark, d, "bins").select(F.trim("sample").alias("sample"), canon_chrom("chrom").alias("chrom"), "id", canon_sources("viterbi").alias("state"), F.col("pos").cast("long").alias("pos"))
-    r = collapse_runs(b, ["sample", "chrom"], "id", "state", {"pos": F.min("pos"), "last": F.max("pos")})
+    r = collapse_runs(b, ["sample", "chrom"], "id", "state", {"pos": F.min("pos"), "last": F.max("pos")}, ["pos"])
     return r.select("sample", "chrom", "state", F.col("start").alias("id"), F.col("end").alias("id_end"), F.col("n").alias("n_bins"), "pos", (F.col("last") + BIN_WIDTH - F.col("pos")).alias("length"))
 
 

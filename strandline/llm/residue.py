@@ -80,12 +80,12 @@ MENTIONS = [
 
 #: A segment without any of these (in lower case) can match none of the patterns above; it spares the regular expressions.
 TRIGGERS = (
-    "{", "[", "<", "template error", "@@", "$", "%", "«", "&lt;", "xx", "#", "none", "nan", "undefined", "null", "nil", "__", "todo", "tbd", "fixme", "sentences", "title", "delete", "replace", "here", "hier", "ici", "aquí", "section", "secci", "write",
-    "fill", "remplacer", "compl", "ergänz", "ersetzt", "auszuf", "sustituido", "ipsum", "placeholder", "dummy", "sample text", "example", "layout", "text", "quick", "asdf", "qwerty", "jkl", "foo bar", "blah", "test test", "n/a",
-    "script", "skript", "cookie", "browser", "navigateur", "navegador", "content", "loading", "request", "traceback", "angeforderte", "demandée", "solicit", "looking for", "could not", "connection", "finish", "timed out",
-    "rate limit", "retry", "signed", "logged", "melde", "mainten", "wartung", "manten", "upstream", "removed", "longer", "results", "spelling", "again", "erneut", "réessay", "inténtelo", "reload", "empty", "permission", "autoris",
-    "connecté", "permiso", "sesión", "server", "occurred", "http", "error", "fehler", "erreur", "not found", "forbidden", "unauthor", "gateway", "unavailable", "gone", "denied", "allowed", "too large", "gefunden", "verweigert",
-    "verfügbar", "abgelaufen", "verboten", "introuvable", "refusé", "interdit", "indisponible", "expir", "dépassé", "encontrada", "denegado", "disponible", "caducada", "agotado", "upload", "oops", "prohibido",
+    "{", "[", "<", "template error", "@@", "$", "%(", "%s", "%d", "«", "&lt;", "xx", "#ref", "#n/a", "#value", " none", " nan", "nan-fold", "none-fold", "undefined", "null", " nil", "__", "todo", "tbd", "fixme", "sentences", "title", "delete", "replace", " here", "hier ", " hier",
+    " ici", "aquí", "cette section", "esta secci", "write", "fill", "remplacer", "compléter", "ergänz", "ersetzt", "auszuf", "completar", "sustituido", "ipsum", "placeholder", "dummy", "sample text", "example", "layout", "text", "quick", "asdf", "qwerty", "jkl", "foo bar", "blah", "test test",
+    "n/a", "script", "skript", "cookie", "browser", "navigateur", "navegador", "content", "loading", "request", "traceback", "angeforderte", "demandée", "solicit", "looking for", "could not", "connection", "finish", "timed out", "rate limit", "retry", "signed", "logged", "melde", "mainten",
+    "wartung", "manten", "upstream", "been removed", "no longer", "no results", "spelling", "try again", "erneut", "réessay", "inténtelo", "reload", "empty or", "permission", "autoris", "connecté", "permiso", "sesión", "server", "occurred", "http", "error 4", "error 5", "fehler 4", "fehler 5",
+    "erreur 4", "erreur 5", "erreur interne", "error interno", "database error", "not found", "forbidden", "unauthor", "gateway", "unavailable", "gone", "denied", "not allowed", "too large", "nicht gefunden", "verweigert", "nicht verfügbar", "abgelaufen", "verboten", "introuvable", "refusé",
+    "interdit", "indisponible", "expir", "dépassé", "encontrada", "denegado", "no disponible", "caducada", "agotado", "upload", "oops", "prohibido", "angemeldet",
 )
 
 _I = re.IGNORECASE
@@ -104,7 +104,7 @@ def weak_label(segment: str) -> int:
     low = segment.lower()
     if _repeats(segment):
         return 1
-    if not any(t in low for t in TRIGGERS):
+    if not any(t in low for t in TRIGGERS) and low.count("%") < 2:
         return 0
     if not (_CASED.search(segment) or any(p.search(segment) for p in _PHRASES)):
         return 0
@@ -254,6 +254,7 @@ def training_rows(documents: DataFrame, doc_id: str, text: str, host: str, cfg:
 
     seg = (
         d.where(bucket)
+        .repartition(documents.sparkSession.sparkContext.defaultParallelism)  # bounded by cfg.documents
         .mapInPandas(label, "segment string, title int, other long, residue long, mention long")
         .groupBy("segment", "title")
         .agg(*[F.sum(c).alias(c) for c in ("other", "residue", "mention")])

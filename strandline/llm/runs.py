@@ -12,7 +12,7 @@ from strandline.plans.scan import BLOCK, running_count, with_block
 WIDTH = 1 << 16
 
 
-def collapse_runs(events: DataFrame, entity: Sequence[str], order: str, state: str, extras: Mapping[str, Column] | None = None, block: int = WIDTH) -> DataFrame:
+def collapse_runs(events: DataFrame, entity: Sequence[str], order: str, state: str, extras: Mapping[str, Column] | None = None, carry: Sequence[str] = (), block: int = WIDTH) -> DataFrame:
     """One row per run of equal consecutive states: (entity, state, start, end, n, extras).
 
     ``order`` is an integer that numbers the events of an entity, so it is the row number within the entity; a
@@ -20,17 +20,17 @@ def collapse_runs(events: DataFrame, entity: Sequence[str], order: str, state: s
     (entity, state) gives a value that is constant exactly on a run. ``state`` must be canonical already.
 
     Repeated events (same entity and order) count once, with the largest state where they disagree. Rows with null
-    order or a null entity column are left out. ``extras`` are aggregates over the rows of a run, evaluated on the
-    columns of ``events`` after repeated events are merged by max. Row numbers are counted in blocks of ``block``
+    order or a null entity column are left out. ``extras`` are aggregates over the rows of a run; the columns
+    they read are named in ``carry`` and merged by max over repeated events. Other columns are never read, whatever
+    their names. Row numbers are counted in blocks of ``block``
     order values, so a hot entity is spread over many tasks. An empty input gives an empty result.
     """
     ok = F.col(order).isNotNull() & F.col(state).isNotNull()
     for k in entity:
         ok = ok & F.col(k).isNotNull()
-    rest = [c for c in events.columns if c not in [*entity, order, state]]
     # one shuffle by (entity, block): the merge of repeats and both windows reuse that partitioning
-    e = with_block(events.where(ok), order, block)
-    e = e.groupBy(*entity, BLOCK, order).agg(F.max(state).alias(state), *[F.max(c).alias(c) for c in rest]).drop(BLOCK)
+    e = with_block(events.where(ok).select(*entity, order, state, *carry), order, block)
+    e = e.groupBy(*entity, BLOCK, order).agg(F.max(state).alias(state), *[F.max(c).alias(c) for c in carry]).drop(BLOCK)
     numbered = running_count(e, [*entity, state], order, "__rn", block)
     runs = numbered.groupBy(*entity, state, (F.col(order) - F.col("__rn")).alias("__island"))
     return runs.agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in (extras or {}).items()]).drop("__island")
