@@ -131,7 +131,7 @@ def damage_position(read: Column, ref: Column, reverse: Column) -> Column:
     """
     fwd = F.filter(F.sequence(F.lit(1), F.greatest(F.length(read), F.lit(1))), lambda i: (F.substring(ref, i, F.lit(1)) == "C") & (F.substring(read, i, F.lit(1)) == "T"))
     rev = F.filter(F.sequence(F.lit(1), F.greatest(F.length(read), F.lit(1))), lambda i: (F.substring(ref, i, F.lit(1)) == "G") & (F.substring(read, i, F.lit(1)) == "A"))
-    return F.when(reverse, F.coalesce(F.length(read) - F.element_at(rev, -1), F.lit(-1))).otherwise(F.coalesce(F.get(fwd, F.lit(0)) - 1, F.lit(-1)))
+    return F.when(reverse, F.coalesce(F.length(read) - F.try_element_at(rev, F.lit(-1)), F.lit(-1))).otherwise(F.coalesce(F.get(fwd, F.lit(0)) - 1, F.lit(-1)))
 
 
 def explained_by_damage(base: Column, ref: Column, alt: Column, reverse: Column) -> Column:
