@@ -36,7 +36,7 @@ def bin_snp_counts(spark, d):
 
 def map_interpolate(spark, d):
     s = X.sites(spark, d)
-    knots = s.where("site_id % 50 < 10").select("chrom", "pos", (F.col("pos") * 1e-6 + F.col("AFR_alt") * 0).alias("m"))
+    knots = s.groupBy("chrom", F.floor(F.col("pos") / 30000)).agg(F.min("pos").alias("pos")).select("chrom", "pos", (F.col("pos") * 1e-6).alias("m"))
     return S.interpolate_map(s.select("chrom", "pos"), knots, "pos", "pos", "m").select("chrom", "pos", F.round("map", R).alias("map"))
 
 
@@ -119,7 +119,7 @@ c AS (SELECT CAST(rx AS DOUBLE) / nx AS x_cov, CAST(ra AS DOUBLE) / na AS a_cov
     "snp_ids": (lambda s, d: S.snp_ids(X.sites(s, d)).select("site_id", "snp_id"), FX + f" SELECT site_id, row_number() OVER (ORDER BY {RANK}, pos) - 1 AS snp_id FROM sites"),
     "map_interpolate": (
         map_interpolate,
-        FX + """, knots AS (SELECT chrom, CAST(pos AS DOUBLE) AS p, pos * 1e-6 AS m FROM sites WHERE site_id % 50 < 10), pts AS (SELECT chrom, pos FROM sites),
+        FX + """, knots AS (SELECT chrom, CAST(min(pos) AS DOUBLE) AS p, min(pos) * 1e-6 AS m FROM sites GROUP BY chrom, floor(pos / 30000.0)), pts AS (SELECT chrom, pos FROM sites),
 a AS (SELECT p.chrom, p.pos, k.p AS p0, k.m AS m0 FROM pts p ASOF LEFT JOIN knots k ON p.chrom = k.chrom AND p.pos >= k.p), b AS (SELECT a.*, k.p AS p1, k.m AS m1 FROM a ASOF LEFT JOIN knots k ON a.chrom = k.chrom AND a.pos <= k.p)
 SELECT chrom, pos, round(coalesce(m0 + (pos - p0) * (m1 - m0) / nullif(p1 - p0, 0), m0, m1), 6) AS map FROM b""",
     ),
