@@ -13,7 +13,7 @@ from strandline.sources.text import COUNTS, load_panel, read_table
 from strandline.states import load_populations, parse_states
 
 
-def main(argv: list[str] | None = None) -> None:
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandline")
     sub = p.add_subparsers(dest="what", required=True)
     for name in ("hmm", "sfs"):
@@ -25,20 +25,20 @@ def main(argv: list[str] | None = None) -> None:
         q.add_argument("--state-file")
         q.add_argument("--cont-id", default="AFR")
         q.add_argument("--ancestral", default=None if name == "hmm" else "PAN")
-        q.add_argument("--max-iter", type=int, default=20)
-        q.add_argument("--ll-tol", type=float, default=0.01)
+        q.add_argument("--max-iter", type=int)
+        q.add_argument("--ll-tol", type=float)
         q.add_argument("--format", choices=["csv", "parquet"], default="csv")
         q.add_argument("--autosomes-only", action="store_true")
         if name == "hmm":
             q.add_argument("--preset", choices=sorted(PRESETS), default=None)
-            q.add_argument("--bin-size", type=float, default=10_000)
+            q.add_argument("--bin-size", type=float)
             q.add_argument("--pos-mode", action="store_true")
-            q.add_argument("--prior", type=float, default=0.5)
+            q.add_argument("--prior", type=float)
             q.add_argument("--filter-delta", type=float)
             q.add_argument("--filter-pos", type=float)
-            q.add_argument("--filter-high-cov", type=float, default=0.001)
-            q.add_argument("--downsample", type=float, default=1.0)
-            q.add_argument("--fake-contamination", type=float, default=0.0)
+            q.add_argument("--filter-high-cov", type=float)
+            q.add_argument("--downsample", type=float)
+            q.add_argument("--fake-contamination", type=float)
             q.add_argument("--dont-est-contamination", action="store_true")
             q.add_argument("--est-error", action="store_true")
             q.add_argument("--est-F", action="store_true")
@@ -46,12 +46,38 @@ def main(argv: list[str] | None = None) -> None:
             q.add_argument("--est-inbreeding", action="store_true")
             q.add_argument("--dont-est-trans", action="store_true")
             q.add_argument("--dont-split-lib", action="store_true")
-            q.add_argument("--run-penalty", type=float, default=0.2)
-            q.add_argument("--n-post-replicates", type=int, default=100)
-            q.add_argument("--seed", type=int, default=0)
+            q.add_argument("--run-penalty", type=float)
+            q.add_argument("--n-post-replicates", type=int)
+            q.add_argument("--seed", type=int)
         else:
             q.add_argument("--jk-resamples", type=int, default=0)
             q.add_argument("--male", action="store_true")
+    return p
+
+
+def _given(**options) -> dict:
+    return {k: v for k, v in options.items() if v is not None}
+
+
+def hmm_config(a: argparse.Namespace, states: tuple[str, ...]) -> HmmConfig:
+    """The preset or the defaults, changed only by the options that were given."""
+    c = PRESETS[a.preset] if a.preset else HmmConfig()
+    bin_size = None if a.bin_size is None else a.bin_size if a.pos_mode else a.bin_size * 1e-6
+    if a.pos_mode and bin_size is None:
+        bin_size = 10_000
+    on = lambda flag: True if flag else None
+    off = lambda flag: False if flag else None
+    return replace(
+        c, sources=states, cont=a.cont_id, ancestral=a.ancestral,
+        **_given(
+            by="pos" if a.pos_mode else None, bin_size=bin_size, prior=a.prior, delta=a.filter_delta, thin=a.filter_pos, high_cov=a.filter_high_cov, downsample=a.downsample, fake_contamination=a.fake_contamination, est_cont=off(a.dont_est_contamination),
+            est_error=on(a.est_error), est_f=on(a.est_F), est_tau=on(a.est_tau), inbreeding=on(a.est_inbreeding), est_trans=off(a.dont_est_trans), split_lib=off(a.dont_split_lib), run_penalty=a.run_penalty, replicates=a.n_post_replicates, seed=a.seed, max_iter=a.max_iter, ll_tol=a.ll_tol,
+        ),
+    )
+
+
+def main(argv: list[str] | None = None) -> None:
+    p = parser()
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("strandline").getOrCreate()
     states = parse_states(a.states, load_populations(a.state_file) if a.state_file else None)
@@ -59,14 +85,10 @@ def main(argv: list[str] | None = None) -> None:
     panel = load_panel(spark, a.panel, states | {x: [x] for x in extra}, a.autosomes_only)
     counts = read_table(spark, a.target, COUNTS)
     if a.what == "hmm":
-        c = replace(
-            PRESETS[a.preset] if a.preset else HmmConfig(), sources=tuple(states), cont=a.cont_id, ancestral=a.ancestral, by="pos" if a.pos_mode else "map", bin_size=a.bin_size if a.pos_mode else a.bin_size * 1e-6, prior=a.prior, delta=a.filter_delta, thin=a.filter_pos, high_cov=a.filter_high_cov,
-            downsample=a.downsample, fake_contamination=a.fake_contamination, est_cont=not a.dont_est_contamination, est_error=a.est_error, est_f=a.est_F, est_tau=a.est_tau, inbreeding=a.est_inbreeding, est_trans=not a.dont_est_trans, split_lib=not a.dont_split_lib, run_penalty=a.run_penalty,
-            replicates=a.n_post_replicates, seed=a.seed, max_iter=a.max_iter, ll_tol=a.ll_tol,
-        )
+        c = hmm_config(a, tuple(states))
         run_hmm(panel, counts, c).write(a.out, a.format)
     else:
-        c = SfsConfig(states=tuple(s for s in states if s not in extra), cont=a.cont_id, ancestral=a.ancestral, sex="m" if a.male else "f", jackknife=a.jk_resamples, max_iter=a.max_iter, ll_tol=a.ll_tol)
+        c = SfsConfig(states=tuple(s for s in states if s not in extra), cont=a.cont_id, ancestral=a.ancestral, sex="m" if a.male else "f", jackknife=a.jk_resamples, **_given(max_iter=a.max_iter, ll_tol=a.ll_tol))
         for name, df in run_sfs(panel, counts, c).items():
             write_table(df, f"{a.out}.{name}", a.format)
 

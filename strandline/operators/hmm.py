@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,6 +234,23 @@ def transition_counts(bins: DataFrame, keys: Sequence[str], order: str, params:
     return per_sequence(bins, keys, order, fn, "i int, j int, xi double")
 
 
+def e_step(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, names: Sequence[str]) -> DataFrame:
+    """(keys, order, one posterior column per state, ll, xi): one pass per sequence; log-likelihood and expected transitions
+    (row by row) stand at its first bin."""
+    t, s = _arrays(params)
+
+    def fn(k: tuple, o: np.ndarray, e: np.ndarray) -> pd.DataFrame:
+        p = forward_backward(e, t, s)
+        out = pd.DataFrame({order: o})
+        for i, n in enumerate(names):
+            out[n] = p.gamma[:, i]
+        out["ll"] = [p.ll, *[None] * (len(o) - 1)]
+        out["xi"] = [expected_transitions(e, t, p).ravel().tolist(), *[None] * (len(o) - 1)]
+        return out
+
+    return per_sequence(bins, keys, order, fn, f"{order} {bins.schema[order].dataType.simpleString()}, " + ", ".join(f"`{n}` double" for n in names) + ", ll double, xi array<double>")
+
+
 def posterior_runs(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, space: StateSpace, replicates: int, seed: int = 0) -> DataFrame:
     """(keys, it, state, start, len): haplotype runs of ``replicates`` paths drawn from the posterior, seeded per sequence."""
     t, s = _arrays(params)
@@ -252,9 +270,12 @@ def posterior_runs(bins: DataFrame, keys: Sequence[str], order: str, params: Hmm
 
 @dataclass
 class HmmFit:
+    """``converged`` is false where max_iter ended the EM before a step of the log-likelihood fell below the tolerance."""
+
     params: HmmParams
     ll: list[float]
     bins: DataFrame
+    converged: bool
 
 
 def posterior_genotypes(snps: DataFrame, posteriors: DataFrame, keys: Sequence[str], states: list[tuple[Column, Column, Column]], names: Sequence[str]) -> DataFrame:
@@ -334,7 +355,7 @@ def fit_hmm(
     space: StateSpace,
     params: HmmParams,
     keys: Sequence[str] = ("chrom",),
-    max_iter: int = 20,
+    max_iter: int = 1000,
     tol: float = 1e-2,
     est_cont: bool = True,
     est_error: bool = False,
@@ -346,7 +367,8 @@ def fit_hmm(
     """EM. ``obs`` has keys, bin, pos, lib, tref, talt, p_cont; ``snps`` keys, bin, pos and panel counts; ``bins`` keys, bin.
 
     The inputs are materialised once; each iteration builds its plan from them with new literals, so plans stay of
-    constant size, and brings back only sums per transition, per (library, p_cont) and per distinct panel count.
+    constant size, and brings back only sums per transition, per (library, p_cont) and per distinct panel count. What an
+    iteration reads twice is kept on the executors' disks until its end.
     """
     obs, snps, bins = materialise(obs), materialise(snps), materialise(bins)
     site = [*keys, "bin", "pos"]
@@ -354,22 +376,30 @@ def fit_hmm(
     while True:
         states = state_genotypes(space, params.f, params.tau, prior)
         lik = snp_log_likelihood(obs, site, "p_cont", _per_lib(params.cont, F.col("lib")), _per_lib(params.error, F.col("lib")))
-        with_reads = snps.join(lik, site)
-        e = materialise(complete_bins(bins, bin_log_emissions(with_reads, [*keys, "bin"], states), [*keys, "bin"], space.n))
-        lls.append(sequence_ll(e, keys, "bin", params).agg(F.sum("ll")).first()[0])
-        if len(lls) > max_iter or (len(lls) > 1 and abs(lls[-1] - lls[-2]) < tol):
-            return HmmFit(params, lls, e)
+        with_reads = snps.join(lik, site).persist(StorageLevel.DISK_ONLY)
+        e = complete_bins(bins, bin_log_emissions(with_reads, [*keys, "bin"], states), [*keys, "bin"], space.n)
+        post = e_step(e, keys, "bin", params, space.names).persist(StorageLevel.DISK_ONLY)
+        sums = post.where("ll is not null").select("ll", F.posexplode("xi").alias("k", "xi")).groupBy("k").agg(F.sum("ll").alias("ll"), F.sum("xi").alias("xi")).toPandas()
+        lls.append(float(sums["ll"].iloc[0]))
+        converged = len(lls) > 1 and abs(lls[-1] - lls[-2]) < tol
+        if converged or len(lls) > max_iter:
+            e = materialise(e)
+            post.unpersist()
+            with_reads.unpersist()
+            return HmmFit(params, lls, e, converged)
         old = params
         if est_cont or est_error or est_f or est_tau:
-            pg = posterior_genotypes(with_reads, decode(e, keys, "bin", old, space.names), [*keys, "bin"], states, space.names)
+            pg = posterior_genotypes(with_reads, post, [*keys, "bin"], states, space.names)
             if est_cont or est_error:
                 params = update_contamination(contamination_stats(obs, pg, site).toPandas(), params, est_error)
             if est_f or est_tau:
                 params = update_drift(drift_stats(pg, space, prior).toPandas(), params, space, est_f, est_tau)
+        post.unpersist()
+        with_reads.unpersist()
         if est_trans:
-            x = transition_counts(e, keys, "bin", old).groupBy("i", "j").agg(F.sum("xi").alias("xi")).toPandas()
-            t = np.zeros((space.n, space.n))
-            t[x["i"], x["j"]] = x["xi"]
+            t = np.zeros(space.n * space.n)
+            t[sums["k"]] = sums["xi"]
+            t = t.reshape(space.n, space.n)
             rows = t.sum(axis=1, keepdims=True)
             t = np.where(rows > 0, np.maximum(t, 1e-12) / np.maximum(np.maximum(t, 1e-12).sum(axis=1, keepdims=True), 1e-300), np.array(old.trans))
             params = replace(params, trans=tuple(map(tuple, t.tolist())), start=tuple(stationary(t).tolist()))

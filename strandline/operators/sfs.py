@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,7 @@ class SfsParams:
     e: float = 0.01
     b: float = 0.01
     ll: float = field(default=float("nan"), compare=False)
+    converged: bool = field(default=False, compare=False)
 
     def vector(self) -> np.ndarray:
         return np.array([*self.cont.values(), *self.tau.values(), *self.f.values(), self.e, self.b])
@@ -140,15 +141,27 @@ def group_stats(reads: DataFrame) -> DataFrame:
 
 def error_stats(reads: DataFrame) -> DataFrame:
     """(rep, err, ok, bias, nobias): expected reads with and without an error from each true allele."""
+    return reads.groupBy("rep").agg(*_error_sums())
+
+
+def _error_sums() -> list[Column]:
     n = F.col("n")
     is_ref = F.when(F.col("flipped"), F.col("post_der")).otherwise(1 - F.col("post_der"))  # the true allele is the reference one
     alt = F.col("allele") == 1
     s = lambda c, w: F.sum(F.when(c, n * w).otherwise(0.0))
-    return reads.groupBy("rep").agg(s(alt, is_ref).alias("err"), s(~alt, is_ref).alias("ok"), s(~alt, 1 - is_ref).alias("bias"), s(alt, 1 - is_ref).alias("nobias"))
+    return [s(alt, is_ref).alias("err"), s(~alt, is_ref).alias("ok"), s(~alt, 1 - is_ref).alias("bias"), s(alt, 1 - is_ref).alias("nobias")]
+
+
+def read_cells(data: DataFrame) -> DataFrame:
+    """``data`` summed over sites whose reads have the same posterior: all that contamination and errors need of it."""
+    return data.groupBy("rep", "sfs", "rg", "psi", "flipped", "haploid").agg(F.sum("ref").alias("ref"), F.sum("alt").alias("alt")).withColumn("snp", F.lit(None).cast("long"))
 
 
-def em_step(data: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates) -> dict[str, SfsParams]:
-    """New parameters of every replicate; ``ll`` is the likelihood of the old ones. Only sums reach the driver."""
+def em_step(data: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates, cells: DataFrame | None = None) -> dict[str, SfsParams]:
+    """New parameters of every replicate; ``ll`` is the likelihood of the old ones. Only sums reach the driver.
+
+    ``cells`` are the ``read_cells`` of ``data``, where they are at hand.
+    """
     new = {r: SfsParams(dict(p.cont), dict(p.tau), dict(p.f), p.e, p.b) for r, p in params.items()}
     s = class_stats(site_posteriors(data, params)).withColumn("__t", F.struct(*[x.alias(n) for n, x in zip(("t", "f"), tau_f_update(F.col("g0"), F.col("g1"), F.col("g2")))])).toPandas()
     for r, p in new.items():
@@ -160,13 +173,14 @@ def em_step(data: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates) ->
             if on.tau and on.f:
                 p.f[int(k)] = p.f[int(k)] if v["f"] is None else float(np.clip(v["f"], EPS, 1 - EPS))
     if on.cont or on.error:
-        reads = read_posteriors(data, params)
+        reads = read_posteriors(data if cells is None else cells, params)
+        x = reads.groupBy("rep", "rg").agg(F.sum(F.col("n") * F.col("post_c")).alias("c"), F.sum("n").alias("n"), *_error_sums()).toPandas()
         if on.cont:
-            for row in group_stats(reads).collect():
-                new[row["rep"]].cont[row["rg"]] = float(row["c"])
+            for row in x.itertuples():
+                new[row.rep].cont[row.rg] = float(row.c / row.n)
         if on.error:
-            for row in error_stats(reads).collect():
-                p, (err, ok, bias, nobias) = new[row["rep"]], row[1:]
+            for rep, row in x.groupby("rep")[["err", "ok", "bias", "nobias"]].sum().iterrows():
+                p, (err, ok, bias, nobias) = new[rep], map(float, row)
                 if on.bias:
                     p.e, p.b = (err / (err + ok) if err + ok > 0 else 0.0), (bias / (bias + nobias) if bias + nobias > 0 else 0.0)
                 else:
@@ -174,28 +188,36 @@ def em_step(data: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates) ->
     return new
 
 
-def fit_sfs(data: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates = SfsUpdates(), max_iter: int = 20, ll_tol: float = 1e-2, accelerate: bool = True) -> tuple[dict[str, SfsParams], list[float]]:
+def fit_sfs(data: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates = SfsUpdates(), max_iter: int = 1000, ll_tol: float = 1e-2, accelerate: bool = True) -> tuple[dict[str, SfsParams], list[float]]:
     """EM for all replicates in lockstep, with squared extrapolation that is kept only where the likelihood rises.
 
-    ``data`` is materialised once; plans don't grow with iterations. Returns parameters and the log-likelihoods of replicate
-    '0' (or the first).
+    A replicate leaves when its own log-likelihood changes by less than ``ll_tol``; ``converged`` is false for those that
+    ``max_iter`` ends. ``data`` and its ``read_cells`` are materialised once; plans don't grow with iterations. Returns
+    parameters and the log-likelihoods of replicate '0' (or the first).
     """
     data = materialise(data)
+    cells = materialise(read_cells(data))
     first = "0" if "0" in params else next(iter(params))
-    cur, lls = dict(params), []
+    step = lambda p: em_step(data.where(F.col("rep").isin(*p)), p, on, cells.where(F.col("rep").isin(*p)))
+    cur, done, last, lls = dict(params), {}, {}, []
     for _ in range(max_iter):
-        x1 = em_step(data, cur, on)
-        lls.append(x1[first].ll)
-        if len(lls) > 1 and abs(lls[-1] - lls[-2]) < ll_tol:
+        x1 = step(cur)
+        if first in x1:
+            lls.append(x1[first].ll)
+        done |= {r: replace(cur[r], ll=p.ll, converged=True) for r, p in x1.items() if r in last and abs(p.ll - last[r]) < ll_tol}
+        last = {r: p.ll for r, p in x1.items()}
+        cur, x1 = ({r: p for r, p in x.items() if r not in done} for x in (cur, x1))
+        if not cur:
             break
         if not accelerate:
             cur = x1
             continue
-        x2 = em_step(data, x1, on)
+        x2 = step(x1)
         fast = {r: x1[r].replaced(squarem_step(cur[r].vector(), x1[r].vector(), x2[r].vector())) for r in cur}
-        x3 = em_step(data, fast, on)  # also stabilises the jump
+        x3 = step(fast)  # also stabilises the jump
         cur = {r: x3[r] if x3[r].ll >= x2[r].ll else x2[r] for r in cur}
-    return cur, lls
+    fits = cur | done
+    return {r: fits[r] for r in params}, lls
 
 
 def jackknife(data: DataFrame, blocks: int, order: str = "snp") -> DataFrame:
@@ -247,6 +269,11 @@ def call_error_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("rep").agg(s(a != 0, ref_hom).alias("err"), s(a == 0, ref_hom).alias("ok"), s(a != 2, alt_hom).alias("bias"), s(a == 2, alt_hom).alias("nobias"))
 
 
+def convergence_rows(params: Mapping[str, SfsParams]) -> list[tuple[str, str, float]]:
+    """(parameter, name, value): one row per replicate, value 1 where its fit converged."""
+    return [("converged", r, float(p.converged)) for r, p in params.items()]
+
+
 def to_frame(params: Mapping[str, SfsParams]) -> pd.DataFrame:
     rows = [(r, "cont", k, v) for r, p in params.items() for k, v in p.cont.items()]
     rows += [(r, n, str(k), v) for r, p in params.items() for n in ("tau", "f") for k, v in getattr(p, n).items()]

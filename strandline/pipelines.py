@@ -37,7 +37,7 @@ class HmmConfig:
     fake_contamination: float = 0.0
     autosomes: bool = False
     split_lib: bool = True
-    max_iter: int = 20
+    max_iter: int = 1000
     ll_tol: float = 0.01
     est_cont: bool = True
     est_error: bool = False
@@ -104,7 +104,7 @@ def run_hmm(panel: DataFrame, counts: DataFrame, config: HmmConfig = HmmConfig()
     spark = panel.sparkSession
     est = spark.createDataFrame([(k, fit.params.cont[k], fit.params.error[k]) for k in libs], "lib string, cont double, error double")
     out["cont"] = est.join(o.groupBy("lib").agg(F.sum(F.col("tref") + F.col("talt")).alias("n_reads")), "lib", "left")
-    out["pars"] = spark.createDataFrame([(k, str(v)) for k, v in {**asdict(fit.params), "ll": fit.ll}.items()], "parameter string, value string")
+    out["pars"] = spark.createDataFrame([(k, str(v)) for k, v in {**asdict(fit.params), "ll": fit.ll, "converged": fit.converged}.items()], "parameter string, value string")
     return HmmResult(fit, {k: v for k, v in out.items() if k in c.outputs})
 
 
@@ -115,7 +115,7 @@ class SfsConfig:
     ancestral: str = "PAN"
     sex: str = "f"
     jackknife: int = 0
-    max_iter: int = 20
+    max_iter: int = 1000
     ll_tol: float = 0.01
     cont0: float = 0.01
     tau0: float = 0.8
@@ -146,4 +146,6 @@ def run_sfs(panel: DataFrame, counts: DataFrame, config: SfsConfig = SfsConfig()
     full = frame[frame["rep"] == "0"].drop(columns="rep")
     if c.jackknife:
         full = full.assign(se=M.standard_errors(fits))
-    return {"pars": panel.sparkSession.createDataFrame(full), "sfs": M.sfs_table(data.where("rep = '0'"), {"0": fits["0"]})}
+    cols = ["parameter", "name", "value", *(["se"] if c.jackknife else [])]
+    rows = [*full[cols].itertuples(index=False, name=None), *[(*x, None)[: len(cols)] for x in M.convergence_rows(fits)]]
+    return {"pars": panel.sparkSession.createDataFrame(rows, ", ".join(f"{x} {'string' if x in ('parameter', 'name') else 'double'}" for x in cols)), "sfs": M.sfs_table(data.where("rep = '0'"), {"0": fits["0"]})}

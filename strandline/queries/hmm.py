@@ -143,9 +143,10 @@ _PGSQL = _CHAIN + ", " + _GAM + f", pg AS (SELECT s.*, {_pgs(0)}, {_pgs(1)}, {_p
 def hmm_em_fit(spark, d):
     s, o = snps(spark, d), observed(spark, d)
     bins = S.genome_bins(X.sites(spark, d), "pos", 10000).select("chrom", "bin")
-    fit = H.fit_hmm(o.select("chrom", "bin", "pos", "lib", "tref", "talt", "p_cont"), s, bins, SPACE, H.HmmParams.initial(SPACE, LIBS), max_iter=4, tol=0.1, est_error=True, est_tau=True)
+    fit = H.fit_hmm(o.select("chrom", "bin", "pos", "lib", "tref", "talt", "p_cont"), s, bins, SPACE, H.HmmParams.initial(SPACE, LIBS), est_error=True, est_tau=True)
     rows = [("ll", str(i), float(v)) for i, v in enumerate(fit.ll)] + [("cont", k, v) for k, v in fit.params.cont.items()] + [("error", k, v) for k, v in fit.params.error.items()]
     rows += [("trans", f"{a}>{b}", fit.params.trans[i][j]) for i, a in enumerate(SPACE.names) for j, b in enumerate(SPACE.names)] + [("tau", n, fit.params.tau[i]) for i, n in enumerate(SPACE.sources)]
+    rows.append(("converged", "", fit.converged))
     return spark.createDataFrame([(a, b, float(v)) for a, b, v in rows], "kind string, name string, value double")
 
 

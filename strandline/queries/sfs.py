@@ -37,11 +37,12 @@ def r(c, n=6):
 def sfs_em_fit(spark, d):
     x, p0 = data(spark, d), params(spark, d)["0"]
     x = M.jackknife(x, 3)
-    fits, lls = M.fit_sfs(x, {str(k): M.SfsParams(dict(p0.cont), dict(p0.tau), dict(p0.f), p0.e, p0.b) for k in range(4)}, max_iter=4)
+    fits, lls = M.fit_sfs(x, {str(k): M.SfsParams(dict(p0.cont), dict(p0.tau), dict(p0.f), p0.e, p0.b) for k in range(4)})
     f = M.to_frame(fits)
     se = M.standard_errors(fits)
     full = f[f["rep"] == "0"].reset_index(drop=True)
-    return spark.createDataFrame(full.assign(se=se)[["parameter", "name", "value", "se"]])
+    full = full.assign(se=se)[["parameter", "name", "value", "se"]]
+    return spark.createDataFrame([*full.itertuples(index=False, name=None), *[(*x, None) for x in M.convergence_rows(fits)]], "parameter string, name string, value double, se double")
 
 
 def chrom_classes(spark, d):
