@@ -151,20 +151,39 @@ def downsample_counts(obs: DataFrame, keys: Sequence[str], share: float, seed: i
     return obs.withColumns({"tref": z("r", "tref"), "talt": z("a", "talt")}).where("tref + talt > 0")
 
 
+POISSON_PART = 16.0
+
+
+def poisson_inverse(u: Column, rate: Column) -> Column:
+    """The smallest k at which the Poisson distribution of ``rate`` ≤ ``POISSON_PART`` exceeds ``u``.
+
+    ``u`` is a multiple of 2⁻³² below 1, and the chance of more than 64 at such rates is below 1e-17: the terms summed reach
+    every ``u``.
+    """
+    start = F.struct(F.exp(-rate).alias("p"), F.lit(0.0).alias("cdf"), F.lit(0).cast("long").alias("k"))
+
+    def step(s: Column, i: Column) -> Column:
+        cdf = s["cdf"] + s["p"]
+        return F.struct((s["p"] * rate / i).alias("p"), cdf.alias("cdf"), (s["k"] + F.when(cdf < u, 1).otherwise(0)).alias("k"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(65)), start, step, lambda s: s["k"])
+
+
 def fake_contamination(obs: DataFrame, keys: Sequence[str], p_cont: str, share: float, seed: int = 0) -> DataFrame:
     """``obs`` with Poisson many contaminant reads of panel frequency ``p_cont``, so that they make up about ``share`` of all.
 
-    Draws invert the Poisson distribution at a hash of the key, so they don't depend on partitions.
+    Draws invert the Poisson distribution at hashes of the key, so they don't depend on partitions. They have no upper bound:
+    a rate above ``POISSON_PART`` is the sum of draws of equal parts of it.
     """
     cov = obs.agg(F.avg(F.col("tref") + F.col("talt"))).first()[0] or 0.0
     lam = share * cov / (1 - share)
 
     def draw(rate: Column, tag: str) -> Column:
-        u = md5_uniform(F.lit(seed), *[F.col(k) for k in keys], F.lit(tag))
-        steps = F.sequence(F.lit(0), F.lit(60))
-        # counts k whose cumulative probability is still below u
-        cdf = lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda acc, i: acc + F.exp(-rate) * F.pow(rate, i) / F.factorial(F.least(i, F.lit(20))))
-        return F.size(F.filter(F.slice(steps, 1, 21), lambda k: cdf(k) < u))
+        u = lambda *part: md5_uniform(F.lit(seed), *[F.col(k) for k in keys], F.lit(tag), *part)
+        if lam <= POISSON_PART:
+            return poisson_inverse(u(), rate)
+        n = F.greatest(F.ceil(rate / POISSON_PART), F.lit(1)).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0).cast("long"), lambda acc, i: acc + poisson_inverse(u(i), rate / n))
 
     alt, ref = draw(F.col(p_cont) * lam, "a"), draw((1 - F.col(p_cont)) * lam, "r")
     return obs.withColumn("__a", alt).withColumn("__r", ref).withColumns({"talt": F.col("talt") + F.col("__a"), "tref": F.col("tref") + F.col("__r")}).drop("__a", "__r")

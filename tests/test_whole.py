@@ -1,6 +1,7 @@
 """The whole job: fits that end at the tolerance, counts of any depth, draws without a cap."""
 
 import inspect
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from strandline.__main__ import hmm_config, parser
 from strandline.operators import hmm as H
 from strandline.operators import sfs as M
+from strandline.operators.panelstats import fake_contamination, poisson_inverse
 from strandline.pipelines import HmmConfig, SfsConfig
 from strandline.states import StateSpace
 
@@ -66,3 +68,21 @@ def test_read_cells_keep_the_step(spark):
     assert np.allclose(a.vector(), b.vector())
     c = M.group_stats(M.read_posteriors(d, p)).orderBy("rg").toPandas()
     assert np.allclose(c["c"], [b.cont[k] for k in c["rg"]])
+
+
+def test_fake_contamination_has_no_cap(spark):
+    for depth, share in ((10, 0.1), (60, 0.6), (900, 0.5), (2000, 0.5)):
+        d = spark.range(4000).select(F.col("id").alias("pos"), F.lit(0).alias("tref"), F.lit(depth).alias("talt"), F.lit(0.5).alias("p"))
+        lam = share * depth / (1 - share) / 2
+        x = fake_contamination(d, ["pos"], "p", share).select((F.col("talt") - depth).alias("a"), F.col("tref").alias("r"))
+        for c in ("a", "r"):
+            mean, var = x.agg(F.avg(c), F.var_samp(c)).first()
+            assert abs(mean - lam) < 5 * (lam / 4000) ** 0.5 and abs(var / lam - 1) < 0.15, (depth, share, mean, var)
+
+
+def test_poisson_inverse_is_the_quantile(spark):
+    rng = np.random.default_rng(0)
+    rows = [(float(u), float(r)) for u, r in zip([0.0, 1 - 2.0**-32, *rng.random(200)], [16.0, 16.0, *rng.random(200) * 16])]
+    for u, r, k in spark.createDataFrame(rows, "u double, r double").select("u", "r", poisson_inverse(F.col("u"), F.col("r"))).collect():
+        cdf = np.cumsum([math.exp(-r + i * math.log(r) - math.lgamma(i + 1)) for i in range(100)])
+        assert abs(k - int((cdf < u).sum())) <= (1 if np.abs(cdf - u).min() < 1e-12 else 0)
