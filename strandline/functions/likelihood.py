@@ -19,11 +19,17 @@ def safe_ln(p: Column) -> Column:
     return F.ln(F.greatest(p, F.lit(FLOOR)))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! for any n ≥ 0: from a table, above it by Stirling's series, whose next term is below 1e-15."""
+    top = len(LOG_FACTORIAL) - 1
+    x = F.greatest(n, F.lit(top)).cast("double")
+    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return F.when(n > top, series).otherwise(F.element_at(F.array(*[F.lit(v) for v in LOG_FACTORIAL]), (F.when(n > top, top).otherwise(n) + 1).cast("int")))
+
+
 def log_choose(n: Column, k: Column) -> Column:
-    """ln of the binomial coefficient for 0 ≤ k ≤ n ≤ 255, from a table of log-factorials."""
-    table = F.array(*[F.lit(x) for x in LOG_FACTORIAL])
-    at = lambda i: F.element_at(table, (i + 1).cast("int"))
-    return at(n) - at(k) - at(n - k)
+    """ln of the binomial coefficient for 0 ≤ k ≤ n."""
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
 def read_allele_prob(g: int, p_cont: Column, cont, error) -> Column:
@@ -34,8 +40,7 @@ def read_allele_prob(g: int, p_cont: Column, cont, error) -> Column:
 
 def read_likelihood(g: int, alt: Column, n: Column, p_cont: Column, cont, error) -> Column:
     """P(alt reads of n | genotype g): binomial."""
-    p = read_allele_prob(g, p_cont, cont, error)
-    return F.exp(log_choose(n, alt)) * F.pow(p, alt) * F.pow(1 - p, n - alt)
+    return F.exp(log_read_likelihood(g, alt, n, p_cont, cont, error))
 
 
 def log_read_likelihood(g: int, alt: Column, n: Column, p_cont: Column, cont, error) -> Column:

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandline.__main__ import hmm_config, parser
+from strandline.functions import likelihood as L
 from strandline.operators import hmm as H
 from strandline.operators import sfs as M
 from strandline.operators.panelstats import fake_contamination, poisson_inverse
@@ -86,3 +87,17 @@ def test_poisson_inverse_is_the_quantile(spark):
     for u, r, k in spark.createDataFrame(rows, "u double, r double").select("u", "r", poisson_inverse(F.col("u"), F.col("r"))).collect():
         cdf = np.cumsum([math.exp(-r + i * math.log(r) - math.lgamma(i + 1)) for i in range(100)])
         assert abs(k - int((cdf < u).sum())) <= (1 if np.abs(cdf - u).min() < 1e-12 else 0)
+
+
+def test_likelihood_of_deep_counts(spark):
+    rows = [(n, k) for n in (0, 29, 255, 256, 257, 1031, 60367, 10_000_000) for k in {0, n // 3, n}]
+    d = spark.createDataFrame(rows, "n long, k long")
+    lg = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    for n, k, c, p in d.select("n", "k", L.log_choose(F.col("n"), F.col("k")), L.read_likelihood(1, F.col("k"), F.col("n"), F.lit(0.2), 0.0, 0.0)).collect():
+        assert np.isclose(c, lg(n, k), rtol=1e-12, atol=1e-7)
+        assert np.isclose(p, math.exp(lg(n, k) + n * math.log(0.5)), rtol=1e-6, atol=1e-200)
+    assert d.select(L.log_choose(F.lit(None).cast("long"), F.col("k"))).first()[0] is None
+    obs = spark.createDataFrame([(1, 200, 200, 0.3), (1, 2, 3, 0.3)], "pos int, tref long, talt long, p double")
+    row = H.snp_log_likelihood(obs, ["pos"], "p", F.lit(0.02), F.lit(0.01)).first()
+    q = (0.02 * 0.3 + 0.98 * 0.5) * 0.98 + 0.01
+    assert np.isclose(row["l1"], lg(400, 200) + lg(5, 3) + 203 * math.log(q) + 202 * math.log(1 - q))
