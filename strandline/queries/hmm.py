@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions import likelihood as L
 from strandline.operators import hmm as H
 from strandline.operators import sites as S
+from strandline.pipelines import HmmConfig
 from strandline.plans import fixture as X
 from strandline.queries.sites import _BINS, _LIM, _SNPB, FX
 from strandline.states import StateSpace
@@ -153,7 +154,7 @@ def hmm_em_fit(spark, d):
 def state_occupancy(spark, d):
     from strandline.operators.tracts import occupancy
 
-    return occupancy(H.posterior_runs(emissions(spark, d), ["chrom"], "bin_in_chrom", PARAMS, SPACE, 20))
+    return occupancy(H.posterior_runs(emissions(spark, d), ["chrom"], "bin_in_chrom", PARAMS, SPACE, HmmConfig().replicates))
 
 
 _C = ["AFR", "NEA", "AFRNEA"]
@@ -210,6 +211,6 @@ QUERIES = {
         _PGSQL + " " + " UNION ALL ".join(f"SELECT '{p}' AS source, CAST({p}_alt + 0.5 AS DOUBLE) AS a, CAST({p}_ref + 0.5 AS DOUBLE) AS b, round(sum(w{i}0), 4) AS g0, round(sum(w{i}1), 4) AS g1, round(sum(w{i}2), 4) AS g2 FROM pg GROUP BY 2, 3" for i, p in enumerate(("AFR", "NEA"))),
     ),
     "hmm_em_fit": (hmm_em_fit, None),
-    "posterior_runs": (lambda s, d: H.posterior_runs(emissions(s, d), ["chrom"], "bin_in_chrom", PARAMS, SPACE, 20), None),
+    "posterior_runs": (lambda s, d: H.posterior_runs(emissions(s, d), ["chrom"], "bin_in_chrom", PARAMS, SPACE, HmmConfig().replicates), None),
     "posterior_occupancy": (state_occupancy, None),
 }

@@ -101,3 +101,15 @@ def test_likelihood_of_deep_counts(spark):
     row = H.snp_log_likelihood(obs, ["pos"], "p", F.lit(0.02), F.lit(0.01)).first()
     q = (0.02 * 0.3 + 0.98 * 0.5) * 0.98 + 0.01
     assert np.isclose(row["l1"], lg(400, 200) + lg(5, 3) + 203 * math.log(q) + 202 * math.log(1 - q))
+
+
+def test_registered_draws_have_all_replicates(spark, monkeypatch):
+    from strandline.queries import hmm as Q
+
+    e = spark.createDataFrame([("1", i, [0.0, -1.0, -2.0]) for i in range(4)], "chrom string, bin_in_chrom long, e array<double>")
+    monkeypatch.setattr(Q, "emissions", lambda s, d: e)
+    assert Q.QUERIES["posterior_runs"][0](spark, "").select("it").distinct().count() == HmmConfig().replicates == 100
+    asked = []
+    monkeypatch.setattr(Q.H, "posterior_runs", lambda *a: asked.append(a[-1]) or e.select(F.lit(0).alias("it"), F.lit("AFR").alias("state"), F.lit(0).alias("start"), F.lit(1).alias("len")))
+    Q.state_occupancy(spark, "")
+    assert asked == [100]
