@@ -212,14 +212,16 @@ def pack(items: DataFrame, spec: DataFrame, item_id: str, tokens: str, name: str
 
     An item longer than the capacity is cut into full containers and a rest; no other is split. Items with null or
     non-positive size are left out; equal ids are items of their own. ``spec`` is read on the driver (it lists
-    tasks, at most 1,000); rows of it with null name or a capacity not in 1 … 4,194,304 are left out.
+    tasks, at most 1,000); rows of it with null name or a capacity below 1 are left out, one above 4,194,304 is an error.
 
     Only the histogram of lengths reaches the driver, at most one count per token of capacity, and so the plan is
     bounded by the capacities, not by the items. Ranks of items of one length are counted in ``salts`` parts, so
     a length that a third of all items share is spread over tasks. An empty table gives an empty result.
     """
     rows = spec.select(F.col(name).cast("string"), F.col(capacity).cast("long")).distinct().limit(1001).collect()
-    caps = sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None and 0 < r[1] <= MAX_CAPACITY)
+    caps = sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None and r[1] > 0)
+    if any(c > MAX_CAPACITY for _, c in caps):
+        raise ValueError(f"capacities must be at most {MAX_CAPACITY:,}")
     if len(rows) > 1000 or len({n for n, _ in caps}) < len(caps):
         raise ValueError("pack names must be unique and at most 1,000")
     schema = f"{name} string, {item_id} {items.schema[item_id].dataType.simpleString()}, part int, n_parts int, first_token long, tokens long, container long"

@@ -205,6 +205,13 @@ def test_residue_end_to_end(spark):
     assert score_residue(docs, train(docs.limit(0))).where("is_residue").count() == 0
 
 
+def test_capacity_beyond_the_plan_is_an_error(spark):
+    docs = spark.createDataFrame([(1, 10)], "id long, size long")
+    spec = spark.createDataFrame([("p", 64), ("q", (1 << 22) + 1)], "pack_name string, capacity_tokens int")
+    with pytest.raises(ValueError, match="capacities"):
+        pack(docs, spec, "id", "size")
+
+
 def test_residue_on_unseen_hosts(spark):
     docs = spark.createDataFrame(corpus(400, 1), "doc_id long, source string, text string, bad boolean")
     for r in host_validation(docs, folds=2, cfg=Training(rounds=20)).collect():
