@@ -112,31 +112,32 @@ def fill_category(df: DataFrame, value: str, group: Sequence[str], time: Sequenc
     """``df`` with ``out`` = ``value``, or the likeliest category where it is null, and ``mask`` telling which.
 
     Multinomial model with shrinkage: p(c | group, time) = (n(group, time, c) + strength · p(c | group)) /
-    (n(group, time) + strength), and p(c | group) leans on p(c) alike. Ties go to the smaller category. Only counts
+    (n(group, time) + strength), and p(c | group) leans on p(c) alike. All categories compete, also those not seen in a
+    cell or group: of these only the best one of the level above can win. Ties go to the smaller category. Only counts
     per cell are computed. A null group or time is a group of its own; with no value at all ``out`` stays null.
     """
     cell = list(dict.fromkeys([*group, *time]))
     counts = materialise(df.where(F.col(value).isNotNull()).groupBy(*cell, F.col(value).alias("__c")).agg(F.count(F.lit(1)).alias("__n")))
-    p0 = {r[0]: r[1] for r in counts.groupBy("__c").agg(F.sum("__n")).orderBy(F.desc("sum(__n)"), "__c").limit(1000).collect()}
-    total = sum(p0.values()) or 1
-    by_group = counts.groupBy(*group, "__c").agg(F.sum("__n").alias("__ng"))
-    base = F.coalesce(F.create_map(*[x for c, v in p0.items() for x in (F.lit(c), F.lit(v / total))])[F.col("__c")], F.lit(0.0)) if p0 else F.lit(0.0)
-    sizes = counts.groupBy(*group).agg(F.sum("__n").alias("__sg"))
-    by_group = _null_join(by_group, sizes, group).withColumn("__pg", (F.col("__ng") + strength * base) / (F.col("__sg") + strength))
-    best = lambda d, keys, p, o: d.groupBy(*keys).agg(F.max(F.struct(F.col(p), F.col("__neg"), F.col("__c"))).alias("__b"))
-    # p first; among equal p the smaller category: rank categories by their order once
-    order = {c: -i for i, c in enumerate(sorted(p0))}
-    neg = F.create_map(*[x for c, v in order.items() for x in (F.lit(c), F.lit(v))])[F.col("__c")] if p0 else F.lit(0)
-    of_group = best(by_group.withColumn("__neg", neg), group, "__pg", "g").select(*group, F.col("__b.__c").alias("__cg"))
+    # the first of an ascending order by (-p, category) is the likeliest and, among equals, the smallest category
+    rank = lambda p, c: F.struct((-p).alias("q"), F.col(c).alias("c"))
+    overall = materialise(counts.groupBy("__c").agg(F.sum("__n").alias("__n0")))
+    top = overall.agg(F.sum("__n0").alias("n"), F.min(rank(F.col("__n0"), "__c")).alias("b")).first()
+    kind = counts.schema["__c"].dataType
+    total, c0 = top["n"] or 1, F.lit(top["b"]["c"] if top["b"] else None).cast(kind)
+    p0 = F.lit(-top["b"]["q"] / total if top["b"] else 0.0)
+    by_group = counts.groupBy(*group, "__c").agg(F.sum("__n").alias("__ng")).join(overall.select("__c", (F.col("__n0") / F.lit(total)).alias("__base")), "__c")
+    by_group = _null_join(by_group, counts.groupBy(*group).agg(F.sum("__n").alias("__sg")), group).withColumn("__pg", (F.col("__ng") + strength * F.col("__base")) / (F.col("__sg") + strength))
+    unseen = F.struct((-(strength * p0 / (F.col("__sg") + strength))).alias("q"), c0.alias("c"))
+    of_group = by_group.groupBy(*group).agg(F.min(rank(F.col("__pg"), "__c")).alias("__b"), F.first("__sg").alias("__sg"))
+    of_group = of_group.withColumn("__b", F.least("__b", unseen)).select(*group, F.col("__b.c").alias("__cg"), (-F.col("__b.q")).alias("__best"))
     cells = _null_join(counts, counts.groupBy(*cell).agg(F.sum("__n").alias("__sc")), cell)
     cells = _null_join(cells, by_group.select(*group, F.col("__c").alias("__gc"), "__pg"), group).where(F.col("__gc") == F.col("__c"))
-    cells = cells.withColumn("__p", (F.col("__n") + strength * F.col("__pg")) / (F.col("__sc") + strength)).withColumn("__neg", neg)
-    of_cell = best(cells, cell, "__p", "c").select(*cell, F.col("__b.__c").alias("__cc"))
-    work = _null_join(_null_join(df, of_cell, cell), of_group, group)
-    fallback = F.lit(min((c for c, v in p0.items() if v == max(p0.values())), default=None)).cast(df.schema[value].dataType)
-    return (
-        work.withColumn(mask, F.col(value).isNull()).withColumn(out, F.coalesce(F.col(value), "__cc", "__cg", fallback)).drop("__cc", "__cg")
-    )
+    cells = cells.withColumn("__p", (F.col("__n") + strength * F.col("__pg")) / (F.col("__sc") + strength))
+    of_cell = cells.groupBy(*cell).agg(F.min(rank(F.col("__p"), "__c")).alias("__b"), F.first("__sc").alias("__sc"))
+    unseen = F.struct((-(strength * F.col("__best") / (F.col("__sc") + strength))).alias("q"), F.col("__cg").alias("c"))
+    of_cell = _null_join(of_cell, of_group, group).select(*cell, F.least("__b", unseen)["c"].alias("__cc"))
+    work = _null_join(_null_join(df, of_cell, cell), of_group.drop("__best"), group)
+    return work.withColumn(mask, F.col(value).isNull()).withColumn(out, F.coalesce(F.col(value), "__cc", "__cg", c0)).drop("__cc", "__cg")
 
 
 def sites(reference: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from strandline.__main__ import hmm_config, parser
 from strandline.functions import likelihood as L
 from strandline.operators import hmm as H
 from strandline.operators import sfs as M
+from strandline.operators.impute import fill_category
 from strandline.operators.panelstats import fake_contamination, poisson_inverse
 from strandline.pipelines import HmmConfig, SfsConfig
 from strandline.states import StateSpace
@@ -113,3 +114,15 @@ def test_registered_draws_have_all_replicates(spark, monkeypatch):
     monkeypatch.setattr(Q.H, "posterior_runs", lambda *a: asked.append(a[-1]) or e.select(F.lit(0).alias("it"), F.lit("AFR").alias("state"), F.lit(0).alias("start"), F.lit(1).alias("len")))
     Q.state_occupancy(spark, "")
     assert asked == [100]
+
+
+def test_category_fill_takes_unseen_categories(spark):
+    # one rare value in the cell (a, 2); 'x' is all of group a else, and of the rest
+    rows = [("a", 1, "x")] * 99 + [("a", 2, "y"), ("a", 2, None)] + [("b", 1, "z"), ("b", 1, None)]
+    df = spark.createDataFrame(rows, "g string, t int, v string")
+    got = lambda d, s: {(r.g, r.t): r.filled for r in fill_category(d, "v", ["g"], ["t"], strength=s).where("is_filled").collect()}
+    assert got(df, 10.0) == {("a", 2): "x", ("b", 1): "x"}
+    assert got(df, 0.1) == {("a", 2): "y", ("b", 1): "z"}
+    # more categories than 1,000: the smaller of two equal ones, both beyond the first thousand
+    many = [("g", 1, f"c{i:04d}") for i in range(1200) for _ in range(2)] + [("h", 1, "d1"), ("h", 1, "d0"), ("h", 1, None)]
+    assert got(spark.createDataFrame(many, "g string, t int, v string"), 0.1) == {("h", 1): "d0"}
