@@ -11,7 +11,7 @@ from strandline.functions.canon import canon_chrom, canon_sources
 from strandline.llm.logsketch import gamma, log_sketch, percentiles
 from strandline.llm.mixing import document_sizes, mix, mix_shares
 from strandline.llm.packing import pack
-from strandline.llm.residue import score_residue, train
+from strandline.llm.residue import host_validation, score_residue, train
 from strandline.llm.runs import collapse_runs
 from strandline.llm.sizes import byte_tokens
 from strandline.plans.tables import table
@@ -153,4 +153,5 @@ FROM plan p LEFT JOIN got USING (mix_name, source) LEFT JOIN al USING (mix_name)
     ),
     "p8_found": (p8_found, None),
     "p8_scores": (p8_scores, None),
+    "p8_unseen_hosts": (lambda s, d: host_validation(table(s, d, "documents")), None),
 }

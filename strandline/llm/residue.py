@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.canon import canon_source_name
+
 BITS = 18
 GRAMS = ((4, False), (6, True), (10, True))  # length in bytes, lower case
 MAX_SEGMENT = 512
@@ -362,6 +364,15 @@ def is_mention_only(text: str, model: Model) -> bool:
     return len(hot) > 0 and all(_MENTION.search(raw[starts[k] : ends[k]].decode("utf-8", "ignore")) for k in hot)
 
 
+def verdicts(texts: Sequence[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of texts, and whether each is residue: it scores above the threshold and does not only mention such things."""
+    s = model.score_texts(texts)
+    bad = s > model.threshold
+    for i in np.flatnonzero(bad):
+        bad[i] = not is_mention_only(texts[i], model)
+    return s, bad
+
+
 def score_residue(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc id, score, is_residue) for every document, one pass without a shuffle.
 
@@ -375,35 +386,30 @@ def score_residue(documents: DataFrame, model: Model, doc_id: str = "doc_id", te
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            texts = b[text].tolist()
-            s = m.score_texts(texts)
-            bad = s > m.threshold
-            for i in np.flatnonzero(bad):
-                bad[i] = not is_mention_only(texts[i], m)
+            s, bad = verdicts(b[text].tolist(), m)
             yield pd.DataFrame({doc_id: b[doc_id], "score": np.where(np.isfinite(s), s, np.nan), "is_residue": bad})
 
     return documents.select(doc_id, text).mapInPandas(run, f"{doc_id} {kind}, score double, is_residue boolean")
 
 
 def host_validation(documents: DataFrame, folds: int = 5, doc_id: str = "doc_id", text: str = "text", host: str = "source", cfg: Training | None = None) -> DataFrame:
-    """(fold, n, weak, precision, recall) of documents of hosts whose texts the model of that fold never saw, against weak labels."""
-    fold = F.pmod(F.xxhash64(F.coalesce(F.lower(F.trim(host)), F.lit(""))), F.lit(folds))
-    d = documents.withColumn("__fold", fold)
+    """(fold, n, weak, found, both, precision, recall) of documents of hosts whose texts the model of that fold never saw,
+    judged by the rule of ``score_residue`` against weak labels. Spellings of a host are one; a share of nothing is null."""
+    d = documents.withColumn("__fold", F.pmod(F.xxhash64(F.coalesce(canon_source_name(host), F.lit(""))), F.lit(folds)))
     out = []
     for k in range(folds):
-        model = train(d.where(F.col("__fold") != k), doc_id, text, host, cfg)
-        shared = documents.sparkSession.sparkContext.broadcast(model)
+        shared = documents.sparkSession.sparkContext.broadcast(train(d.where(F.col("__fold") != k), doc_id, text, host, cfg))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for b in batches:
                 texts = b[text].tolist()
-                s = shared.value.score_texts(texts) > shared.value.threshold
                 weak = [t is not None and any(y == 1 for *_, y in labelled_segments([("", t)])) for t in texts]
-                yield pd.DataFrame({"p": s, "y": weak})
+                yield pd.DataFrame({"p": verdicts(texts, shared.value)[1], "y": weak})
 
         r = d.where(F.col("__fold") == k).select(text).mapInPandas(run, "p boolean, y boolean")
         n = lambda c: F.count(F.when(c, 1))
-        out.append(r.agg(F.lit(k).alias("fold"), F.count(F.lit(1)).alias("n"), n(F.col("y")).alias("weak"), (n(F.col("p") & F.col("y")) / n(F.col("p"))).alias("precision"), (n(F.col("p") & F.col("y")) / n(F.col("y"))).alias("recall")))
+        r = r.agg(F.lit(k).alias("fold"), F.count(F.lit(1)).alias("n"), n(F.col("y")).alias("weak"), n(F.col("p")).alias("found"), n(F.col("p") & F.col("y")).alias("both"))
+        out.append(r.withColumn("precision", F.col("both") / F.nullif("found", F.lit(0))).withColumn("recall", F.col("both") / F.nullif("weak", F.lit(0))))
     r = out[0]
     for o in out[1:]:
         r = r.unionByName(o)

@@ -218,5 +218,27 @@ def test_residue_on_unseen_hosts(spark):
         assert r.recall > 0.9 and r.precision > 0.9
 
 
+def test_unseen_hosts_are_whole_hosts_under_the_rule_in_use(spark, monkeypatch):
+    from strandline.llm import residue
+    from strandline.llm.queries import QUERIES
+
+    assert "p8_unseen_hosts" in QUERIES
+    names = [(f"site-{i}", f" SITE_{i}") for i in range(12)]
+    docs = spark.createDataFrame([(i, n, 'It said "404 Not Found" again.') for i, pair in enumerate(names) for n in pair], "doc_id long, source string, text string")
+    trained = []
+    weights = np.zeros((len(residue.GRAMS) << residue.BITS) + residue.EXTRA, np.float32)
+
+    def train(d, *_):
+        trained.append({canon for (canon,) in d.select(F.translate(F.lower(F.trim("source")), "-", "_")).distinct().collect()})
+        return residue.Model(weights, 1.0)
+
+    monkeypatch.setattr(residue, "train", train)
+    got = host_validation(docs, folds=3).collect()
+    assert sum(r.n for r in got) == len(docs.collect())
+    # every text scores above the threshold but only mentions an error
+    assert all(r.found == 0 and r.precision is None and r.recall is None for r in got)
+    assert all(r.n == 2 * (len(names) - len(t)) for r, t in zip(got, trained))
+
+
 def test_encoding_folds_digits_and_spaces():
     assert encode("a\xa01\r9é") == "a 0\n0é".encode()
