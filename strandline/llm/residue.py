@@ -21,7 +21,7 @@ from strandline.functions.canon import canon_source_name
 BITS = 18
 GRAMS = ((4, False), (6, True), (10, True))  # length in bytes, lower case
 MAX_SEGMENT = 512
-SHORTEST = 4  # bytes; shorter segments are never residue
+OVERLAP = 128  # bytes that pieces of a longer segment share, more than any n-gram and most slots and notices
 BIAS = -3.0  # fixed, so that residue needs evidence
 CHUNK = 1 << 19
 LENGTHS = 12
@@ -123,17 +123,28 @@ def encode(text: str) -> bytes:
 
 
 def cut(buf: np.ndarray) -> np.ndarray:
-    """Starts of segments in a buffer: after line ends and sentence ends; none is longer than MAX_SEGMENT bytes."""
-    n = len(buf)
+    """Starts of segments in a buffer: after line ends and sentence ends."""
     ends = buf == 10
     stop = (buf == 46) | (buf == 33) | (buf == 63)
     ends[:-1] |= stop[:-1] & (buf[1:] == 32)
-    starts = np.r_[0, np.flatnonzero(ends[:-1]) + 1]
-    size = np.diff(np.r_[starts, n])
-    if size.max(initial=0) > MAX_SEGMENT:
-        times = -(-size // MAX_SEGMENT)
-        starts = np.repeat(starts, times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)) * MAX_SEGMENT
-    return starts
+    return np.r_[0, np.flatnonzero(ends[:-1]) + 1]
+
+
+def spread(b: bytes, like: bytes | None = None) -> bytes:
+    """``b`` with every segment above MAX_SEGMENT bytes as lines of at most that length that share OVERLAP bytes with the
+    next; ``like`` is a text of equal length whose segments count instead."""
+    starts = cut(np.frombuffer(like or b, np.uint8))
+    ends = np.r_[starts[1:], len(b)]
+    long = np.flatnonzero(ends - starts > MAX_SEGMENT)
+    if not len(long):
+        return b
+    out, at = [], 0
+    for s, e in zip(starts[long].tolist(), ends[long].tolist()):
+        out.append(b[at:s])
+        step = MAX_SEGMENT - OVERLAP
+        out.append(b"\n".join(b[k : k + MAX_SEGMENT] if k + MAX_SEGMENT < e else b[k:e] for k in range(s, e - OVERLAP, step)))
+        at = e
+    return b"".join([*out, b[at:]])
 
 
 def gram_index(buf: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -173,7 +184,8 @@ class Model:
             out += np.add.reduceat(w, starts) if n else 0
         extra = self.weights[len(GRAMS) << BITS :]
         size = np.diff(np.r_[starts, n])
-        return np.where(size > SHORTEST, out + extra[length_class(size)] + title * extra[LENGTHS], -np.inf)
+        seen = np.add.reduceat(buf > 32, starts, dtype=np.int64) > 0 if n else np.zeros(len(starts), bool)
+        return np.where(seen, out + extra[length_class(size)] + title * extra[LENGTHS], -np.inf)
 
     def score_texts(self, texts: Sequence[str | None]) -> np.ndarray:
         """The highest segment score of each text; -inf for null and blank ones. Whole texts count."""
@@ -182,7 +194,7 @@ class Model:
         for i, t in enumerate(texts):
             if t is None or not t.strip():
                 continue
-            b = encode(t)
+            b = spread(encode(t))
             for k in range(0, len(b), CHUNK):  # a very long text in pieces that overlap by a segment
                 piece = b[max(0, k - MAX_SEGMENT) : k + CHUNK]
                 held.append((i, k == 0, piece))
@@ -232,11 +244,12 @@ def labelled_segments(rows: Iterator[tuple[str, str]]) -> Iterator[tuple[str, st
         for i, line in enumerate(lines):
             filler = _LOREM.search(line) and not _MENTION.search(line)
             for j, s in enumerate(split.split(line)):
-                s = s[:MAX_SEGMENT]
-                label = weak_label(s)
-                if label == 0 and (filler or page):
-                    label = 1
-                yield host, re.sub(r"\d", "0", s), int(i == 0 and j == 0), label
+                for k in range(0, max(1, len(s) - OVERLAP), MAX_SEGMENT - OVERLAP) if len(s) > MAX_SEGMENT else (0,):
+                    x = s[k : k + MAX_SEGMENT]
+                    label = weak_label(x)
+                    if label == 0 and (filler or page):
+                        label = 1
+                    yield host, re.sub(r"\d", "0", x), int(i == 0 and j == 0 and k == 0), label
 
 
 def training_rows(documents: DataFrame, doc_id: str, text: str, host: str, cfg: Training) -> pd.DataFrame:
@@ -355,9 +368,10 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", host
 
 def is_mention_only(text: str, model: Model) -> bool:
     """Exact check of a candidate: whether every segment that scores as residue only mentions, explains or quotes it."""
-    buf = np.frombuffer(encode(text) + b"\n", np.uint8)
+    code = encode(text)
+    buf = np.frombuffer(spread(code) + b"\n", np.uint8)
     starts = cut(buf)
-    raw = text.replace("\r", "\n").replace("\xa0", " ").encode("utf-8", "replace") + b"\n"
+    raw = spread(text.replace("\r", "\n").replace("\xa0", " ").encode("utf-8", "replace"), code) + b"\n"
     s = model.segment_scores(buf, starts, starts == 0)
     ends = np.r_[starts[1:], len(buf)]
     hot = np.flatnonzero(s > model.threshold)

@@ -240,5 +240,30 @@ def test_unseen_hosts_are_whole_hosts_under_the_rule_in_use(spark, monkeypatch):
     assert all(r.n == 2 * (len(names) - len(t)) for r, t in zip(got, trained))
 
 
+def test_long_and_short_segments_are_scored_whole():
+    from strandline.llm import residue
+
+    # the model knows one notice, by its n-grams of 10 bytes
+    notice = "please enable javascript"
+    w = np.zeros((len(residue.GRAMS) << residue.BITS) + residue.EXTRA, np.float32)
+    code = np.frombuffer(notice.encode(), np.uint8)
+    at, h, ok = list(residue.gram_index(code, np.array([0])))[2]
+    w[at + h[ok]] = 1.0
+    four = np.frombuffer(b"TBD\n", np.uint8)
+    at, h, ok = next(residue.gram_index(four, np.array([0])))
+    w[at + h[ok]] = 9.0
+    m = residue.Model(w, -3.0)
+    whole = m.score_texts([notice])[0]
+    for k in range(440, 560):
+        long = ("depth falls near the site " * 30)[:k] + " " + notice + " " + "and so on " * 90
+        assert m.score_texts([long])[0] >= whole - 1e-6, k
+    b = residue.encode("ab1 " * 700)
+    assert residue.spread(b, b) == residue.spread(b) and np.diff(np.r_[residue.cut(np.frombuffer(residue.spread(b), np.uint8)), len(residue.spread(b))]).max() <= residue.MAX_SEGMENT + 1
+    assert m.score_texts(["The depth falls.\nTBD\n"])[0] > 0
+    assert np.isneginf(m.score_texts([" \n \n"])[0])
+    slot = [y for *_, y in residue.labelled_segments([("", "word " * 300 + "{{ name }} " + "word " * 10)])]
+    assert 1 in slot and not residue.is_mention_only("word " * 300 + notice, m)
+
+
 def test_encoding_folds_digits_and_spaces():
     assert encode("a\xa01\r9é") == "a 0\n0é".encode()
