@@ -74,8 +74,9 @@ def test_periods_against_brute_force(spark):
     data = {k: [(s := rng.randint(0, 300), s + rng.choice([0, 0, 1, 5, 40, -7])) for _ in range(rng.randint(1, 25))] for k in "abcdefgh"}
     rows = [(k, a, b) for k, v in data.items() for a, b in v] * 2 + [(None, 1, 2), ("a", None, None)]
     df = spark.createDataFrame(rows, "k string, s long, e long").withColumn("kind", F.lit("clash"))
-    got = sorted((r.k, r.kind, r.s, r.e) for r in periods_and_gaps(df, ["k"], "s", "e", block=32).collect())
-    assert got == sorted((k, *x) for k, v in data.items() for x in brute_periods(v))
+    for hot in (0, 20, 1000):
+        got = sorted((r.k, r.kind, r.s, r.e) for r in periods_and_gaps(df, ["k"], "s", "e", block=32, hot=hot).collect())
+        assert got == sorted((k, *x) for k, v in data.items() for x in brute_periods(v))
     assert periods_and_gaps(df.limit(0), ["k"], "s", "e").count() == 0
 
 
