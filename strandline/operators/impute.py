@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.canon import canon_chrom, genetic_position
-from strandline.plans.scan import nearest, running_max_before
+from strandline.plans.scan import BLOCK, before, running_max_before, two_level, with_block
 from strandline.plans.tables import materialise
 
 SITE_BLOCK = 1_000_000
 
 
-def _null_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on null-safe equality of ``keys``; the right side is one row per key."""
+BROADCAST_ROWS = 100_000
+
+
+def _null_join(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Left join on null-safe equality of ``keys``; the right side is one row per key, broadcast where it is known to have
+    at most 100,000 ``rows``."""
     r = right.select(*[F.col(k).alias(f"__j_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    r = F.broadcast(r) if rows is not None and rows <= BROADCAST_ROWS else r
     cond = None
     for k in keys:
         c = left[k].eqNullSafe(r[f"__j_{k}"])
@@ -61,6 +66,7 @@ def fill_numeric(df: DataFrame, value: str, group: Sequence[str], time: Sequence
         F.sum(sxy).alias("sxy"),
         F.sum(syy).alias("syy"),
         F.count(F.when(F.col("__n") > 0, 1)).alias("k"),
+        F.count(F.lit(1)).alias("groups"),
     ).first()
     n, k = t["n"] or 0, t["k"] or 0
     my = (t["sy"] or 0.0) / n if n else 0.0
@@ -88,7 +94,7 @@ def fill_numeric(df: DataFrame, value: str, group: Sequence[str], time: Sequence
         (F.lit(slope) + F.coalesce(w_slope * (own - slope), F.lit(0.0))).alias("__gs"),
         (base + F.coalesce(w_int * (F.col("__my") - base), F.lit(0.0))).alias("__gi"),
     )
-    work = _null_join(work, g, group)
+    work = _null_join(work, g, group, t["groups"])
     fit = F.col("__gi") + F.col("__gs") * F.coalesce(F.col("__x") - F.col("__gx"), F.lit(0.0))
     work = work.withColumn("__fit", fit).withColumn("__res", F.col("__y") - F.col("__fit"))
     cells = materialise(work.groupBy(*time).agg(F.count("__res").alias("__tn"), F.avg("__res").alias("__tm"), F.var_pop("__res").alias("__tv")))
@@ -98,11 +104,12 @@ def fill_numeric(df: DataFrame, value: str, group: Sequence[str], time: Sequence
         F.count(F.when(F.col("__tn") > 0, 1)).alias("k"),
         F.sum(F.col("__tm") * F.col("__tm")).alias("between"),
         F.sum(F.when(F.col("__tn") > 0, 1 / F.col("__tn"))).alias("inv"),
+        F.count(F.lit(1)).alias("cells"),
     ).first()
     e2 = (c["rss"] or 0.0) / max(1, (c["n"] or 0) - (c["k"] or 0))
     var_time = max(0.0, ((c["between"] or 0.0) - e2 * (c["inv"] or 0.0)) / c["k"]) if c["k"] else 0.0
     effect = F.when(F.col("__tn") > 0, F.col("__tm") * F.lit(var_time) / (F.lit(var_time) + F.lit(e2) / F.col("__tn") + F.lit(1e-300)))
-    work = _null_join(work, cells.select(*time, effect.alias("__te")), time)
+    work = _null_join(work, cells.select(*time, effect.alias("__te")), time, c["cells"])
     predicted = F.lit(None).cast("double") if not n else F.col("__fit") + F.coalesce("__te", F.lit(0.0))
     extra = [x for x in work.columns if x.startswith("__")]
     return work.withColumn(out, F.coalesce(F.col("__y"), predicted)).withColumn(mask, F.col("__y").isNull()).drop(*extra)
@@ -140,32 +147,36 @@ def fill_category(df: DataFrame, value: str, group: Sequence[str], time: Sequenc
     return work.withColumn(mask, F.col(value).isNull()).withColumn(out, F.coalesce(F.col(value), "__cc", "__cg", c0)).drop("__cc", "__cg")
 
 
+def _valid_sites(reference: DataFrame) -> DataFrame:
+    """(chrom, pos, cm, block, highest valid value before) of every site."""
+    s = reference.select(canon_chrom("chrom").alias("chrom"), F.col("pos").cast("long").alias("pos"), genetic_position("map").alias("__v")).where("chrom is not null and pos is not null")
+    s = with_block(s, "pos", SITE_BLOCK).groupBy("chrom", BLOCK, "pos").agg(F.max("__v").alias("__v"))
+    s = running_max_before(s, ["chrom"], "pos", "__v", "__m", SITE_BLOCK, null_keys=False, keep_block=True)
+    return s.select("chrom", "pos", F.when(~F.coalesce(F.col("__v") < F.col("__m"), F.lit(False)), F.col("__v")).alias("cm"), BLOCK, "__m")
+
+
 def sites(reference: DataFrame) -> DataFrame:
     """One row per (chrom, pos) with the valid genetic position, if any, as ``cm``.
 
     Repeated rows of a site agree but for spelling; the largest valid value of a site counts. A value is valid when
     it is finite, from 0 to below 400, and not below a valid one earlier on the chromosome. Null chrom or pos: left out.
     """
-    s = (
-        reference.select(canon_chrom("chrom").alias("chrom"), F.col("pos").cast("long").alias("pos"), genetic_position("map").alias("__v"))
-        .where("chrom is not null and pos is not null")
-        .groupBy("chrom", "pos")
-        .agg(F.max("__v").alias("__v"))
-    )
-    s = running_max_before(s, ["chrom"], "pos", "__v", "__m", SITE_BLOCK)
-    return s.select("chrom", "pos", F.when(~F.coalesce(F.col("__v") < F.col("__m"), F.lit(False)), F.col("__v")).alias("cm"))
+    return _valid_sites(reference).drop(BLOCK, "__m")
 
 
 def fill_site_map(reference: DataFrame) -> DataFrame:
     """(chrom, pos, cm, cm_filled, is_filled): every site's genetic position, filled where it is missing.
 
     Chromosomes are the groups, 1 Mb stretches of a chromosome the times and pos the covariate; the prediction is
-    then kept between the nearest valid positions before and after, so that the map never falls.
+    then kept between the nearest valid positions before and after, so that the map never falls. Valid values never fall,
+    so the one before a missing site is the highest so far.
     """
-    s = materialise(sites(reference)).withColumn("stretch", F.floor(F.col("pos") / SITE_BLOCK))
-    f = fill_numeric(s, "cm", ["chrom"], ["chrom", "stretch"], "pos", "predicted", "is_filled").drop("stretch")
-    f = nearest(f, ["chrom"], "pos", "cm", "__lo", "__hi", SITE_BLOCK)
-    kept = F.greatest(F.least(F.col("predicted"), F.coalesce("__hi", F.lit(399.999))), F.coalesce("__lo", F.lit(0.0)))
+    last = lambda c, w: F.last(c, ignorenulls=True).over(before(w))
+    seen = F.when(F.col("cm").isNotNull(), F.col("pos"))
+    s = two_level(_valid_sites(reference), ["chrom"], "pos", SITE_BLOCK, lambda up, down: {"__hi": last("cm", down)}, {"__first": F.min_by("cm", seen)}, lambda up, down: {"__n": last("__first", down)}, null_keys=False)
+    s = materialise(s.select("chrom", "pos", "cm", F.col("__m").alias("lo"), F.coalesce("__hi", "__n").alias("hi"))).withColumn("stretch", F.floor(F.col("pos") / SITE_BLOCK))
+    f = fill_numeric(s, "cm", ["chrom"], ["chrom", "stretch"], "pos", "predicted", "is_filled")
+    kept = F.greatest(F.least(F.col("predicted"), F.coalesce("hi", F.lit(399.999))), F.coalesce("lo", F.lit(0.0)))
     return f.withColumn("cm_filled", F.when(F.col("is_filled"), kept).otherwise(F.col("cm"))).select("chrom", "pos", "cm", "cm_filled", "is_filled")
 
 

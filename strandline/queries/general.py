@@ -53,7 +53,8 @@ def call_periods(spark: SparkSession, d: str) -> DataFrame:
     )
     p = periods_and_gaps(f, ["name", "chrom"], "pos", "pos_end")
     names = table(spark, d, "samples").select(F.trim("sample").alias("sample")).where("sample is not null").groupBy(F.lower("sample").alias("name")).agg(F.min("sample").alias("sample"))
-    return p.join(names, "name", "left").select(F.coalesce("sample", F.initcap("name")).alias("sample"), "chrom", "kind", "pos", "pos_end")
+    # a call whose sample isn't in samples keeps its canonical name
+    return p.join(names, "name", "left").select(F.coalesce("sample", "name").alias("sample"), "chrom", "kind", "pos", "pos_end")
 
 
 def p3_cover(spark: SparkSession, d: str) -> DataFrame:
@@ -66,8 +67,10 @@ def p3_cover(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    m = fill_site_map(table(spark, d, "reference_file")).where("is_filled")
-    c = fill_chrom_limits(table(spark, d, "chrom_limits")).where("is_filled")
+    """The cells that the operator filled, each with a value that can be a genetic position (or none, if no value is known at all)."""
+    done = lambda c: F.col("is_filled") & (F.col(c).isNull() | ((F.col(c) >= 0) & (F.col(c) < 400)))
+    m = fill_site_map(table(spark, d, "reference_file")).where(done("cm_filled"))
+    c = fill_chrom_limits(table(spark, d, "chrom_limits")).where(done("value_filled"))
     return m.select(F.lit("reference_file").alias("table_name"), F.lit("map").alias("field"), F.lit("").alias("panel"), "chrom", "pos").unionByName(
         c.select(F.lit("chrom_limits").alias("table_name"), "field", "panel", "chrom", F.lit(0).cast("long").alias("pos"))
     )
@@ -110,7 +113,7 @@ per AS (SELECT name, chrom, grp, min(a) AS pos, max(b) AS pos_end FROM g GROUP B
 both_kinds AS (SELECT name, chrom, 'period' AS kind, pos, pos_end FROM per UNION ALL
  SELECT * FROM (SELECT name, chrom, 'gap' AS kind, pos_end AS pos, lead(pos) OVER (PARTITION BY name, chrom ORDER BY pos) AS pos_end FROM per) WHERE pos_end IS NOT NULL),
 names AS (SELECT lower(trim(sample)) AS name, min(trim(sample)) AS sample FROM samples WHERE sample IS NOT NULL GROUP BY 1),
-out AS (SELECT n.sample, p.chrom, p.kind, p.pos, p.pos_end FROM both_kinds p JOIN names n ON n.name = p.name)
+out AS (SELECT coalesce(n.sample, p.name) AS sample, p.chrom, p.kind, p.pos, p.pos_end FROM both_kinds p LEFT JOIN names n ON n.name = p.name)
 """
 
 _BAD = "({c} IS NULL OR isnan({c}) OR {c} < 0 OR {c} >= 400)"
