@@ -17,7 +17,8 @@ def _c(col: Column | str) -> Column:
 
 def canon_chrom(col: Column | str) -> Column:
     """'chr01', ' 1', 'CHR1 ' -> '1'; '23', 'x', 'chrX' -> 'X'. Null and blank give null."""
-    bare = F.regexp_replace(F.upper(F.trim(_c(col), F.lit(WHITE))), "^(CHR)?0*", "")
+    up = F.upper(F.trim(_c(col), F.lit(WHITE)))
+    bare = F.ltrim(F.when(up.startswith("CHR"), F.substring(up, 4, 1 << 30)).otherwise(up), F.lit("0"))
     return F.when(bare == "", None).when(bare == "23", "X").otherwise(bare)
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.canon import chrom_rank
+from strandline.plans.scan import before, running_count, two_level
 
 HAPLOID_ALWAYS = ("Y", "W")
+POS_BLOCK = 1 << 20
 
 
 def merge_states(panel: DataFrame, states: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
@@ -134,12 +136,11 @@ def snp_bins(sites: DataFrame, by: str, size: float) -> DataFrame:
 
 
 def snp_ids(sites: DataFrame) -> DataFrame:
-    """Dense ids in genome order: a row number per chromosome plus the chromosome's offset, no global window over sites."""
+    """Dense ids in genome order: a row number per chromosome, counted in blocks, plus the chromosome's offset."""
     per = sites.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(chrom_rank("chrom"), "chrom").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("chrom", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
-    own = F.row_number().over(Window.partitionBy("chrom").orderBy("pos"))
-    return sites.withColumn("__rn", own).join(per, "chrom").withColumn("snp_id", F.col("first") + F.col("__rn") - 1).drop("__rn", "first")
+    return running_count(sites, ["chrom"], "pos", "__rn", POS_BLOCK, null_keys=False).join(per, "chrom").withColumn("snp_id", F.col("first") + F.col("__rn") - 1).drop("__rn", "first")
 
 
 def block_ids(sites: DataFrame, mode: str, size: int) -> DataFrame:
@@ -149,24 +150,29 @@ def block_ids(sites: DataFrame, mode: str, size: int) -> DataFrame:
     lim = sites.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), (F.max("pos") - F.min("pos") + 1).alias("span"))
     total = F.col("n") if mode == "snp" else F.col("span")
     lim = lim.withColumn("k", F.greatest(F.floor(total / F.lit(size)), F.lit(1))).withColumn("each", F.ceil(total / F.col("k")))
-    j = sites.withColumn("__rn", F.row_number().over(Window.partitionBy("chrom").orderBy("pos")) - 1).join(lim, "chrom")
-    at = F.col("__rn") if mode == "snp" else F.col("pos") - F.col("lo")
-    return j.withColumn("block", F.floor(at / F.col("each"))).drop("__rn", "n", "lo", "span", "k", "each")
+    numbered = running_count(sites, ["chrom"], "pos", "__rn", POS_BLOCK, null_keys=False) if mode == "snp" else sites
+    at = F.col("__rn") - 1 if mode == "snp" else F.col("pos") - F.col("lo")
+    return numbered.join(lim, "chrom").withColumn("block", F.floor(at / F.col("each"))).drop("__rn", "n", "lo", "span", "k", "each")
 
 
-def interpolate_map(points: DataFrame, knots: DataFrame, pos: str, knot_pos: str, knot_map: str, out: str = "map", clamp: bool = True) -> DataFrame:
+def interpolate_map(points: DataFrame, knots: DataFrame, pos: str, knot_pos: str, knot_map: str, out: str = "map", clamp: bool = True, block: int = POS_BLOCK) -> DataFrame:
     """``points`` with the genetic position interpolated linearly between the knots of its chromosome.
 
-    An as-of join in both directions as one window over the union of points and knots: no range join. Outside the
+    An as-of join in both directions over the union of points and knots, in blocks of positions: no range join. Outside the
     knots the nearest one's value holds (``clamp``), or null.
     """
     k = knots.select("chrom", F.col(knot_pos).cast("double").alias("__at"), F.struct(F.col(knot_pos).cast("double").alias("p"), F.col(knot_map).cast("double").alias("m")).alias("__k"))
     p = points.select("chrom", F.col(pos).cast("double").alias("__at"), F.struct(*points.columns).alias("__row"))
-    u = p.unionByName(k, allowMissingColumns=True)
-    w = Window.partitionBy("chrom").orderBy("__at")
-    lo = F.last("__k", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    hi = F.first("__k", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    u = u.withColumn("__lo", lo).withColumn("__hi", hi).where("__row is not null")
+    upto = lambda w: F.last("__k", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    last = lambda c, w: F.last(c, ignorenulls=True).over(before(w))
+    seen = F.when(F.col("__k").isNotNull(), F.col("__at"))
+    u = two_level(
+        p.unionByName(k, allowMissingColumns=True), ["chrom"], "__at", block,
+        lambda up, down: {"__lo": upto(up), "__hi": upto(down)},
+        {"__last": F.max_by("__k", seen), "__first": F.min_by("__k", seen)},
+        lambda up, down: {"__p": last("__last", up), "__n": last("__first", down)},
+    )
+    u = u.where("__row is not null").select("__row", "__at", F.coalesce("__lo", "__p").alias("__lo"), F.coalesce("__hi", "__n").alias("__hi"))
     between = F.col("__lo.m") + (F.col("__at") - F.col("__lo.p")) * (F.col("__hi.m") - F.col("__lo.m")) / F.nullif(F.col("__hi.p") - F.col("__lo.p"), F.lit(0.0))
     edge = F.coalesce("__lo.m", "__hi.m") if clamp else F.when(F.col("__lo.p") == F.col("__hi.p"), F.col("__lo.m"))
     return u.select("__row.*", F.coalesce(between, edge).alias(out))
