@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.canon import canon_chrom, canon_sources
+from strandline.functions.canon import SOURCES, canon_chrom
 from strandline.llm.logsketch import gamma, log_sketch, percentiles
 from strandline.llm.mixing import document_sizes, mix, mix_shares
 from strandline.llm.packing import pack
@@ -24,9 +24,12 @@ QS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     """Every run of bins: first and last id, number of bins, first and last position and length in base pairs."""
-    b = table(spark, d, "bins").select(F.trim("sample").alias("sample"), canon_chrom("chrom").alias("chrom"), "id", canon_sources("viterbi").alias("state"), F.col("pos").cast("long").alias("pos"))
-    r = collapse_runs(b, ["sample", "chrom"], "id", "state", {"pos": F.min("pos"), "last": F.max("pos")}, ["pos"])
-    return r.select("sample", "chrom", "state", F.col("start").alias("id"), F.col("end").alias("id_end"), F.col("n").alias("n_bins"), "pos", (F.col("last") + BIN_WIDTH - F.col("pos")).alias("length"))
+    up = F.upper("viterbi")
+    bits = [F.when(up.contains(s), 1 << i).otherwise(0) for i, s in enumerate(SOURCES)]
+    b = table(spark, d, "bins").select(F.trim("sample").alias("sample"), canon_chrom("chrom").alias("chrom"), "id", F.nullif(sum(bits[1:], bits[0]), F.lit(0)).alias("state"), F.col("pos").cast("long").alias("pos"))
+    r = collapse_runs(b, ["sample", "chrom"], "id", "state", {"first": ("min", "pos"), "last": ("max", "pos")})
+    names = F.concat_ws("", *[F.when(F.col("state").bitwiseAND(1 << i) > 0, s) for i, s in enumerate(SOURCES)])
+    return r.select("sample", "chrom", names.alias("state"), F.col("start").alias("id"), F.col("end").alias("id_end"), F.col("n").alias("n_bins"), F.col("first").alias("pos"), (F.col("last") + BIN_WIDTH - F.col("first")).alias("length"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,12 +94,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_scores(spark, d).where("is_residue").select("doc_id")
 
 
-_UP = "upper(viterbi)"
-_STATE = "nullif(" + " || ".join(f"CASE WHEN {_UP} LIKE '%{s}%' THEN '{s}' ELSE '' END" for s in ("AFR", "NEA", "DEN")) + ", '')"
+_BITS = " + ".join(f"CASE WHEN upper(viterbi) LIKE '%{s}%' THEN {1 << i} ELSE 0 END" for i, s in enumerate(SOURCES))
+_NAMES = " || ".join(f"CASE WHEN state & {1 << i} > 0 THEN '{s}' ELSE '' END" for i, s in enumerate(SOURCES))
 _RUNS = f"""
-WITH b AS (SELECT trim(sample) AS sample, {chrom_sql()} AS chrom, id, max({_STATE}) AS state, max(CAST(pos AS BIGINT)) AS pos FROM bins GROUP BY 1, 2, 3),
+WITH b AS (SELECT trim(sample) AS sample, {chrom_sql()} AS chrom, id, max(nullif({_BITS}, 0)) AS state, max(CAST(pos AS BIGINT)) AS pos FROM bins GROUP BY 1, 2, 3),
 n AS (SELECT *, id - row_number() OVER (PARTITION BY sample, chrom, state ORDER BY id) AS island FROM b WHERE state IS NOT NULL),
-runs AS (SELECT sample, chrom, state, min(id) AS id, max(id) AS id_end, count(*) AS n_bins, min(pos) AS pos, max(pos) + {BIN_WIDTH} - min(pos) AS length FROM n GROUP BY sample, chrom, state, island)
+runs AS (SELECT sample, chrom, {_NAMES} AS state, min(id) AS id, max(id) AS id_end, count(*) AS n_bins, min(pos) AS pos, max(pos) + {BIN_WIDTH} - min(pos) AS length FROM n GROUP BY sample, chrom, n.state, island)
 """
 _SKETCH = f"""
 WITH long AS (SELECT lib, CAST(run_date AS VARCHAR) AS run_date, 'tref' AS measure, CAST(tref AS DOUBLE) AS v FROM target_file WHERE lib IS NOT NULL AND tref IS NOT NULL

@@ -45,6 +45,12 @@ def test_runs_against_brute_force(spark, block):
     assert collapse_runs(df.limit(0), ["e"], "i", "s").count() == 0
 
 
+def test_runs_carry_extras_across_blocks(spark):
+    df = spark.createDataFrame([("a", i, "x" if i < 11 else "y", i * 10) for i in range(-3, 14) if i != 2] + [("a", 5, "x", 7)], "e string, i long, s string, v long")
+    got = sorted((r.start, r.end, r.n, r.lo, r.hi, r.total) for r in collapse_runs(df, ["e"], "i", "s", {"lo": ("min", "v"), "hi": ("max", "v"), "total": ("sum", "v")}, block=3).collect())
+    assert got == [(-3, 1, 5, -30, 10, -50), (3, 10, 8, 30, 100, 520), (11, 13, 3, 110, 130, 360)]
+
+
 def test_repeats_that_disagree_take_the_largest_state(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 2, "y"), ("a", 3, None)], "e string, i long, s string")
     assert [(r.s, r.start, r.end) for r in collapse_runs(df, ["e"], "i", "s").collect()] == [("y", 1, 2)]
