@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.canon import canon_source_name
+from strandline.llm.sizes import canon_source_name
 
 BITS = 18
 GRAMS = ((4, False), (6, True), (10, True))  # length in bytes, lower case

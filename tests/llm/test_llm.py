@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.logsketch import log_sketch, merge_sketches, percentiles
 from strandline.llm.mixing import document_sizes, mix, mix_plan, mix_shares
-from strandline.llm.packing import nnls, pack, plan_packing, strategies
+from strandline.llm.packing import Pool, nnls, pack, plan_packing, strategies
 from strandline.llm.residue import CHUNK, Training, encode, host_validation, score_residue, train, weak_label
 from strandline.llm.runs import collapse_runs
 from strandline.llm.sizes import byte_tokens
@@ -117,7 +117,7 @@ def test_pack_documents(spark):
     rng = random.Random(7)
     texts = [(i, rng.choice([None, "", "é" * 10, "x" * rng.randint(1, 400), "y" * 5000])) for i in range(300)] + [(1, "dup"), (None, "z" * 50)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("container", F.lit("clash"))
-    spec = spark.createDataFrame([("small", 128), ("large", 1000), (None, 5), ("bad", 0), ("none", None)], "pack_name string, capacity_tokens int")
+    spec = spark.createDataFrame([("small", 128), ("large", 1000), (None, 5), ("none", None)], "pack_name string, capacity_tokens int")
     out = pack(docs.select("doc_id", "container", byte_tokens("text").alias("size")), spec, "doc_id", "size", salts=3).toPandas()
     sizes = sorted(len(t.encode()) + 1 for _, t in texts if t is not None)
     for name, cap in (("small", 128), ("large", 1000)):
@@ -152,8 +152,9 @@ def test_mix_shares_and_caps(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("tokens", F.lit("clash"))
     targets = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b_c", 0.3, 1), ("m", "d", 0.2, 3), ("k", "small", 0.5, 4), ("k", "a", 0.5, 1), ("z", "nowhere", 1.0, 1), (None, "a", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
     sizes = document_sizes(docs, "doc_id", byte_tokens("text"), "source")
-    out = mix(sizes, targets, seed=3)
-    assert sorted(map(str, out.collect())) == sorted(map(str, mix(sizes.repartition(7), targets, seed=3).collect()))
+    for c in (False, True):
+        out = mix(sizes, targets, seed=3, calibrated=c)
+        assert sorted(map(str, out.collect())) == sorted(map(str, mix(sizes.repartition(7), targets, seed=3, calibrated=c).collect()))
     caps = {(m, s): c for m, s, _, c, *_ in mix_plan(sizes, targets)}
     for r in out.groupBy("mix_name", "source", "doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("top")).collect():
         assert r.n == r.top <= caps[r.mix_name, r.source]
@@ -211,11 +212,54 @@ def test_residue_end_to_end(spark):
     assert score_residue(docs, train(docs.limit(0))).where("is_residue").count() == 0
 
 
-def test_capacity_beyond_the_plan_is_an_error(spark):
-    docs = spark.createDataFrame([(1, 10)], "id long, size long")
-    spec = spark.createDataFrame([("p", 64), ("q", (1 << 22) + 1)], "pack_name string, capacity_tokens int")
-    with pytest.raises(ValueError, match="capacities"):
-        pack(docs, spec, "id", "size")
+def test_large_capacities_are_packed_and_bad_ones_an_error(spark):
+    sizes = [10, 4_999_999, 5_000_000, 5_000_001, 12_000_000, *[1_250_000] * 9, *[3] * 50]
+    docs = spark.createDataFrame(list(enumerate(sizes)), "id long, size long")
+    spec = lambda *x: spark.createDataFrame(list(x), "pack_name string, capacity_tokens long")
+    out = pack(docs, spec(("p", 5_000_000), ("q", 100), ("r", 3_000_000_000)), "id", "size").toPandas()
+    for name, cap in (("p", 5_000_000), ("q", 100), ("r", 3_000_000_000)):
+        own = out[out.pack_name == name]
+        assert own.groupby("id").tokens.sum().tolist() == sizes
+        assert own.groupby("container").tokens.sum().max() <= cap
+        assert (own.n_parts == [-(-sizes[i] // cap) for i in own.id]).all()
+    assert out[out.pack_name == "p"].container.nunique() <= 9 and out[out.pack_name == "r"].container.nunique() == 1
+    for bad in ((("p", 0),), (("p", 64), ("p", 65))):
+        with pytest.raises(ValueError):
+            pack(docs, spec(*bad), "id", "size")
+
+
+def test_plan_is_no_worse_than_best_fit():
+    rng = np.random.default_rng(2)
+    for _ in range(4):
+        lengths, counts = np.unique(np.minimum(rng.lognormal(6, 1, 3000).astype(int) + 1, 2048), return_counts=True)
+        pool = Pool(2048)
+        for n, c in zip(lengths[::-1].tolist(), counts[::-1].tolist()):
+            pool.place(n, c)
+        assert plan_packing(lengths, counts, 2048)[1] <= pool.containers()
+
+
+def test_bound_holds_for_tiny_and_huge_values_and_null_groups(spark):
+    vals = [1e-13, 1e-13, 1e-13, -1e-300, 3e-310, 5e-324, 1.7e308, -1.7976931348623157e308, 0.0]
+    df = spark.createDataFrame([(None, v) for v in vals] + [("a", 1e-13)], "g string, v double")
+    for r in percentiles(log_sketch(df, ["g"], ["v"]), ["g"], [i / 8 for i in range(9)]).collect():
+        own = sorted(vals) if r.g is None else [1e-13]
+        want = own[math.floor(r.q * (len(own) - 1))]
+        assert abs(r.value - want) <= 0.01 * abs(want) * (1 + 1e-9) and (r.value == 0) == (want == 0), (r, want)
+    with pytest.raises(ValueError):
+        log_sketch(df, ["g"], ["v"], 0.0)
+
+
+def test_bernoulli_copies(spark):
+    docs = spark.createDataFrame([(i, s, "x" * (i % 50)) for s in "ab" for i in range(s == "b", 4000 * (1 + (s == "b")), 1)], "doc_id long, source string, text string")
+    sizes = document_sizes(docs.select((F.col("doc_id") * 2 + F.when(F.col("source") == "b", 1).otherwise(0)).alias("doc_id"), "source", "text"), "doc_id", byte_tokens("text"), "source")
+    targets = spark.createDataFrame([("m", "a", 0.6, 2), ("m", "b", 0.4, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    rates = {s: r for _, s, *_, r in mix_plan(sizes, targets)}
+    for r in mix(sizes, targets).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"), F.max("copy").alias("top")).collect():
+        total = 4000 if r.source == "a" else 7999
+        assert abs(r.n / total - rates[r.source]) < 4 * (0.25 / total) ** 0.5 and r.top <= math.ceil(rates[r.source])
+    twice = targets.unionByName(spark.createDataFrame([("m", " A", 0.1, 1)], targets.schema))
+    with pytest.raises(ValueError):
+        mix(sizes, twice)
 
 
 def test_residue_on_unseen_hosts(spark):
