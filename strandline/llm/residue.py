@@ -7,7 +7,9 @@ is trained here, on weak labels from status lines, phrases and slot shapes (``we
 
 from __future__ import annotations
 
+import random
 import re
+import re._parser as rx
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.sizes import canon_source_name
+from strandline.plans.tables import materialise
 
 BITS = 18
 GRAMS = ((4, False), (6, True), (10, True))  # length in bytes, lower case
@@ -25,6 +28,7 @@ OVERLAP = 128  # bytes that pieces of a longer segment share, more than any n-gr
 BIAS = -3.0  # fixed, so that residue needs evidence
 CHUNK = 1 << 19
 LENGTHS = 12
+SEED_WEIGHT = 0.02  # of a segment made from a pattern; one seen once has 0.7
 EXTRA = LENGTHS + 1  # length classes and the title flag
 
 _DIGITS = bytes(0x30 if 0x30 <= i <= 0x39 else 0x0A if i == 0x0D else i for i in range(256))
@@ -32,7 +36,7 @@ _LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8
 
 
 # ---------------------------------------------------------------------------------------------------------------
-# Weak labels. They are evaluated on the bounded training sample only, never in scoring.
+# Weak labels. They are evaluated on the bounded training sample only; scores are the model's alone.
 
 #: Shapes of slots that were never filled, or filled with an empty value.
 SLOTS = [
@@ -73,22 +77,138 @@ ERRORS = [
     r"\binvalid response from the upstream\b", r"\bhas been removed by its owner\b", r"\b(?:record|page|report) (?:has been removed|is no longer available)\b", r"\bsearch returned no results\b", r"\bcheck the spelling and try again\b", r"\b(?:try again later|später erneut|réessayer plus tard|réessayez plus tard|inténtelo de nuevo)\b",
     r"\breload the page or go back\b", r"\bfile is empty or truncated\b", r"\byou (?:do not|don't) have permission\b", r"\bvous n'êtes pas (?:autorisé|connecté)\b", r"\bno tiene permiso\b|\bno ha iniciado sesión\b", r"\bserver(?: is|s are)? (?:currently )?(?:unavailable|overloaded)\b", r"\ban? (?:unexpected|internal) error (?:has )?occurred\b",
 ]
-#: A text that mentions, explains or quotes such things is no case.
+#: A sentence that quotes, describes or uses such things is no case: marks of code or speech, verbs of saying and explaining,
+#: and words for the parts of templates.
 MENTIONS = [
-    r"`[^`]+`", r"[\"“„«][^\"”“»]{3,80}[\"”“»](?=[;,. ])[^.]{0,20}(?:;|cause|was|because|appeared|meaning)", r"\b(?:said|says|read|asked why|answered with|showed|displayed|reported)\b[^.]{0,60}(?:\"|“|\b[45]\d\d\b)", r"\bthe cause was\b", r"\b(?:explained|described|documented|discussed) in\b", r"\bin the manual\b",
-    r"\bim handbuch\b", r"\ben el manual\b", r"\bdans le manuel\b", r"\b(?:template|plantilla|vorlage|vorlagentext|modèle|gabarit)\b[^.]{0,60}\b(?:slot|field|feld|hueco|champ|campo)\b", r"\bis expanded by\b", r"\bas input\b", r"\btables? can be read without\b", r"\btabellen\b[^.]*\bohne\b", r"\bse lisent sans\b", r"\bse leen sin\b",
-    r"\b(?:typeset|latex)\b", r"\brefers to\b", r"\bis built with\b", r"\bmeans that no\b", r"\border does not matter\b", r"\ball (?:calls|\w+) were repeated\b", r"\bis empty because\b", r"\bwere not found in the panel\b", r"\bdie regel schreibt\b", r"\ble nom suit\b", r"\bel nombre sigue\b", r"\brule outputs\b", r"\bin situ\b",
+    r"`[^`]+`", r"\b(?:said|says|say|read|reads|asked|answered|showed|shows|displayed|reported)\b[^.]{0,60}(?:[\"“„«»”]|\b[45]\d\d\b)", r"\b(?:explained|described|documented|discussed|quoted|mentioned|means|refers to)\b", r"\b(?:erklärt|beschrieben|erläutert|bedeutet|expliqué|décrit|signifie|se explica|se describe|significa)\b",
+    r"\b(?:manual|manuals|handbuch|manuel|documentation|dokumentation|documentación)\b", r"\b(?:template|plantilla|vorlage|vorlagentext|modèle|gabarit)\b[^.]{0,60}\b(?:slots?|fields?|feld|felder|hueco|champ|campo)\b", r"\bas (?:an )?(?:input|example|test data)\b",
 ]
+ALL = {"slot": SLOTS, "instruction": INSTRUCTIONS, "filler": FILLER, "notice": NOTICES, "error": ERRORS}
 
+
+def anchors(tree) -> set[str]:
+    """Strings (lower case) of which a match of the parsed pattern holds at least one; empty where there are none."""
+    found, run = [], ""
+    for op, av in [*tree, (None, None)]:
+        many = op in (rx.MAX_REPEAT, rx.MIN_REPEAT) and av[0] > 0
+        if op is rx.LITERAL or many and len(av[2]) == 1 and av[2][0][0] is rx.LITERAL:
+            run += chr(av[2][0][1] if many else av).lower() * (av[0] if many else 1)
+            if not many:
+                continue
+        if run:
+            found.append({run})
+            run = ""
+        if op is rx.SUBPATTERN:
+            found.append(anchors(av[3]))
+        elif op is rx.BRANCH:
+            parts = [anchors(x) for x in av[1]]
+            found.append(set().union(*parts) if all(parts) else set())
+        elif many:
+            found.append(anchors(av[2]))
+    # the rarest: long ones, or with a mark that is no letter
+    rare = lambda a: len(a) + 4 * any(not (c.isalnum() or c == " ") for c in a)
+    return max(found, key=lambda x: min(map(rare, x), default=0), default=set())
+
+
+def example(tree, rng: random.Random) -> str:
+    """A string of the parsed pattern's language, but for what look-arounds and classes of spaces and digits rule out."""
+    out = []
+    for op, av in tree:
+        if op is rx.LITERAL:
+            out.append(chr(av))
+        elif op is rx.SUBPATTERN:
+            out.append(example(av[3], rng))
+        elif op is rx.BRANCH:
+            out.append(example(rng.choice(av[1]), rng))
+        elif op in (rx.MAX_REPEAT, rx.MIN_REPEAT):
+            low, high, part = av
+            if len(part) == 1 and part[0][0] is rx.IN and high > 1:
+                out.append(_fill_class(part[0][1], low, high, rng))
+            else:
+                out += [example(part, rng) for _ in range(rng.randint(low, min(high, low + 1)))]
+        elif op is rx.IN:
+            out.append(_of_class(av, rng))
+        elif op is rx.NOT_LITERAL or op is rx.ANY:
+            out.append(" ")
+    return "".join(out)
+
+
+def _fill_class(items, low: int, high: int, rng: random.Random) -> str:
+    """Characters of a repeated class: a word where it holds letters, a word between spaces where it rules some out."""
+    if items[0][0] is rx.NEGATE:
+        return f" {rng.choice(WORDS)} "[: int(high)] if high > 8 and rng.random() < 0.7 else " " * max(1, low)
+    ranges = {av for op, av in items if op is rx.RANGE}
+    if (rx.CATEGORY, rx.CATEGORY_WORD) in items or (97, 122) in ranges:
+        fits = [w for w in WORDS if low <= len(w) <= high and (" " in map(chr, (av for op, av in items if op is rx.LITERAL)) or " " not in w)]
+        return rng.choice(fits or ["name"])
+    if (65, 90) in ranges:
+        return rng.choice([w for w in WORDS if len(w) >= low and w.isascii()]).upper().replace(" ", "_" if (rx.LITERAL, 95) in items else "")
+    return "".join(_of_class(items, rng) for _ in range(max(low, rng.randint(0, 1))))
+
+
+def _of_class(items, rng: random.Random) -> str:
+    if items[0][0] is rx.NEGATE:
+        return " "
+    op, av = rng.choice(items)
+    if op is rx.LITERAL:
+        return chr(av)
+    if op is rx.RANGE:
+        return chr(rng.randint(*av))
+    return {rx.CATEGORY_DIGIT: "4", rx.CATEGORY_SPACE: " "}.get(av, rng.choice("abcdefghijklmnoprstuvw"))
+
+
+#: What stands in the open places of patterns when examples are made from them.
+WORDS = ("name", "your name", "date", "title", "sample name", "site", "summary", "contact person", "lab", "value", "first name", "page", "text", "description", "nombre", "fecha", "nom", "titre", "datum", "zusammenfassung", "report", "this", "the", "in order to", "und", "de la", "to view", "is")
+_PARSED = {k: [rx.parse(p) for p in ps] for k, ps in ALL.items()}
+_ANCHORS = [anchors(t) for ts in _PARSED.values() for t in ts]
 #: A segment without any of these (in lower case) can match none of the patterns above; it spares the regular expressions.
-TRIGGERS = (
-    "{", "[", "<", "template error", "@@", "$", "%(", "%s", "%d", "«", "&lt;", "xx", "#ref", "#n/a", "#value", " none", " nan", "nan-fold", "none-fold", "undefined", "null", " nil", "__", "todo", "tbd", "fixme", "sentences", "title", "delete", "replace", " here", "hier ", " hier",
-    " ici", "aquí", "cette section", "esta secci", "write", "fill", "remplacer", "compléter", "ergänz", "ersetzt", "auszuf", "completar", "sustituido", "ipsum", "placeholder", "dummy", "sample text", "example", "layout", "text", "quick", "asdf", "qwerty", "jkl", "foo bar", "blah", "test test",
-    "n/a", "script", "skript", "cookie", "browser", "navigateur", "navegador", "content", "loading", "request", "traceback", "angeforderte", "demandée", "solicit", "looking for", "could not", "connection", "finish", "timed out", "rate limit", "retry", "signed", "logged", "melde", "mainten",
-    "wartung", "manten", "upstream", "been removed", "no longer", "no results", "spelling", "try again", "erneut", "réessay", "inténtelo", "reload", "empty or", "permission", "autoris", "connecté", "permiso", "sesión", "server", "occurred", "http", "error 4", "error 5", "fehler 4", "fehler 5",
-    "erreur 4", "erreur 5", "erreur interne", "error interno", "database error", "not found", "forbidden", "unauthor", "gateway", "unavailable", "gone", "denied", "not allowed", "too large", "nicht gefunden", "verweigert", "nicht verfügbar", "abgelaufen", "verboten", "introuvable", "refusé",
-    "interdit", "indisponible", "expir", "dépassé", "encontrada", "denegado", "no disponible", "caducada", "agotado", "upload", "oops", "prohibido", "angemeldet",
-)
+TRIGGERS = tuple(sorted(set().union(*_ANCHORS))) if all(_ANCHORS) else ("",)
+
+
+def near_miss(segment: str) -> bool:
+    """Whether a segment holds a longer string of the patterns."""
+    low = segment.lower()
+    return any(t in low for t in TRIGGERS if len(t) >= 5)
+
+
+def seeds(context: Sequence[str] = (), each: int = 12, seed: int = 0) -> pd.DataFrame:
+    """Labelled segments made from the patterns themselves: examples of each alone, in a frame, in other text and in capitals, a
+    mention that quotes it, and the same frames without it as other text.
+
+    They give small tables what large ones hold anyway; without any other text there are none. ``context`` are segments of other text; a slot takes the place of a
+    word in them, other examples follow them. The number of rows depends on the patterns alone.
+    """
+    rng = random.Random(seed)
+    rows: dict[str, int] = {}
+    for w in WORDS:
+        rows |= {w: 0, w.capitalize(): 0, rng.choice((" | ", " · ", " / ")).join(x.capitalize() for x in [w, *rng.sample(WORDS, 2)]): 0}
+    context = [x for x in context if 3 <= x.count(" ") < 40] or ["It was read again on the next day."]
+    for kind, trees in _PARSED.items():
+        for tree in trees:
+            for _ in range(each):
+                x = re.sub(r"\s+", " ", example(tree, rng)).strip()
+                if weak_label(x) != 1:
+                    continue
+                rows[x] = 1
+                a, b = rng.choice(WORDS), rng.choice(WORDS)
+                words = rng.choice(context).split(" ")
+                if kind == "slot":
+                    words[rng.randrange(len(words))] = x
+                    pairs = [(f"{a.capitalize()}: {x}", f"{a.capitalize()}: {b}"), (f"{a.capitalize()} {x} {b}.", f"{a.capitalize()} {b}.")]
+                else:
+                    words.append(x + ".")
+                    pairs = [(x[:1].upper() + x[1:] + ".", f"{a.capitalize()}."), (x.upper(), a.upper())]
+                for bad, good in [*pairs, (" ".join(words), None)]:
+                    if weak_label(bad) == 1:
+                        rows[bad] = 1
+                        if good is not None:
+                            rows[good] = 0
+                quoted = rng.choice((f'The {a} said "{x}" then.', f"The text `{x}` is explained in the manual.", f"The template has a field {x} that is described there."))
+                if weak_label(quoted) == -1:
+                    rows[quoted] = 2
+    out = pd.DataFrame([(re.sub(r"\d", "0", s), 0, k) for s, k in rows.items()], columns=["segment", "title", "kind"]).drop_duplicates("segment")
+    return out.assign(**{c: (out["kind"] == k).astype(int) for k, c in enumerate(("other", "residue", "mention"))}, h=0)
+
 
 _I = re.IGNORECASE
 _CASED = re.compile("|".join(f"(?:{p})" for p in [*SLOTS, INSTRUCTIONS[0]]))
@@ -106,7 +226,7 @@ def weak_label(segment: str) -> int:
     low = segment.lower()
     if _repeats(segment):
         return 1
-    if not any(t in low for t in TRIGGERS) and low.count("%") < 2:
+    if not any(t in low for t in TRIGGERS):
         return 0
     if not (_CASED.search(segment) or any(p.search(segment) for p in _PHRASES)):
         return 0
@@ -230,6 +350,8 @@ class Training:
     mention: int = 3_000
     frequent: int = 5_000  #: the most frequent other segments
     other: int = 5_000  #: other segments by hash
+    near: int = 5_000  #: other segments, by hash, that hold a string of the patterns
+    seeds: int = 12  #: examples made from each pattern
     l2: float = 1e-4
     rounds: int = 60
     seed: int = 0
@@ -265,23 +387,23 @@ def training_rows(documents: DataFrame, doc_id: str, text: str, host: str, cfg:
             for _, s, title, y in labelled_segments(zip(b["host"], b["text"])):
                 c = seen.setdefault((s, title), [0, 0, 0])
                 c[0 if y == 0 else 1 if y == 1 else 2] += 1
-            yield pd.DataFrame([(s, t, *c) for (s, t), c in seen.items()], columns=["segment", "title", "other", "residue", "mention"])
+            yield pd.DataFrame([(s, t, *c, int(c[0] > 0 and near_miss(s))) for (s, t), c in seen.items()], columns=["segment", "title", "other", "residue", "mention", "near"])
 
     seg = (
         d.where(bucket)
         .repartition(documents.sparkSession.sparkContext.defaultParallelism)  # bounded by cfg.documents
-        .mapInPandas(label, "segment string, title int, other long, residue long, mention long")
+        .mapInPandas(label, "segment string, title int, other long, residue long, mention long, near int")
         .groupBy("segment", "title")
-        .agg(*[F.sum(c).alias(c) for c in ("other", "residue", "mention")])
+        .agg(*[F.sum(c).alias(c) for c in ("other", "residue", "mention")], F.max("near").alias("near"))
         .withColumn("kind", F.when(F.col("mention") > 0, 2).when(F.col("residue") > F.col("other"), 1).otherwise(0))
         .withColumn("h", F.xxhash64("segment", "title"))
     )
-    from strandline.plans.tables import materialise
-
     seg = materialise(seg)
     often = F.col("other") + F.col("residue") + F.col("mention")
     parts = [seg.where(F.col("kind") == k).orderBy(F.desc(often), "h").limit(m).toPandas() for k, m in ((0, cfg.frequent), (1, cfg.positive), (2, cfg.mention))]
-    parts.append(seg.where("kind = 0").orderBy("h").limit(cfg.other).toPandas())
+    parts += [seg.where(c).orderBy("h").limit(m).toPandas() for c, m in (("kind = 0 and near = 1", cfg.near), ("kind = 0", cfg.other))]
+    if cfg.seeds and len(parts[-1]):  # examples need other text beside them
+        parts.append(seeds(parts[-1]["segment"].tolist(), cfg.seeds, cfg.seed))
     return pd.concat(parts, ignore_index=True)
 
 
@@ -310,8 +432,9 @@ def fit(rows: pd.DataFrame, cfg: Training | None = None) -> Model:
     used, col = np.unique(col, return_inverse=True)
     y = (rows["kind"].to_numpy() == 1).astype(float)
     kind = rows["kind"].to_numpy()
-    c = np.select([kind == k for k in (0, 1, 2)], [w / max(1, (kind == k).sum()) for k, w in ((0, 1.0), (1, 1.0), (2, 0.5))])
-    c = c * np.log1p(rows[["other", "residue", "mention"]].sum(axis=1).to_numpy())
+    c = np.where(rows["h"] == 0, SEED_WEIGHT, np.log1p(rows[["other", "residue", "mention"]].sum(axis=1).to_numpy()))
+    for k, w in ((0, 1.0), (1, 1.0), (2, 0.5)):
+        c[kind == k] *= w / max(c[kind == k].sum(), 1e-300)
     c = c / c.sum()
     m, n = len(y), len(used)
 
@@ -361,38 +484,22 @@ def lbfgs(loss, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
 
 
 def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", cfg: Training | None = None) -> Model:
-    """A model from weak labels of a bounded sample (see ``Training``); the same table gives the same model."""
+    """A model from weak labels of a bounded sample and of the patterns' own examples (see ``Training``); the same table gives the same model."""
     cfg = cfg or Training()
     return fit(training_rows(documents, doc_id, text, host, cfg), cfg)
 
 
-def is_mention_only(text: str, model: Model) -> bool:
-    """Exact check of a candidate: whether every segment that scores as residue only mentions, explains or quotes it."""
-    code = encode(text)
-    buf = np.frombuffer(spread(code) + b"\n", np.uint8)
-    starts = cut(buf)
-    raw = spread(text.replace("\r", "\n").replace("\xa0", " ").encode("utf-8", "replace"), code) + b"\n"
-    s = model.segment_scores(buf, starts, starts == 0)
-    ends = np.r_[starts[1:], len(buf)]
-    hot = np.flatnonzero(s > model.threshold)
-    return len(hot) > 0 and all(_MENTION.search(raw[starts[k] : ends[k]].decode("utf-8", "ignore")) for k in hot)
-
-
 def verdicts(texts: Sequence[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of texts, and whether each is residue: it scores above the threshold and does not only mention such things."""
+    """Scores of texts, and whether each is residue: whether it scores above the threshold."""
     s = model.score_texts(texts)
-    bad = s > model.threshold
-    for i in np.flatnonzero(bad):
-        bad[i] = not is_mention_only(texts[i], model)
-    return s, bad
+    return s, s > model.threshold
 
 
 def score_residue(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc id, score, is_residue) for every document, one pass without a shuffle.
 
     Null and blank texts score null and are no residue. A text is residue when a segment scores above the model's
-    threshold and the exact check finds not only mentions. Texts of any length are scored whole, in pieces that
-    overlap. Repeated or null ids give a row each; other columns are ignored.
+    threshold. Texts of any length are scored whole, in pieces that overlap. Repeated or null ids give a row each; other columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 3 MB, whatever the input
     kind = documents.schema[doc_id].dataType.simpleString()

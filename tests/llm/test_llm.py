@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -286,7 +287,7 @@ def test_unseen_hosts_are_whole_hosts_under_the_rule_in_use(spark, monkeypatch):
     got = host_validation(docs, folds=3).collect()
     assert sum(r.n for r in got) == len(docs.collect())
     # every text scores above the threshold but only mentions an error
-    assert all(r.found == 0 and r.precision is None and r.recall is None for r in got)
+    assert all(r.found == r.n and r.weak == r.both == r.precision == 0 and r.recall is None for r in got)
     assert all(r.n == 2 * (len(names) - len(t)) for r, t in zip(got, trained))
 
 
@@ -312,7 +313,28 @@ def test_long_and_short_segments_are_scored_whole():
     assert m.score_texts(["The depth falls.\nTBD\n"])[0] > 0
     assert np.isneginf(m.score_texts([" \n \n"])[0])
     slot = [y for *_, y in residue.labelled_segments([("", "word " * 300 + "{{ name }} " + "word " * 10)])]
-    assert 1 in slot and not residue.is_mention_only("word " * 300 + notice, m)
+    assert 1 in slot
+
+
+def test_examples_come_from_the_patterns():
+    from strandline.llm import residue
+
+    s = residue.seeds(["The depth of the sample fell after masking."])
+    assert (s["kind"] == 1).sum() > 500 and (s["kind"] == 2).sum() > 200 and s["segment"].is_unique
+    for kind, patterns in residue.ALL.items():
+        for p, tree, anchor in zip(patterns, residue._PARSED[kind], (residue.anchors(t) for t in residue._PARSED[kind])):
+            assert anchor, p
+            made = [residue.example(tree, random.Random(i)) for i in range(40)]
+            hits = [x for x in made if re.search(p, x, re.I if kind != "slot" else 0)]
+            assert hits and all(any(a in x.lower() for a in anchor) for x in hits), p
+
+
+def test_model_knows_residue_before_it_sees_any(spark):
+    rows = [(i, "h", t, b) for i, (_, _, t, b) in enumerate(corpus(300, 2)) if not b]
+    m = train(spark.createDataFrame(rows, "doc_id long, source string, text string, bad boolean"), cfg=Training(rounds=40))
+    bad = ["Please enable JavaScript to view this page.", "404 Not Found", "Lorem ipsum dolor sit amet.", "The depth of {{sample_name}} fell near the site.", "Bitte aktivieren Sie JavaScript.", "Name: [your name]"]
+    good = ["The depth falls near the site.", "Panel keeps low count.", "Home | Contact | Date"]
+    assert (m.score_texts(bad) > 0).all() and (m.score_texts(good) < 0).all()
 
 
 def test_encoding_folds_digits_and_spaces():
