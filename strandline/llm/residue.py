@@ -36,7 +36,7 @@ _LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8
 
 
 # ---------------------------------------------------------------------------------------------------------------
-# Weak labels. They are evaluated on the bounded training sample only; scores are the model's alone.
+# Weak labels, evaluated on the bounded training sample. Scores are the model's; of what it finds, MENTIONS alone are checked.
 
 #: Shapes of slots that were never filled, or filled with an empty value.
 SLOTS = [
@@ -160,15 +160,15 @@ def _of_class(items, rng: random.Random) -> str:
 #: What stands in the open places of patterns when examples are made from them.
 WORDS = ("name", "your name", "date", "title", "sample name", "site", "summary", "contact person", "lab", "value", "first name", "page", "text", "description", "nombre", "fecha", "nom", "titre", "datum", "zusammenfassung", "report", "this", "the", "in order to", "und", "de la", "to view", "is")
 _PARSED = {k: [rx.parse(p) for p in ps] for k, ps in ALL.items()}
-_ANCHORS = [anchors(t) for ts in _PARSED.values() for t in ts]
-#: A segment without any of these (in lower case) can match none of the patterns above; it spares the regular expressions.
-TRIGGERS = tuple(sorted(set().union(*_ANCHORS))) if all(_ANCHORS) else ("",)
-
-
-def near_miss(segment: str) -> bool:
-    """Whether a segment holds a longer string of the patterns."""
-    low = segment.lower()
-    return any(t in low for t in TRIGGERS if len(t) >= 5)
+_I = re.IGNORECASE
+_ASK = [p for p in SLOTS if p.startswith((r"\[(", "<(?"))]
+#: Patterns that are tried together, and strings (lower case) without any of which none of them can match; they spare the
+#: regular expressions.
+_GROUPS = []
+for _patterns, _flags in (([*SLOTS, INSTRUCTIONS[0]], 0), (_ASK, _I), (INSTRUCTIONS[1:], _I), (FILLER, _I), (NOTICES, _I), (ERRORS, _I)):
+    _a = [anchors(rx.parse(p)) for p in _patterns]
+    _GROUPS.append((re.compile("|".join(f"(?:{p})" for p in _patterns), _flags), tuple(sorted(set().union(*_a))) if all(_a) else ("",)))
+_ERROR, _MENTION, _LOREM = _GROUPS[-1][0], re.compile("|".join(f"(?:{p})" for p in MENTIONS), _I), re.compile(FILLER[0], _I)
 
 
 def seeds(context: Sequence[str] = (), each: int = 12, seed: int = 0) -> pd.DataFrame:
@@ -210,27 +210,28 @@ def seeds(context: Sequence[str] = (), each: int = 12, seed: int = 0) -> pd.Data
     return out.assign(**{c: (out["kind"] == k).astype(int) for k, c in enumerate(("other", "residue", "mention"))}, h=0)
 
 
-_I = re.IGNORECASE
-_CASED = re.compile("|".join(f"(?:{p})" for p in [*SLOTS, INSTRUCTIONS[0]]))
-_PHRASES = [re.compile("|".join(f"(?:{p})" for p in ps), _I) for ps in (INSTRUCTIONS[1:], FILLER, NOTICES, ERRORS, [p for p in SLOTS if p.startswith((r"\[(", "<(?"))])]
-_ERROR, _MENTION, _LOREM = _PHRASES[3], re.compile("|".join(f"(?:{p})" for p in MENTIONS), _I), re.compile(FILLER[0], _I)
-
-
 def _repeats(segment: str) -> bool:
     words = segment.lower().split()
     return len(words) >= 6 and len(set(words)) * 3 <= len(words)
 
 
+def look(segment: str) -> tuple[int, bool]:
+    """The weak label of a segment, and whether other text holds a string of the phrase patterns (a near miss)."""
+    if _repeats(segment):
+        return 1, False
+    low = segment.lower()
+    near = False
+    for k, (pattern, triggers) in enumerate(_GROUPS):
+        if any(t in low for t in triggers):
+            if pattern.search(segment):
+                return (-1 if _MENTION.search(segment) else 1), False
+            near = near or k > 1
+    return 0, near
+
+
 def weak_label(segment: str) -> int:
     """1 for residue, 0 for other text, -1 for a mention of residue."""
-    low = segment.lower()
-    if _repeats(segment):
-        return 1
-    if not any(t in low for t in TRIGGERS):
-        return 0
-    if not (_CASED.search(segment) or any(p.search(segment) for p in _PHRASES)):
-        return 0
-    return -1 if _MENTION.search(segment) else 1
+    return look(segment)[0]
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -357,8 +358,8 @@ class Training:
     seed: int = 0
 
 
-def labelled_segments(rows: Iterator[tuple[str, str]]) -> Iterator[tuple[str, str, int, int]]:
-    """(host, segment, title, label) of texts; a line of filler labels all its sentences, a short error page all its lines."""
+def labelled_segments(rows: Iterator[tuple[str, str]]) -> Iterator[tuple[str, str, int, bool, int]]:
+    """(host, segment, title, near miss, label) of texts; a line of filler labels all its sentences, a short error page all its lines."""
     split = re.compile(r"(?<=[.!?]) ")
     for host, text in rows:
         lines = [x for x in text.replace("\r", "\n").replace("\xa0", " ").split("\n") if x.strip()]
@@ -368,10 +369,10 @@ def labelled_segments(rows: Iterator[tuple[str, str]]) -> Iterator[tuple[str, st
             for j, s in enumerate(split.split(line)):
                 for k in range(0, max(1, len(s) - OVERLAP), MAX_SEGMENT - OVERLAP) if len(s) > MAX_SEGMENT else (0,):
                     x = s[k : k + MAX_SEGMENT]
-                    label = weak_label(x)
+                    label, near = look(x)
                     if label == 0 and (filler or page):
                         label = 1
-                    yield host, re.sub(r"\d", "0", x), int(i == 0 and j == 0 and k == 0), label
+                    yield host, re.sub(r"\d", "0", x), int(i == 0 and j == 0 and k == 0), near and label == 0, label
 
 
 def training_rows(documents: DataFrame, doc_id: str, text: str, host: str, cfg: Training) -> pd.DataFrame:
@@ -384,10 +385,11 @@ def training_rows(documents: DataFrame, doc_id: str, text: str, host: str, cfg:
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen: dict[tuple, list[int]] = {}
-            for _, s, title, y in labelled_segments(zip(b["host"], b["text"])):
-                c = seen.setdefault((s, title), [0, 0, 0])
+            for _, s, title, near, y in labelled_segments(zip(b["host"], b["text"])):
+                c = seen.setdefault((s, title), [0, 0, 0, 0])
                 c[0 if y == 0 else 1 if y == 1 else 2] += 1
-            yield pd.DataFrame([(s, t, *c, int(c[0] > 0 and near_miss(s))) for (s, t), c in seen.items()], columns=["segment", "title", "other", "residue", "mention", "near"])
+                c[3] |= near
+            yield pd.DataFrame([(s, t, *c) for (s, t), c in seen.items()], columns=["segment", "title", "other", "residue", "mention", "near"])
 
     seg = (
         d.where(bucket)
@@ -425,9 +427,13 @@ def fit(rows: pd.DataFrame, cfg: Training | None = None) -> Model:
             cols.append((h[ok] + np.uint32(at)).astype(np.int32))
             seg_ids.append((owner[: len(h)][ok] + base).astype(np.int32))
         base += len(part)
-    lens = np.array([len(b) + 1 for b in texts])
-    cols += [((len(GRAMS) << BITS) + length_class(lens)).astype(np.int32), np.full(int(rows["title"].sum()), (len(GRAMS) << BITS) + LENGTHS, np.int32)]
-    seg_ids += [np.arange(len(texts), dtype=np.int32), np.flatnonzero(rows["title"].to_numpy()).astype(np.int32)]
+    # lengths and places of made segments say nothing, and those of real ones only where both kinds occur
+    real = np.flatnonzero(rows["h"].to_numpy() != 0)
+    real = real if (rows["kind"].to_numpy()[real] == 1).any() else real[:0]
+    titles = real[rows["title"].to_numpy()[real] == 1]
+    lens = np.array([len(texts[i]) + 1 for i in real], np.int64)
+    cols += [((len(GRAMS) << BITS) + length_class(lens)).astype(np.int32), np.full(len(titles), (len(GRAMS) << BITS) + LENGTHS, np.int32)]
+    seg_ids += [real.astype(np.int32), titles.astype(np.int32)]
     col, seg = np.concatenate(cols), np.concatenate(seg_ids)
     used, col = np.unique(col, return_inverse=True)
     y = (rows["kind"].to_numpy() == 1).astype(float)
@@ -489,17 +495,32 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", host
     return fit(training_rows(documents, doc_id, text, host, cfg), cfg)
 
 
+def is_mention_only(text: str, model: Model) -> bool:
+    """Exact check of a candidate: whether every segment that scores as residue only mentions, explains or quotes it."""
+    code = encode(text)
+    buf = np.frombuffer(spread(code) + b"\n", np.uint8)
+    starts = cut(buf)
+    raw = spread(text.replace("\r", "\n").replace("\xa0", " ").encode("utf-8", "replace"), code) + b"\n"
+    ends = np.r_[starts[1:], len(buf)]
+    hot = np.flatnonzero(model.segment_scores(buf, starts, starts == 0) > model.threshold)
+    return len(hot) > 0 and all(_MENTION.search(raw[starts[k] : ends[k]].decode("utf-8", "ignore")) for k in hot)
+
+
 def verdicts(texts: Sequence[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of texts, and whether each is residue: whether it scores above the threshold."""
+    """Scores of texts, and whether each is residue: it scores above the threshold and does not only mention such things."""
     s = model.score_texts(texts)
-    return s, s > model.threshold
+    bad = s > model.threshold
+    for i in np.flatnonzero(bad):
+        bad[i] = not is_mention_only(texts[i], model)
+    return s, bad
 
 
 def score_residue(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc id, score, is_residue) for every document, one pass without a shuffle.
 
     Null and blank texts score null and are no residue. A text is residue when a segment scores above the model's
-    threshold. Texts of any length are scored whole, in pieces that overlap. Repeated or null ids give a row each; other columns are ignored.
+    threshold and the exact check (``MENTIONS``) finds not only mentions. Texts of any length are scored whole, in pieces that
+    overlap. Repeated or null ids give a row each; other columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 3 MB, whatever the input
     kind = documents.schema[doc_id].dataType.simpleString()
