@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.likelihood import genotype_haploid, genotype_heterozygous, genotype_homozygous, log_read_likelihood, safe_ln
+from strandline.functions.likelihood import call_likelihood, genotype_haploid, genotype_heterozygous, genotype_homozygous, log_read_likelihood, safe_ln
 from strandline.numeric import maximise_bounded, stationary
 from strandline.plans.tables import materialise
 from strandline.states import StateSpace
@@ -27,42 +27,73 @@ class HmmParams:
     error: dict[str, float]
     f: tuple[float, ...]
     tau: tuple[float, ...]
+    start_hap: tuple[float, ...] = ()  #: of haploid chromosomes, whose states are the homozygous ones
+    trans_hap: tuple[tuple[float, ...], ...] = ()
 
     @staticmethod
     def initial(space: StateSpace, libs: Sequence[str], off: float = 0.02, cont: float = 0.01, error: float = 0.01, f: float = 0.01, tau: float = 0.8) -> HmmParams:
-        n = space.n
-        t = np.full((n, n), off)
-        np.fill_diagonal(t, 1 - off * (n - 1))
-        one = (1.0 / n,) * n
+        def even(n: int) -> tuple[tuple[float, ...], tuple[tuple[float, ...], ...]]:
+            t = np.full((n, n), off)
+            np.fill_diagonal(t, 1 - off * (n - 1))
+            return (1.0 / n,) * n, tuple(map(tuple, t.tolist()))
+
         k = len(space.sources)
-        return HmmParams(one, tuple(map(tuple, t.tolist())), dict.fromkeys(libs, cont), dict.fromkeys(libs, error), (f,) * k, (tau,) * k)
+        return HmmParams(*even(space.n), dict.fromkeys(libs, cont), dict.fromkeys(libs, error), (f,) * k, (tau,) * k, *even(space.n_homo))
 
 
 def _per_lib(values: dict[str, float], lib: Column) -> Column:
     return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), lib)
 
 
-def snp_log_likelihood(obs: DataFrame, keys: Sequence[str], p_cont: str, cont: Column, error: Column) -> DataFrame:
-    """(keys, l0, l1, l2): log P(all reads of a site | genotype), a sum over libraries combined before the shuffle."""
+def snp_log_likelihood(obs: DataFrame, keys: Sequence[str], p_cont: str, cont: Column, error: Column, calls: bool = False) -> DataFrame:
+    """(keys, l0, l1, l2): log P(all reads of a site | genotype), a sum over libraries combined before the shuffle.
+
+    With ``calls`` the counts are alleles of called genotypes, each right but for ``error``.
+    """
     alt, n = F.col("talt"), F.col("tref") + F.col("talt")
-    return obs.groupBy(*keys).agg(*[F.sum(log_read_likelihood(g, alt, n, F.col(p_cont), cont, error)).alias(f"l{g}") for g in range(3)])
+    each = [F.ln(call_likelihood(g, alt, n, error)) if calls else log_read_likelihood(g, alt, n, F.col(p_cont), cont, error) for g in range(3)]
+    return obs.groupBy(*keys).agg(*[F.sum(x).alias(f"l{g}") for g, x in enumerate(each)])
 
 
-def state_genotypes(space: StateSpace, f: Sequence[float], tau: Sequence[float], prior: float = 0.5, haploid: bool = False) -> list[tuple[Column, Column, Column]]:
-    """P(genotype | state) for every state, from panel counts plus ``prior``."""
-    a = [F.col(f"{s}_alt") + F.lit(prior) for s in space.sources]
-    b = [F.col(f"{s}_ref") + F.lit(prior) for s in space.sources]
+def pseudo_counts(source: str, prior: float | None) -> tuple[Column, Column]:
+    """Panel counts (alt, ref) with pseudo-counts: ``prior``, or the columns {source}_pa and {source}_pb of ``with_priors``."""
+    pa, pb = (F.col(f"{source}_pa"), F.col(f"{source}_pb")) if prior is None else (F.lit(prior), F.lit(prior))
+    return F.col(f"{source}_alt") + pa, F.col(f"{source}_ref") + pb
+
+
+def state_genotypes(space: StateSpace, f: Sequence[float], tau: Sequence[float], prior: float | None = 0.5, haploid: Column | bool = False) -> list[tuple[Column, Column, Column]]:
+    """P(genotype | state) for every state, from panel counts plus pseudo-counts. Where ``haploid`` holds, homozygous states have
+    one allele; the others do not occur there."""
+    ab = [pseudo_counts(s, prior) for s in space.sources]
     out = []
     for i, j in space.pairs:
-        if haploid or j < 0:
-            out.append(genotype_haploid(a[i], b[i]))
-        elif i == j:
-            out.append(genotype_homozygous(a[i], b[i], f[i], float(np.exp(tau[i]))))
+        one = genotype_haploid(*ab[i])
+        if j < 0:
+            out.append(one)
+        elif i != j:
+            out.append(genotype_heterozygous(*ab[i], *ab[j]))
+        elif haploid is True:
+            out.append(one)
         else:
-            out.append(genotype_heterozygous(a[i], b[i], a[j], b[j]))
+            two = genotype_homozygous(*ab[i], f[i], float(np.exp(tau[i])))
+            out.append(two if haploid is False else tuple(F.when(haploid, x).otherwise(y) for x, y in zip(one, two)))
     return out
 
 
+def is_haploid(haploid: Sequence[str]) -> Column | bool:
+    return F.col("chrom").isin(*haploid) if haploid else False
+
+
+def additive_emissions(snps: DataFrame, keys: Sequence[str], states: list[tuple[Column, Column, Column]], weight: str) -> DataFrame:
+    """(keys, e): the additive form for linked sites, Σ w · P(reads | state) − w with a weight per site."""
+    top = F.greatest("l0", "l1", "l2")
+    lik = [F.exp(F.col(f"l{g}") - top) for g in range(3)]
+    w = F.col(weight)
+    per = snps.select(*keys, *[(sum((l * p for l, p in zip(lik[1:], gs[1:])), lik[0] * gs[0]) * w - w).alias(f"__e{i}") for i, gs in enumerate(states)])
+    n = len(states)
+    return per.groupBy(*keys).agg(*[F.sum(f"__e{i}").alias(f"__e{i}") for i in range(n)]).select(*keys, F.array(*[F.col(f"__e{i}") for i in range(n)]).alias("e"))
+
+
 def bin_log_emissions(snps: DataFrame, keys: Sequence[str], states: list[tuple[Column, Column, Column]]) -> DataFrame:
     """(keys, e): log P(reads of a bin | state) as an array over states. A site's genotypes are summed out around their
     largest likelihood, so nothing underflows."""
@@ -198,72 +229,90 @@ def per_sequence(bins: DataFrame, keys: Sequence[str], order: str, fn: Callable[
     return bins.select(*keys, order, "e").groupBy(*keys).applyInPandas(run, f"{types}, {schema}")
 
 
-def _arrays(p: HmmParams) -> tuple[np.ndarray, np.ndarray]:
-    return np.array(p.trans), np.array(p.start)
+def _chooser(params: HmmParams, keys: Sequence[str], haploid: Sequence[str]) -> Callable[[tuple], tuple[np.ndarray, np.ndarray, int]]:
+    """For a sequence's key: transitions, start and number of states, which are the homozygous ones on ``haploid`` chromosomes."""
+    two, one = (np.array(params.trans), np.array(params.start)), (np.array(params.trans_hap), np.array(params.start_hap))
+    at, hap = list(keys).index("chrom") if haploid else 0, frozenset(haploid)
+    return lambda key: (*one, len(one[1])) if hap and key[at] in hap else (*two, len(two[1]))
 
 
-def sequence_ll(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams) -> DataFrame:
-    t, s = _arrays(params)
-    return per_sequence(bins, keys, order, lambda k, o, e: pd.DataFrame({"ll": [forward_backward(e, t, s).ll], "n_bins": [len(o)]}), "ll double, n_bins long")
+def sequence_ll(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, haploid: Sequence[str] = ()) -> DataFrame:
+    choose = _chooser(params, keys, haploid)
 
+    def fn(k: tuple, o: np.ndarray, e: np.ndarray) -> pd.DataFrame:
+        t, s, n = choose(k)
+        return pd.DataFrame({"ll": [forward_backward(e[:, :n], t, s).ll], "n_bins": [len(o)]})
 
-def decode(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, names: Sequence[str]) -> DataFrame:
+    return per_sequence(bins, keys, order, fn, "ll double, n_bins long")
+
+
+def _gamma_columns(p: Pass, names: Sequence[str]) -> dict[str, np.ndarray]:
+    """A posterior column per state, 0 for states that do not occur."""
+    n = p.gamma.shape[1]
+    return {name: p.gamma[:, i] if i < n else np.zeros(len(p.gamma)) for i, name in enumerate(names)}
+
+
+def decode(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, names: Sequence[str], haploid: Sequence[str] = ()) -> DataFrame:
     """(keys, order, viterbi, one posterior column per state, backward array)."""
-    t, s = _arrays(params)
+    choose = _chooser(params, keys, haploid)
 
     def fn(k: tuple, o: np.ndarray, e: np.ndarray) -> pd.DataFrame:
-        p = forward_backward(e, t, s)
-        out = pd.DataFrame({order: o, "viterbi": np.array(names)[viterbi(e, t, s)]})
-        for i, n in enumerate(names):
-            out[n] = p.gamma[:, i]
-        out["beta"] = list(p.beta)
-        return out
+        t, s, n = choose(k)
+        p = forward_backward(e[:, :n], t, s)
+        return pd.DataFrame({order: o, "viterbi": np.array(names)[viterbi(e[:, :n], t, s)], **_gamma_columns(p, names), "beta": list(p.beta)})
 
     return per_sequence(bins, keys, order, fn, f"{order} {bins.schema[order].dataType.simpleString()}, viterbi string, " + ", ".join(f"`{n}` double" for n in names) + ", beta array<double>")
 
 
-def transition_counts(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams) -> DataFrame:
+def transition_counts(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, haploid: Sequence[str] = ()) -> DataFrame:
     """(keys, i, j, xi): expected transitions of every sequence."""
-    t, s = _arrays(params)
-    n = len(s)
+    choose = _chooser(params, keys, haploid)
 
     def fn(k: tuple, o: np.ndarray, e: np.ndarray) -> pd.DataFrame:
-        x = expected_transitions(e, t, forward_backward(e, t, s))
+        t, s, n = choose(k)
+        x = expected_transitions(e[:, :n], t, forward_backward(e[:, :n], t, s))
         return pd.DataFrame({"i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "xi": x.ravel()})
 
     return per_sequence(bins, keys, order, fn, "i int, j int, xi double")
 
 
-def e_step(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, names: Sequence[str]) -> DataFrame:
-    """(keys, order, one posterior column per state, ll, xi): one pass per sequence; log-likelihood and expected transitions
-    (row by row) stand at its first bin."""
-    t, s = _arrays(params)
+def e_step(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, names: Sequence[str], haploid: Sequence[str] = ()) -> DataFrame:
+    """(keys, order, one posterior column per state, ll, n_states, xi): one pass per sequence; log-likelihood, number of states and
+    expected transitions (row by row) stand at its first bin."""
+    choose = _chooser(params, keys, haploid)
 
     def fn(k: tuple, o: np.ndarray, e: np.ndarray) -> pd.DataFrame:
-        p = forward_backward(e, t, s)
-        out = pd.DataFrame({order: o})
-        for i, n in enumerate(names):
-            out[n] = p.gamma[:, i]
-        out["ll"] = [p.ll, *[None] * (len(o) - 1)]
-        out["xi"] = [expected_transitions(e, t, p).ravel().tolist(), *[None] * (len(o) - 1)]
-        return out
+        t, s, n = choose(k)
+        p = forward_backward(e[:, :n], t, s)
+        first = lambda v: [v, *[None] * (len(o) - 1)]
+        return pd.DataFrame({order: o, **_gamma_columns(p, names), "ll": first(p.ll), "n_states": pd.array(first(n), "Int32"), "xi": first(expected_transitions(e[:, :n], t, p).ravel().tolist())})
 
-    return per_sequence(bins, keys, order, fn, f"{order} {bins.schema[order].dataType.simpleString()}, " + ", ".join(f"`{n}` double" for n in names) + ", ll double, xi array<double>")
+    return per_sequence(bins, keys, order, fn, f"{order} {bins.schema[order].dataType.simpleString()}, " + ", ".join(f"`{n}` double" for n in names) + ", ll double, n_states int, xi array<double>")
 
 
-def posterior_runs(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, space: StateSpace, replicates: int, seed: int = 0) -> DataFrame:
-    """(keys, it, state, start, len): haplotype runs of ``replicates`` paths drawn from the posterior, seeded per sequence."""
-    t, s = _arrays(params)
+def posterior_runs(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, space: StateSpace, replicates: int, seed: int = 0, haploid: Sequence[str] = ()) -> DataFrame:
+    """(keys, it, state, start, len): haplotype runs of ``replicates`` paths drawn from the posterior, seeded per sequence.
+    Haploid sequences have one strand."""
+    choose = _chooser(params, keys, haploid)
+    hap, at = frozenset(haploid), list(keys).index("chrom") if haploid else 0
 
     def fn(k: tuple, o: np.ndarray, e: np.ndarray) -> pd.DataFrame:
+        t, s, n = choose(k)
         rng = np.random.default_rng([seed, *[abs(int.from_bytes(str(x).encode(), "little")) % (1 << 32) for x in k]])
-        p = forward_backward(e, t, s)
-        rows = [(it, space.sources[c], int(o[at]), n) for it in range(replicates) for c, at, n in haploid_runs(sample_path(e, t, p, rng), space, rng)]
+        p = forward_backward(e[:, :n], t, s)
+        runs = (lambda z: [(space.pairs[int(z[a])][0], a, b - a) for a, b in stretches(z)]) if hap and k[at] in hap else lambda z: haploid_runs(z, space, rng)
+        rows = [(it, space.sources[c], int(o[a]), n_) for it in range(replicates) for c, a, n_ in runs(sample_path(e[:, :n], t, p, rng))]
         return pd.DataFrame(rows, columns=["it", "state", "start", "len"])
 
     return per_sequence(bins, keys, order, fn, "it int, state string, start long, len long")
 
 
+def stretches(path: np.ndarray) -> list[tuple[int, int]]:
+    """(first, past the last) of the stretches of equal values."""
+    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # estimation
 
@@ -301,19 +350,20 @@ def contamination_stats(obs: DataFrame, posterior: DataFrame, keys: Sequence[str
     return j.groupBy("lib", p_cont, "g").agg(F.sum(F.col("w") * F.col("talt")).alias("alt"), F.sum(F.col("w") * F.col("tref")).alias("ref"))
 
 
-def drift_stats(posterior: DataFrame, space: StateSpace, prior: float = 0.5) -> DataFrame:
-    """(source, a, b, g0, g1, g2): summed P(homozygous state, genotype) per distinct panel counts."""
+def drift_stats(posterior: DataFrame, space: StateSpace, prior: float | None = 0.5, haploid: Sequence[str] = ()) -> DataFrame:
+    """(source, a, b, g0, g1, g2): summed P(homozygous state, genotype) per distinct panel counts, of diploid chromosomes."""
     rows = [
-        F.struct(F.lit(s).alias("source"), (F.col(f"{s}_alt") + prior).alias("a"), (F.col(f"{s}_ref") + prior).alias("b"), F.element_at("pg", k + 1).alias("g"))
+        F.struct(F.lit(s).alias("source"), *[x.alias(n) for n, x in zip("ab", pseudo_counts(s, prior))], F.element_at("pg", k + 1).alias("g"))
         for i, s in enumerate(space.sources)
         for k, p in enumerate(space.pairs)
         if p == (i, i)
     ]
-    x = posterior.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    two = posterior.where(~is_haploid(haploid)) if haploid else posterior
+    x = two.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     return x.groupBy("source", "a", "b").agg(*[F.sum(F.element_at("g", k + 1)).alias(f"g{k}") for k in range(3)])
 
 
-def update_contamination(stats: pd.DataFrame, params: HmmParams, est_error: bool, p_cont: str = "p_cont") -> HmmParams:
+def update_contamination(stats: pd.DataFrame, params: HmmParams, est_error: bool, est_cont: bool = True, p_cont: str = "p_cont") -> HmmParams:
     cont, error = dict(params.cont), dict(params.error)
     for lib, s in stats.groupby("lib"):
         pc, g, alt, ref = (s[c].to_numpy(float) for c in (p_cont, "g", "alt", "ref"))
@@ -324,7 +374,7 @@ def update_contamination(stats: pd.DataFrame, params: HmmParams, est_error: bool
             return float((alt * np.log(p) + ref * np.log(1 - p)).sum())
 
         e0 = error[lib]
-        x = maximise_bounded(ll, (cont[lib], e0), ((1e-6, 0.999), (1e-5, 0.25) if est_error else (e0, e0)))
+        x = maximise_bounded(ll, (cont[lib], e0), ((1e-6, 0.999) if est_cont else (cont[lib],) * 2, (1e-5, 0.25) if est_error else (e0, e0)))
         cont[lib], error[lib] = float(x[0]), float(x[1])
     return replace(params, cont=cont, error=error)
 
@@ -348,6 +398,16 @@ def update_drift(stats: pd.DataFrame, params: HmmParams, space: StateSpace, est_
     return replace(params, f=tuple(f), tau=tuple(tau))
 
 
+def updated_transitions(xi: np.ndarray, old: Sequence[Sequence[float]]) -> tuple[tuple[float, ...], tuple[tuple[float, ...], ...]]:
+    """(start, transitions) from expected counts; a state that never occurs keeps its row."""
+    if not len(xi):
+        return (), ()
+    t = xi.reshape(len(old), len(old))
+    safe = np.maximum(t, 1e-12)
+    t = np.where(t.sum(axis=1, keepdims=True) > 0, safe / safe.sum(axis=1, keepdims=True), np.array(old))
+    return tuple(stationary(t).tolist()), tuple(map(tuple, t.tolist()))
+
+
 def fit_hmm(
     obs: DataFrame,
     snps: DataFrame,
@@ -362,44 +422,56 @@ def fit_hmm(
     est_f: bool = False,
     est_tau: bool = False,
     est_trans: bool = True,
-    prior: float = 0.5,
+    prior: float | None = 0.5,
+    haploid: Sequence[str] = (),
+    calls: bool = False,
+    freq_cont: int = 1,
+    freq_f: int = 1,
+    still: float = 1e-5,
 ) -> HmmFit:
     """EM. ``obs`` has keys, bin, pos, lib, tref, talt, p_cont; ``snps`` keys, bin, pos and panel counts; ``bins`` keys, bin.
 
+    Chromosomes of ``haploid`` have the homozygous states only, with transitions of their own. With ``calls`` the counts are
+    called genotypes, and contamination is not estimated. From the fourth iteration on, contamination is updated every
+    ``freq_cont``th time and inbreeding and drift every ``freq_f``th; an update that moves nothing by ``still`` is the last.
+
     The inputs are materialised once; each iteration builds its plan from them with new literals, so plans stay of
     constant size, and brings back only sums per transition, per (library, p_cont) and per distinct panel count. What an
     iteration reads twice is kept on the executors' disks until its end.
     """
     obs, snps, bins = materialise(obs), materialise(snps), materialise(bins)
-    site = [*keys, "bin", "pos"]
+    site, one = [*keys, "bin", "pos"], is_haploid(haploid)
+    cont_on, f_on = (est_cont or est_error) and not calls, est_f or est_tau
     lls: list[float] = []
     while True:
-        states = state_genotypes(space, params.f, params.tau, prior)
-        lik = snp_log_likelihood(obs, site, "p_cont", _per_lib(params.cont, F.col("lib")), _per_lib(params.error, F.col("lib")))
+        states = state_genotypes(space, params.f, params.tau, prior, one)
+        lik = snp_log_likelihood(obs, site, "p_cont", _per_lib(params.cont, F.col("lib")), _per_lib(params.error, F.col("lib")), calls)
         with_reads = snps.join(lik, site).persist(StorageLevel.DISK_ONLY)
         e = complete_bins(bins, bin_log_emissions(with_reads, [*keys, "bin"], states), [*keys, "bin"], space.n)
-        post = e_step(e, keys, "bin", params, space.names).persist(StorageLevel.DISK_ONLY)
-        sums = post.where("ll is not null").select("ll", F.posexplode("xi").alias("k", "xi")).groupBy("k").agg(F.sum("ll").alias("ll"), F.sum("xi").alias("xi")).toPandas()
-        lls.append(float(sums["ll"].iloc[0]))
+        post = e_step(e, keys, "bin", params, space.names, haploid).persist(StorageLevel.DISK_ONLY)
+        sums = post.where("ll is not null").select("ll", "n_states", (one if haploid else F.lit(False)).alias("hap"), F.posexplode("xi").alias("k", "xi"))
+        sums = sums.groupBy("hap", "k").agg(F.sum("ll").alias("ll"), F.sum("xi").alias("xi")).orderBy("hap", "k").toPandas()
+        lls.append(float(sums.groupby("hap")["ll"].first().sum()))
         converged = len(lls) > 1 and abs(lls[-1] - lls[-2]) < tol
         if converged or len(lls) > max_iter:
             e = materialise(e)
             post.unpersist()
             with_reads.unpersist()
             return HmmFit(params, lls, e, converged)
-        old = params
-        if est_cont or est_error or est_f or est_tau:
+        old, it = params, len(lls) - 1
+        now_cont, now_f = cont_on and (it < 3 or it % freq_cont == 0), f_on and (it < 3 or it % freq_f == 0)
+        if now_cont or now_f:
             pg = posterior_genotypes(with_reads, post, [*keys, "bin"], states, space.names)
-            if est_cont or est_error:
-                params = update_contamination(contamination_stats(obs, pg, site).toPandas(), params, est_error)
-            if est_f or est_tau:
-                params = update_drift(drift_stats(pg, space, prior).toPandas(), params, space, est_f, est_tau)
+            if now_cont:
+                params = update_contamination(contamination_stats(obs, pg, site).toPandas(), params, est_error, est_cont)
+                cont_on = max(abs(a[k] - b[k]) for a, b in ((params.cont, old.cont), (params.error, old.error)) for k in a) >= still
+            if now_f:
+                params = update_drift(drift_stats(pg, space, prior, haploid).toPandas(), params, space, est_f, est_tau)
+                f_on = max(abs(a - b) for a, b in zip((*params.f, *params.tau), (*old.f, *old.tau))) >= still
         post.unpersist()
         with_reads.unpersist()
         if est_trans:
-            t = np.zeros(space.n * space.n)
-            t[sums["k"]] = sums["xi"]
-            t = t.reshape(space.n, space.n)
-            rows = t.sum(axis=1, keepdims=True)
-            t = np.where(rows > 0, np.maximum(t, 1e-12) / np.maximum(np.maximum(t, 1e-12).sum(axis=1, keepdims=True), 1e-300), np.array(old.trans))
-            params = replace(params, trans=tuple(map(tuple, t.tolist())), start=tuple(stationary(t).tolist()))
+            xi = {h: x["xi"].to_numpy() for h, x in sums.groupby("hap")}
+            start, trans = updated_transitions(xi[False], old.trans) if False in xi else (old.start, old.trans)
+            start_hap, trans_hap = updated_transitions(xi[True], old.trans_hap) if True in xi else (old.start_hap, old.trans_hap)
+            params = replace(params, trans=trans, start=start, trans_hap=trans_hap, start_hap=start_hap)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.plans.quantiles import quantiles
+
 
 def state_means(bins: DataFrame, keys: Sequence[str], states: Sequence[str]) -> DataFrame:
     """(keys, state, mean): mean posterior per state, unpivoted."""
@@ -26,15 +29,46 @@ def marginals(bins: DataFrame, keys: Sequence[str], states: Sequence[str], state
     return a.join(b, [*keys, "state"], "outer")
 
 
-def pairwise_sharing(carriers: DataFrame, unit: Sequence[str], sample: str) -> DataFrame:
+SHARING_BLOCK = 512
+SHARING_ROWS = 1 << 20
+
+
+def pairwise_sharing(carriers: DataFrame, unit: Sequence[str], sample: str, block: int = SHARING_BLOCK) -> DataFrame:
     """(a, b, n): units that both samples carry, a < b. The result has a row per pair of samples that share any unit.
 
-    Distinct carriers of a unit are gathered once and paired inside the row; a unit holds at most one entry per sample.
+    The counts are a product of the carrier matrix with itself, taken in blocks of about ``block`` samples by ``block``
+    samples and in parts of the units; no unit's pairs are listed. Null samples carry nothing; repeated carriers count once.
     """
-    per = carriers.groupBy(*unit).agg(F.array_sort(F.collect_set(sample)).alias("s"))
-    first = per.select(F.posexplode("s").alias("i", "a"), "s")
-    pairs = first.select("a", F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    c = carriers.select(F.struct(*unit).alias("u"), F.col(sample).alias("s")).where("s is not null").distinct()
+    size = c.agg(F.approx_count_distinct("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
+    blocks = max(1, -(-(size["s"] or 0) // block))
+    parts = max(1, -(-(size["n"] or 0) * blocks // SHARING_ROWS))
+    kind = carriers.schema[sample].dataType.simpleString()
+    c = c.select(F.xxhash64("u").alias("h"), "u", "s", F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int").alias("k"))
+    # each carrier takes part in every pair of blocks that holds its own
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j")))
+    each = c.select(F.pmod("h", F.lit(parts)).cast("int").alias("part"), "u", "s", "k", F.explode(pairs).alias("p")).select("part", "p.i", "p.j", F.col("u").cast("string").alias("u"), "s", "k")
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        units, _ = pd.factorize(pdf["u"])
+        order = pdf["s"].sort_values().unique()
+        who = pd.Categorical(pdf["s"], categories=order).codes.astype(np.int64)
+        side = np.zeros(len(order), np.int64)
+        side[who] = pdf["k"].to_numpy()
+        total = np.zeros((len(order), len(order)), np.int64)
+        by = np.argsort(units, kind="stable")
+        for at in range(0, int(units.max()) + 1, 4096):
+            lo, hi = np.searchsorted(units[by], [at, at + 4096])
+            m = np.zeros((4096, len(order)), np.float32)
+            m[units[by[lo:hi]] - at, who[by[lo:hi]]] = 1
+            total += (m.T @ m).astype(np.int64)
+        a, b = np.nonzero(np.triu(total, 1))
+        if key[1] != key[2]:  # pairs inside a block are counted where it meets itself
+            a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+        return pd.DataFrame({"a": order[a], "b": order[b], "n": total[a, b]})
+
+    got = each.groupBy("part", "i", "j").applyInPandas(count, f"a {kind}, b {kind}, n long")
+    return got.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def concordance(left: DataFrame, right: DataFrame, universe: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,8 +107,8 @@ def pivot_panel(counts: DataFrame, keys: Sequence[str], pop: str, pops: Sequence
 
 
 def quantile_bins(df: DataFrame, value: str, n: int, out: str = "bin") -> DataFrame:
-    """``df`` with the 1-based quantile bin of ``value``: (q[i-1], q[i]], the lowest value in the first."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(1, n)]))).first()[0] or []
+    """``df`` with the 1-based quantile bin of ``value``: (q[i-1], q[i]], the lowest value in the first; null for null."""
+    cuts = [c for c in quantiles(df, value, [i / n for i in range(1, n)]) if c is not None]
     return df.withColumn(out, F.when(F.col(value).isNotNull(), sum((F.when(F.col(value) > c, 1).otherwise(0) for c in cuts), F.lit(1))))
 
 
@@ -124,14 +158,20 @@ def read_passes(min_length: int, max_length: int, deam_only: bool = False, min_b
     return ok
 
 
-def damage_position(read: Column, ref: Column, reverse: Column) -> Column:
-    """0-based position of the first damaged base from the 5' end: C→T forward, G→A on reverse reads; -1 for none.
+def damage_positions(read: Column, ref: Column, reverse: Column) -> tuple[Column, Column]:
+    """0-based distances of the first damaged base from the 5' and from the 3' end: C→T forward, G→A on reverse reads; -1 for none.
 
     ``read`` and ``ref`` are aligned strings of equal length in reference orientation.
     """
-    fwd = F.filter(F.sequence(F.lit(1), F.greatest(F.length(read), F.lit(1))), lambda i: (F.substring(ref, i, F.lit(1)) == "C") & (F.substring(read, i, F.lit(1)) == "T"))
-    rev = F.filter(F.sequence(F.lit(1), F.greatest(F.length(read), F.lit(1))), lambda i: (F.substring(ref, i, F.lit(1)) == "G") & (F.substring(read, i, F.lit(1)) == "A"))
-    return F.when(reverse, F.coalesce(F.length(read) - F.try_element_at(rev, F.lit(-1)), F.lit(-1))).otherwise(F.coalesce(F.get(fwd, F.lit(0)) - 1, F.lit(-1)))
+    at = lambda i, x, y: (F.substring(ref, i, F.lit(1)) == x) & (F.substring(read, i, F.lit(1)) == y)
+    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.length(read), F.lit(1))), lambda i: F.when(reverse, at(i, "G", "A")).otherwise(at(i, "C", "T")))
+    left, right = F.coalesce(F.get(hits, F.lit(0)) - 1, F.lit(-1)), F.coalesce(F.length(read) - F.try_element_at(hits, F.lit(-1)), F.lit(-1))
+    return F.when(reverse, right).otherwise(left), F.when(reverse, left).otherwise(right)
+
+
+def damage_position(read: Column, ref: Column, reverse: Column) -> Column:
+    """Distance of the first damaged base from the nearer end; -1 for none."""
+    return F.least(*damage_positions(read, ref, reverse))
 
 
 def explained_by_damage(base: Column, ref: Column, alt: Column, reverse: Column) -> Column:
@@ -203,6 +243,7 @@ def shuffled_intervals(intervals: DataFrame, sizes: DataFrame, on: Sequence[str]
     return x.withColumn("__s", at).withColumn("end", F.col("__s") + span).withColumn("start", F.col("__s")).drop("__s", "size")
 
 
-def permutation_p(observed: float, null: pd.Series) -> float:
-    """Share of null values above the observed one."""
-    return float((observed < null).mean())
+def permutation_p(observed: DataFrame, null: DataFrame, keys: Sequence[str], stat: str) -> DataFrame:
+    """(keys, stat, p): share of replicates whose statistic is above the observed one; ``null`` has a row per replicate."""
+    n = null.select(*keys, F.col(stat).alias("__null")).join(observed.select(*keys, stat), list(keys))
+    return n.groupBy(*keys, stat).agg(F.avg(F.when(F.col("__null") > F.col(stat), 1.0).otherwise(0.0)).alias("p"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandline.functions import likelihood as L
 from strandline.numeric import squarem_step
 from strandline.operators.sites import polarize
+from strandline.plans.quantiles import quantiles
 from strandline.plans.tables import materialise
 
 SEX = ("X", "Y", "Z", "W")
@@ -221,12 +222,9 @@ def fit_sfs(data: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates = S
 
 
 def jackknife(data: DataFrame, blocks: int, order: str = "snp") -> DataFrame:
-    """``data`` with rep '0' (all) and '1' … 'blocks', each without one contiguous part of the sites.
-
-    Site numbers are cut by quantiles, so no global window is needed.
-    """
-    cuts = data.agg(F.percentile(order, F.array(*[F.lit(i / blocks) for i in range(1, blocks)]))).first()[0] if blocks > 1 else []
-    part = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts or []), F.lit(1))
+    """``data`` with rep '0' (all) and '1' … 'blocks', each without one contiguous part of the sites, of about equally many rows."""
+    cuts = quantiles(data, order, [i / blocks for i in range(1, blocks)]) if blocks > 1 else []
+    part = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts if c is not None), F.lit(1))
     reps = F.transform(F.filter(F.sequence(F.lit(0), F.lit(blocks)), lambda r: r != part), lambda r: r.cast("string"))
     return data.drop("rep").withColumn("rep", F.explode(reps))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.canon import chrom_rank
+from strandline.plans.quantiles import quantiles
 from strandline.plans.scan import before, running_count, two_level
 
 HAPLOID_ALWAYS = ("Y", "W")
@@ -39,9 +40,9 @@ def autosomes_only(panel: DataFrame, sex_chroms: Sequence[str] = ("X", "Y", "Z",
 
 
 def coverage_filter(obs: DataFrame, high: float) -> DataFrame:
-    """Rows with reads and at most the (1 − high) quantile of depth, interpolated linearly. One scalar reaches the driver."""
+    """Rows with reads and at most the (1 − high) quantile of depth."""
     n = F.col("tref") + F.col("talt")
-    top = obs.agg(F.percentile(n, F.lit(1 - high))).first()[0]
+    top = quantiles(obs.select(n.alias("n")), "n", [1 - high])[0]
     return obs.where((n > 0) & (n <= (top if top is not None else 0)))
 
 
@@ -204,7 +205,7 @@ def empirical_prior(panel: DataFrame, pops: Sequence[str]) -> DataFrame:
     return long.groupBy("pop").agg(*aggs).select("pop", pa.alias("pa"), pb.alias("pb"))
 
 
-def ancestral_prior(panel: DataFrame, pops: Sequence[str], anc: str) -> DataFrame:
+def oriented_prior(panel: DataFrame, pops: Sequence[str], anc: str) -> DataFrame:
     """(pop, p_der, p_anc) from the sites at which the outgroup tells the ancestral allele."""
     known = (F.col(f"{anc}_ref") > 0) != (F.col(f"{anc}_alt") > 0)
     p = polarize(panel.where(known), pops, anc)
@@ -212,3 +213,55 @@ def ancestral_prior(panel: DataFrame, pops: Sequence[str], anc: str) -> DataFram
     aggs, prior = beta_prior(F.col("a"), F.col("b"), known=True)
     pd_, pa = prior()
     return long.groupBy("pop").agg(*aggs).select("pop", pd_.alias("p_der"), pa.alias("p_anc"))
+
+
+def with_priors(sites: DataFrame, pops: Sequence[str], prior: float | None, ancestral: str | None = None, ancestral_prior: float = 0.0) -> DataFrame:
+    """``sites`` with the pseudo-counts {pop}_pa and {pop}_pb (alternative, reference) of every population.
+
+    A given ``prior`` is added to both, and ``ancestral_prior`` per allele of the outgroup. Without it they are estimated from the
+    panel: one symmetric pair per population, or, with an outgroup, where that tells the ancestral allele, one for the
+    ancestral and the derived allele. The estimates are one row per population.
+    """
+    if prior is not None:
+        anc = [F.coalesce(F.col(f"{ancestral}_{x}"), F.lit(0)) * ancestral_prior if ancestral else F.lit(0.0) for x in ("alt", "ref")]
+        return sites.withColumns({f"{p}_{n}": x + prior for p in pops for n, x in zip(("pa", "pb"), anc)})
+    even = {r["pop"]: (r["pa"], r["pb"]) for r in empirical_prior(sites, pops).collect()}
+    if ancestral is None:
+        return sites.withColumns({f"{p}_{n}": F.lit(x) for p in pops for n, x in zip(("pa", "pb"), even[p])})
+    r, a = F.col(f"{ancestral}_ref"), F.col(f"{ancestral}_alt")
+    known = {x["pop"]: (x["p_der"], x["p_anc"]) for x in oriented_prior(sites, pops, ancestral).collect()}
+    out = {}
+    for p in pops:
+        der, anc = known.get(p, even[p])
+        anc = None if anc is None else anc + ancestral_prior
+        out[f"{p}_pa"] = F.when((a > 0) & (r == 0), F.lit(anc)).when((r > 0) & (a == 0), F.lit(der)).otherwise(F.lit(even[p][0]))
+        out[f"{p}_pb"] = F.when((r > 0) & (a == 0), F.lit(anc)).when((a > 0) & (r == 0), F.lit(der)).otherwise(F.lit(even[p][1]))
+    return sites.withColumns(out)
+
+
+def site_bins(sites: DataFrame) -> DataFrame:
+    """``sites`` with a bin of its own for each, numbered in genome order."""
+    return snp_ids(sites).withColumn("bin", F.col("snp_id")).drop("snp_id")
+
+
+def bin_positions(bins: DataFrame, sites: DataFrame, start: str = "start", by: str = "map") -> DataFrame:
+    """``bins`` with ``pos``: the physical position of a bin's start on the map of the sites, interpolated and cut to an integer."""
+    knots = sites.where(F.col(by).isNotNull()).groupBy("chrom", F.col(by).cast("double").alias("__m")).agg(F.min("pos").alias("__p"))
+    return interpolate_map(bins, knots, start, "__m", "__p", "pos", block=64).withColumn("pos", F.col("pos").cast("long"))
+
+
+def fold_chromosomes(chrom: Column, last: int = 11) -> tuple[Column, Column]:
+    """(row, side) of a display in which chromosomes 12 … 22 stand beside 11 … 1; X and others have rows below."""
+    n = chrom_rank(chrom)
+    return F.when(n <= last, n).when(n <= 2 * last, 2 * last + 1 - n).otherwise(last + n - 2 * last), F.when((n > last) & (n <= 2 * last), "right").otherwise("left")
+
+
+def orient_alleles(sites: DataFrame, bases: DataFrame) -> DataFrame:
+    """``sites`` (chrom, pos, ref, alt) with ``base`` and ``kind``: 'keep' where ref is the reference base, 'swap' where alt is (ref
+    and alt change places), 'mismatch' where neither is, 'missing' without a base."""
+    b = bases.select("chrom", "pos", F.upper("base").alias("base")).groupBy("chrom", "pos").agg(F.min("base").alias("base"))
+    j = sites.join(b, ["chrom", "pos"], "left")
+    kind = F.when(F.col("base").isNull(), "missing").when(F.upper("ref") == F.col("base"), "keep").when(F.upper("alt") == F.col("base"), "swap").otherwise("mismatch")
+    j = j.withColumn("kind", kind)
+    swap = F.col("kind") == "swap"
+    return j.withColumns({"ref": F.when(swap, F.col("alt")).otherwise(F.col("ref")), "alt": F.when(swap, F.col("ref")).otherwise(F.col("alt"))})

@@ -19,40 +19,67 @@ def target_posteriors(bins: DataFrame, space: StateSpace, keep: Sequence[str]) -
 
 
 def scoring_segments(p: np.ndarray, penalty: float) -> list[tuple[int, int, float]]:
-    """Maximal-scoring segments of log(p + penalty), best first, each (first, last, score).
+    """All maximal-scoring segments of log(p + penalty), highest total first, each (first, last, score).
 
-    A running sum restarts at zero, except that the first element is taken as it is; a segment's score leaves out its first
-    element; segments of one element are not reported but use up their element.
+    One pass over cumulative totals keeps candidate segments on a stack, each with its totals before and after and a link to
+    the nearest earlier candidate that starts lower; a candidate that ends higher than that one swallows all between. Every
+    candidate is pushed and popped once.
+
+    Conventions: a sequence that starts with a negative value is entered with that debt, and a segment that pays it off begins
+    at the first element. A segment's score leaves out its first element. Segments of one element are not reported.
     """
-    x = np.log(p + penalty)
+    x = np.log(np.asarray(p, float) + penalty).tolist()
+    if not x:
+        return []
+    debt = min(x[0], 0.0)
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, total before, total after, link
+    total = 0.0
+    for i, v in enumerate(x):
+        if i == 0 and debt < 0:
+            continue
+        v += debt if i == 1 else 0.0
+        if v > 0:
+            first, low, high = i, total, total + v
+            while True:
+                j = len(stack) - 1
+                while j >= 0 and stack[j][2] >= low:
+                    j = stack[j][4]
+                if j < 0 or stack[j][3] >= high:
+                    stack.append((first, i, low, high, j))
+                    break
+                first, low = stack[j][0], stack[j][2]
+                del stack[j:]
+        total += v
     out = []
-    while len(x):
-        run, s = np.empty(len(x)), 0.0
-        for i, v in enumerate(x):
-            s = v if i == 0 else max(s + v, 0.0)
-            run[i] = s
-        hi = int(run.argmax())
-        if run[hi] <= 0:
-            break
-        zero = np.flatnonzero(run[:hi] == 0)
-        lo = int(zero[-1]) + 1 if len(zero) else 0
-        if hi != lo:
-            out.append((lo, hi, float(run[hi] - run[lo])))
-        x[lo : hi + 1] = 0
-    return out
+    for first, last, low, high, _ in stack:
+        start = 0 if first == 1 and debt < 0 else first
+        if start < last:
+            out.append((start, last, high - low - (debt if start < first else x[first] + (debt if first == 1 else 0.0)), high - low))
+    return [(a, b, score) for a, b, score, _ in sorted(out, key=lambda r: (-r[3], r[0]))]
 
 
 def call_runs(targets: DataFrame, keys: Sequence[str], order: str, penalty: float = 0.2) -> DataFrame:
-    """(keys, start, end, score) of the scoring segments of every (keys) sequence; start and end are values of ``order``."""
-    types = ", ".join(f"{k} {targets.schema[k].dataType.simpleString()}" for k in keys)
+    """(keys, start, end, score, rank) of the scoring segments of every (keys) sequence; start and end are values of ``order``,
+    rank 1 has the highest total."""
+    types = ", ".join(f"`{k}` {targets.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         o = pdf[order].to_numpy()
-        rows = [(*key, int(o[a]), int(o[b]), s) for a, b, s in scoring_segments(pdf["p"].to_numpy(float), penalty)]
-        return pd.DataFrame(rows, columns=[*keys, "start", "end", "score"])
+        rows = [(*key, int(o[a]), int(o[b]), s, n + 1) for n, (a, b, s) in enumerate(scoring_segments(pdf["p"].to_numpy(float), penalty))]
+        return pd.DataFrame(rows, columns=[*keys, "start", "end", "score", "rank"])
+
+    return targets.select(*keys, order, "p").groupBy(*keys).applyInPandas(run, f"{types}, start long, end long, score double, rank int")
+
 
-    return targets.select(*keys, order, "p").groupBy(*keys).applyInPandas(run, f"{types}, start long, end long, score double")
+def recall_runs(bins: DataFrame, states: Sequence[str], keys: Sequence[str], order: str, penalty: float = 0.2) -> DataFrame:
+    """Runs called anew from a table of decoded bins: sources are the states whose name is part of another's, or the only ones."""
+    homo = tuple(s for s in states if sum(s in x for x in states) > 1) or tuple(states)
+    pairs = {"".join((a, b)): (a, b) for a in homo for b in homo if a != b}
+    space = StateSpace(homo, homo, tuple(pairs[s] for s in states if s in pairs))
+    coords = bins.select(*keys, order, "map", "pos")
+    runs = call_runs(target_posteriors(bins, space, [*keys, order]), [*keys, "target", "type"], order, penalty)
+    return run_coordinates(runs, coords, keys, order)
 
 
 def run_coordinates(runs: DataFrame, bins: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

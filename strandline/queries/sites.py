@@ -60,7 +60,7 @@ def eb_prior(spark, d):
 
 
 def eb_prior_ancestral(spark, d):
-    return S.ancestral_prior(X.sites(spark, d), POPS, "PAN").select("pop", F.round("p_der", R).alias("p_der"), F.round("p_anc", R).alias("p_anc"))
+    return S.oriented_prior(X.sites(spark, d), POPS, "PAN").select("pop", F.round("p_der", R).alias("p_der"), F.round("p_anc", R).alias("p_anc"))
 
 
 _LONG = " UNION ALL ".join(f"SELECT '{p}' AS pop, CAST({p}_alt AS DOUBLE) AS a, CAST({p}_ref AS DOUBLE) AS b FROM sites" for p in POPS)

@@ -57,6 +57,11 @@ class StateSpace:
     def n(self) -> int:
         return len(self.names)
 
+    @property
+    def n_homo(self) -> int:
+        """Homozygous states, which come first; haploid chromosomes have only these."""
+        return sum(a == b for a, b in self.pairs)
+
     def run_targets(self) -> list[tuple[str, str, list[str]]]:
         """(name, type, states whose posteriors add up): each het, each source in any form, each homo, each inbred."""
         kinds = {n: p for n, p in zip(self.names, self.pairs)}
