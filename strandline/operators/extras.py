@@ -87,6 +87,10 @@ def sharing_moments(carriers: DataFrame, unit: Sequence[str], sample: str, n_uni
     return j.select("a", "b", cov.alias("cov"), (cov / F.nullif(F.sqrt(var("ka") * var("kb")), F.lit(0.0))).alias("cor"), (F.col("n") / (F.col("ka") + F.col("kb") - F.col("n"))).alias("jaccard"))
 
 
+#: Pairs up to which a matrix of similarities may come to the driver.
+MOST_PAIRS = 1_000_000
+
+
 def cluster_order(names: Sequence[str], similarity: Mapping[tuple[str, str], float]) -> list[str]:
     """Display order of samples by average-linkage merging of their similarity; for matrices of a driver's size."""
     groups = {i: [n] for i, n in enumerate(names)}

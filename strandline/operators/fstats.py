@@ -45,9 +45,16 @@ def _at(a: str, b: str) -> Column:
     return F.element_at("m", f"{a}|{b}")
 
 
+def _rows(pi: DataFrame, by: Sequence[str], rows: list[Column], names: Sequence[str], stat: str) -> DataFrame:
+    """A row per element of ``rows`` and ``by``; with too few populations for any, an empty table of the same columns."""
+    if not rows:
+        return pi.where("false").select(*by, *[F.lit("").alias(n) for n in names], F.lit(0.0).alias(stat))
+    return _wide(pi, by).select(*by, F.explode(F.array(*rows)).alias("x")).select(*by, "x.*")
+
+
 def f2(pi: DataFrame, pops: Sequence[str], by: Sequence[str] = ("rep", "sex_chrom")) -> DataFrame:
     rows = [F.struct(F.lit(a).alias("A"), F.lit(b).alias("B"), (_at(a, b) - _at(a, "within") / 2 - _at(b, "within") / 2).alias("f2")) for a, b in itertools.combinations(pops, 2)]
-    return _wide(pi, by).select(*by, F.explode(F.array(*rows)).alias("x")).select(*by, "x.*")
+    return _rows(pi, by, rows, ["A", "B"], "f2")
 
 
 def f3(pi: DataFrame, pops: Sequence[str], by: Sequence[str] = ("rep", "sex_chrom")) -> DataFrame:
@@ -56,7 +63,7 @@ def f3(pi: DataFrame, pops: Sequence[str], by: Sequence[str] = ("rep", "sex_chro
         for x in pops
         for a, b in itertools.combinations([p for p in pops if p != x], 2)
     ]
-    return _wide(pi, by).select(*by, F.explode(F.array(*rows)).alias("x")).select(*by, "x.*")
+    return _rows(pi, by, rows, ["X", "A", "B"], "f3")
 
 
 def f4(pi: DataFrame, pops: Sequence[str], by: Sequence[str] = ("rep", "sex_chrom")) -> DataFrame:
@@ -66,7 +73,7 @@ def f4(pi: DataFrame, pops: Sequence[str], by: Sequence[str] = ("rep", "sex_chro
         for a, b, c, d in ((0, 1, 2, 3), (0, 2, 1, 3), (0, 3, 1, 2)):
             w, x, y, z = q[a], q[b], q[c], q[d]
             rows.append(F.struct(F.lit(w).alias("A"), F.lit(x).alias("B"), F.lit(y).alias("C"), F.lit(z).alias("D"), ((_at(w, z) + _at(x, y) - _at(w, y) - _at(x, z)) / 2).alias("f4")))
-    return _wide(pi, by).select(*by, F.explode(F.array(*rows)).alias("x")).select(*by, "x.*")
+    return _rows(pi, by, rows, ["A", "B", "C", "D"], "f4")
 
 
 def jackknife_summary(reps: DataFrame, keys: Sequence[str], stat: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.likelihood import call_likelihood, genotype_haploid, genotype_heterozygous, genotype_homozygous, log_read_likelihood, safe_ln
-from strandline.numeric import maximise_bounded, stationary
+from strandline.numeric import expm, maximise_bounded, stationary
 from strandline.plans.tables import materialise
 from strandline.states import StateSpace
 
@@ -41,6 +41,20 @@ class HmmParams:
         return HmmParams(*even(space.n), dict.fromkeys(libs, cont), dict.fromkeys(libs, error), (f,) * k, (tau,) * k, *even(space.n_homo))
 
 
+    def favouring(self, space: StateSpace, states: Sequence[str], weight: float = 1.0) -> HmmParams:
+        """The same with ``weight`` more on every transition into ``states``."""
+        t = np.array(self.trans)
+        t[:, [i for i, n in enumerate(space.names) if n in states]] += weight
+        return replace(self, trans=tuple(map(tuple, (t / t.sum(axis=1, keepdims=True)).tolist())))
+
+    def with_rates(self, space: StateSpace, rates: np.ndarray, bin_size: float) -> HmmParams:
+        """Transitions over one bin from rates between the sources of a haplotype; either haplotype of a pair may change."""
+        from strandline.operators.extras import diploid_rates
+
+        rows = lambda m: tuple(map(tuple, expm(np.asarray(m, float) * bin_size).tolist()))
+        return replace(self, trans=rows(diploid_rates(np.asarray(rates, float), space)), trans_hap=rows(rates))
+
+
 def _per_lib(values: dict[str, float], lib: Column) -> Column:
     return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), lib)
 

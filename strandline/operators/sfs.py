@@ -189,17 +189,48 @@ def em_step(data: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates, ce
     return new
 
 
-def fit_sfs(data: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates = SfsUpdates(), max_iter: int = 1000, ll_tol: float = 1e-2, accelerate: bool = True) -> tuple[dict[str, SfsParams], list[float]]:
+def call_em_step(calls: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates, random_read: bool = False) -> dict[str, SfsParams]:
+    """The step in genotype mode: classes from posterior genotypes, errors from homozygous ones. Only sums reach the driver."""
+    new = {r: SfsParams(dict(p.cont), dict(p.tau), dict(p.f), p.e, p.b) for r, p in params.items()}
+    post = call_posteriors(calls, params, random_read)
+    t, f = tau_f_update(F.col("g0"), F.col("g1"), F.col("g2"))
+    s = class_stats(post).select("rep", "sfs", "ll", t.alias("t"), f.alias("f")).toPandas()
+    for row in s.itertuples():
+        p = new[row.rep]
+        p.ll = row.ll + (0.0 if np.isnan(p.ll) else p.ll)
+        if on.tau and row.t == row.t and row.t is not None:
+            p.tau[int(row.sfs)] = float(np.clip(row.t, EPS, 1 - EPS))
+        if on.tau and on.f and row.f == row.f and row.f is not None:
+            p.f[int(row.sfs)] = float(np.clip(row.f, EPS, 1 - EPS))
+    if on.error:
+        for row in call_error_stats(post, random_read).toPandas().itertuples():
+            p = new[row.rep]
+            ratio = lambda a, b: float(a / (a + b)) if a + b > 0 else 0.0
+            if on.bias:
+                p.e, p.b = ratio(row.err, row.ok), ratio(row.bias, row.nobias)
+            else:
+                p.e = p.b = ratio(row.err + row.bias, row.ok + row.nobias)
+    return new
+
+
+def fit_sfs(
+    data: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates = SfsUpdates(), max_iter: int = 1000, ll_tol: float = 1e-2, accelerate: bool = True, calls: bool = False, random_read: bool = False
+) -> tuple[dict[str, SfsParams], list[float]]:
     """EM for all replicates in lockstep, with squared extrapolation that is kept only where the likelihood rises.
 
     A replicate leaves when its own log-likelihood changes by less than ``ll_tol``; ``converged`` is false for those that
-    ``max_iter`` ends. ``data`` and its ``read_cells`` are materialised once; plans don't grow with iterations. Returns
-    parameters and the log-likelihoods of replicate '0' (or the first).
+    ``max_iter`` ends. ``data`` (and its ``read_cells``) are materialised once; plans don't grow with iterations. With
+    ``calls`` it has one called genotype per site (genotype mode). Returns parameters and the log-likelihoods of replicate
+    '0' (or the first).
     """
     data = materialise(data)
-    cells = materialise(read_cells(data))
+    cells = None if calls else materialise(read_cells(data))
     first = "0" if "0" in params else next(iter(params))
-    step = lambda p: em_step(data.where(F.col("rep").isin(*p)), p, on, cells.where(F.col("rep").isin(*p)))
+
+    def step(p: Mapping[str, SfsParams]) -> dict[str, SfsParams]:
+        own = data.where(F.col("rep").isin(*p))
+        return call_em_step(own, p, on, random_read) if calls else em_step(own, p, on, cells.where(F.col("rep").isin(*p)))
+
     cur, done, last, lls = dict(params), {}, {}, []
     for _ in range(max_iter):
         x1 = step(cur)
@@ -257,14 +288,47 @@ def call_posteriors(calls: DataFrame, params: Mapping[str, SfsParams], random_re
     return d.select("rep", "snp", "sfs", "alt", "flipped", *[(x / total).alias(f"g{i}") for i, x in enumerate(w)], L.safe_ln(w[0] + w[1] + w[2]).alias("ll"))
 
 
-def call_error_stats(post: DataFrame) -> DataFrame:
-    """(rep, err, ok, bias, nobias) in genotype mode, from the homozygous posteriors."""
+def call_error_stats(post: DataFrame, random_read: bool = False) -> DataFrame:
+    """(rep, err, ok, bias, nobias) in genotype mode, from the homozygous posteriors; a random read shows one allele or none."""
     flip = F.col("flipped")
     ref_hom = F.when(flip, F.col("g2")).otherwise(F.col("g0"))
     alt_hom = F.when(flip, F.col("g0")).otherwise(F.col("g2"))
     s = lambda c, w: F.sum(F.when(c, w).otherwise(0.0))
     a = F.col("alt")
-    return post.groupBy("rep").agg(s(a != 0, ref_hom).alias("err"), s(a == 0, ref_hom).alias("ok"), s(a != 2, alt_hom).alias("bias"), s(a == 2, alt_hom).alias("nobias"))
+    alt = a != 0 if random_read else a == 2
+    return post.groupBy("rep").agg(s(a != 0, ref_hom).alias("err"), s(a == 0, ref_hom).alias("ok"), s(~alt, alt_hom).alias("bias"), s(alt, alt_hom).alias("nobias"))
+
+
+def call_table(calls: DataFrame, params: Mapping[str, SfsParams], random_read: bool = False) -> DataFrame:
+    """(rep, sfs, n_snps, n_anc, n_der, read_ratio, tau, f) per class in genotype mode; n_anc and n_der count alleles."""
+    most = 1 if random_read else 2
+    shown = F.when(F.col("alt") != 0, 1).otherwise(0) if random_read else F.col("alt")
+    der = F.when(F.col("flipped"), most - shown).otherwise(shown)
+    g = with_params(calls, params).groupBy("rep", "sfs").agg(F.countDistinct("snp").alias("n_snps"), F.sum(most - der).alias("n_anc"), F.sum(der).alias("n_der"), F.first("tau").alias("tau"), F.first("f").alias("f"))
+    return g.withColumn("read_ratio", F.col("n_der") / F.nullif(F.col("n_anc") + F.col("n_der"), F.lit(0)))
+
+
+def site_table(sites: DataFrame, data: DataFrame, post: DataFrame) -> DataFrame:
+    """One row per site of replicate '0': coordinates, reads, log10 posterior genotypes, derived share, a random draw and its class.
+
+    ``sites`` has snp, chrom, pos, ref, alt and flipped; the draw is by a hash of the site."""
+    from strandline.operators.extras import log10_table
+    from strandline.operators.panelstats import md5_uniform
+
+    reads = data.where("rep = '0'").groupBy("snp").agg(F.sum("ref").alias("tref"), F.sum("alt").alias("talt"))
+    p = F.col("g1") / 2 + F.col("g2")
+    share_alt = F.when(F.col("flipped"), 1 - p).otherwise(p)
+    own = post.where("rep = '0'").select("snp", "sfs", "g0", "g1", "g2")
+    j = sites.join(reads, "snp").join(own, "snp")
+    return j.select("snp", *[c for c in sites.columns if c != "snp"], "tref", "talt", *[x.alias(f"log_g{g}") for g, x in enumerate(log10_table([F.col(f"g{g}") for g in range(3)]))], p.alias("p"), F.when(md5_uniform(F.lit("site"), F.col("snp")) < share_alt, 1).otherwise(0).alias("random_read"), "sfs")
+
+
+def class_table(sites: DataFrame, data: DataFrame, params: Mapping[str, SfsParams], pops: Sequence[str]) -> DataFrame:
+    """(rep, sfs, sex_chrom, counts per population, n_snps, tau): what the f-statistics of every replicate need."""
+    kinds = sites.select("sfs", "sex_chrom", *[f"{p}_{a}" for p in pops for a in ("anc", "der")]).distinct()
+    n = data.groupBy("rep", "sfs").agg(F.countDistinct("snp").alias("n_snps"))
+    tau = F.element_at(F.create_map(*[x for r, p in params.items() for k, v in p.tau.items() for x in (F.lit(f"{r}|{k}"), F.lit(v))]), F.concat_ws("|", "rep", "sfs"))
+    return n.withColumn("tau", tau).join(kinds, "sfs")
 
 
 def convergence_rows(params: Mapping[str, SfsParams]) -> list[tuple[str, str, float]]:

@@ -19,14 +19,19 @@ def target_posteriors(bins: DataFrame, space: StateSpace, keep: Sequence[str]) -
 
 
 def scoring_segments(p: np.ndarray, penalty: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments of log(p + penalty), highest total first, each (first, last, score).
+    """All maximal-scoring segments of log(p + penalty) of more than one element, highest total first, each (first, last, score)."""
+    return [(a, b, score) for a, b, score in ranked_segments(p, penalty) if a < b]
+
+
+def ranked_segments(p: np.ndarray, penalty: float) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments, those of one element too, highest total first.
 
     One pass over cumulative totals keeps candidate segments on a stack, each with its totals before and after and a link to
     the nearest earlier candidate that starts lower; a candidate that ends higher than that one swallows all between. Every
     candidate is pushed and popped once.
 
     Conventions: a sequence that starts with a negative value is entered with that debt, and a segment that pays it off begins
-    at the first element. A segment's score leaves out its first element. Segments of one element are not reported.
+    at the first element. A segment's score leaves out its first element. Segments of one element are not reported as runs.
     """
     x = np.log(np.asarray(p, float) + penalty).tolist()
     if not x:
@@ -52,21 +57,22 @@ def scoring_segments(p: np.ndarray, penalty: float) -> list[tuple[int, int, floa
         total += v
     out = []
     for first, last, low, high, _ in stack:
-        start = 0 if first == 1 and debt < 0 else first
-        if start < last:
-            out.append((start, last, high - low - (debt if start < first else x[first] + (debt if first == 1 else 0.0)), high - low))
+        if first == 1 and debt < 0:
+            out.append((0, last, high - low - debt, high - low))
+        else:
+            out.append((first, last, high - low - x[first], high - low))
     return [(a, b, score) for a, b, score, _ in sorted(out, key=lambda r: (-r[3], r[0]))]
 
 
 def call_runs(targets: DataFrame, keys: Sequence[str], order: str, penalty: float = 0.2) -> DataFrame:
     """(keys, start, end, score, rank) of the scoring segments of every (keys) sequence; start and end are values of ``order``,
-    rank 1 has the highest total."""
+    rank 1 has the highest total; segments of one element have a rank but no row."""
     types = ", ".join(f"`{k}` {targets.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         o = pdf[order].to_numpy()
-        rows = [(*key, int(o[a]), int(o[b]), s, n + 1) for n, (a, b, s) in enumerate(scoring_segments(pdf["p"].to_numpy(float), penalty))]
+        rows = [(*key, int(o[a]), int(o[b]), s, n + 1) for n, (a, b, s) in enumerate(ranked_segments(pdf["p"].to_numpy(float), penalty)) if a < b]
         return pd.DataFrame(rows, columns=[*keys, "start", "end", "score", "rank"])
 
     return targets.select(*keys, order, "p").groupBy(*keys).applyInPandas(run, f"{types}, start long, end long, score double, rank int")

@@ -128,6 +128,47 @@ UNION ALL SELECT 'chrom_limits', 'AA_Map_min', panel, chrom, CAST(0 AS BIGINT) F
 UNION ALL SELECT 'chrom_limits', 'deCODE_max', panel, chrom, CAST(0 AS BIGINT) FROM l WHERE de IS NULL
 """
 
+
+
+def _mixed_sql(src: str, y: str, x: str, group: str, time: str, tag: str) -> str:
+    """CTEs that end in {tag}_w: the rows of ``src`` with ``fit``, the mixed-effects prediction; step by step as in the docstring of fill_numeric."""
+    both = f"CASE WHEN {y} IS NOT NULL AND {x} IS NOT NULL THEN {{}} END"
+    xb, yb = both.format(x), both.format(y)
+    same = lambda a, b, ks: " AND ".join(f"{a}.{k.strip()} IS NOT DISTINCT FROM {b}.{k.strip()}" for k in ks.split(","))
+    return f"""{tag}_g AS (SELECT {group}, count({y}) AS n, avg({y}) AS my, avg({xb}) AS mx, count({yb}) AS nb, count({yb}) * covar_pop({yb}, {xb}) AS sxy, count({yb}) * var_pop({xb}) AS sxx, count({yb}) * var_pop({yb}) AS syy FROM {src} GROUP BY ALL),
+{tag}_t AS (SELECT sum(n * my) / sum(n) AS my, sum(nb * mx) / sum(nb) AS mx, sum(sxy) / nullif(sum(sxx), 0) AS slope0, sum(n) AS n, count(*) FILTER (n > 0) AS k FROM {tag}_g), {tag}_t2 AS (SELECT *, coalesce(slope0, 0) AS slope FROM {tag}_t),
+{tag}_s AS (SELECT sum(CASE WHEN sxx > 0 THEN syy - sxy * sxy / sxx ELSE coalesce(syy, 0) END) AS rss, sum(CASE WHEN sxx > 0 THEN pow(sxy / sxx - slope, 2) * sxx END) AS bs, sum(CASE WHEN sxx > 0 THEN sxx END) AS ws, count(*) FILTER (sxx > 0) AS ks,
+ sum(CASE WHEN g.n > 0 THEN pow(g.my - t.my - slope * (coalesce(g.mx, t.mx) - t.mx), 2) END) AS bi, sum(CASE WHEN g.n > 0 THEN 1.0 / g.n END) AS inv FROM {tag}_g g, {tag}_t2 t),
+{tag}_v AS (SELECT t.*, rss / greatest(1, t.n - 2 * t.k) AS err, greatest(0, (bs - ks * (rss / greatest(1, t.n - 2 * t.k))) / ws) AS vs, greatest(0, (bi - (rss / greatest(1, t.n - 2 * t.k)) * inv) / t.k) AS vi FROM {tag}_s, {tag}_t2 t),
+{tag}_b AS (SELECT g.* EXCLUDE (n, my, mx), coalesce(g.mx, v.mx) AS gx, slope + coalesce(CASE WHEN sxx > 0 THEN vs / (vs + err / sxx + 1e-300) * (sxy / sxx - slope) END, 0) AS gs, v.my + slope * (coalesce(g.mx, v.mx) - v.mx) AS base, g.n, g.my AS own, vi, err FROM {tag}_g g, {tag}_v v),
+{tag}_e AS (SELECT *, base + coalesce(CASE WHEN n > 0 THEN vi / (vi + err / n + 1e-300) * (own - base) END, 0) AS gi FROM {tag}_b),
+{tag}_f AS (SELECT s.*, gi + gs * coalesce({x} - gx, 0) AS line FROM {src} s LEFT JOIN {tag}_e e ON {same('s', 'e', group)}),
+{tag}_c AS (SELECT {time}, count({y} - line) AS tn, avg({y} - line) AS tm, var_pop({y} - line) AS tv FROM {tag}_f GROUP BY ALL),
+{tag}_q AS (SELECT sum(tn * tv) / greatest(1, sum(tn) - count(*) FILTER (tn > 0)) AS e2, greatest(0, (sum(tm * tm) - sum(tn * tv) / greatest(1, sum(tn) - count(*) FILTER (tn > 0)) * sum(CASE WHEN tn > 0 THEN 1.0 / tn END)) / count(*) FILTER (tn > 0)) AS vt FROM {tag}_c),
+{tag}_w AS (SELECT f.*, line + coalesce(CASE WHEN tn > 0 THEN tm * vt / (vt + e2 / tn + 1e-300) END, 0) AS fit FROM {tag}_f f LEFT JOIN {tag}_c c ON {same('f', 'c', time)}, {tag}_q)"""
+
+
+_MAP_FILLED = f"""
+WITH s AS (SELECT {chrom_sql()} AS chrom, CAST(pos AS BIGINT) AS pos, max(CASE WHEN {_BAD.format(c='map')} THEN NULL ELSE map END) AS v FROM reference_file GROUP BY 1, 2),
+m AS (SELECT *, max(v) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s),
+d AS (SELECT chrom, pos, CAST(pos AS DOUBLE) AS x, CASE WHEN v < m THEN NULL ELSE v END AS cm, CAST(floor(pos / 1000000.0) AS BIGINT) AS stretch FROM m), {_mixed_sql('d', 'cm', 'x', 'chrom', 'chrom, stretch', 'mm')},
+k AS (SELECT *, max(cm) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, min(cm) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM mm_w)
+SELECT chrom, pos, round(coalesce(cm, greatest(least(fit, coalesce(hi, 399.999)), coalesce(lo, 0))), 6) AS cm_filled, cm IS NULL AS is_filled FROM k"""
+_OK = lambda c: f"max(CASE WHEN {_BAD.format(c=c)} THEN NULL ELSE {c} END) AS {c}"
+_LIMITS_FILLED = f"""
+WITH r AS (SELECT panel, {chrom_sql()} AS chrom, {', '.join(_OK(c) for c in ('deCODE_min', 'AA_Map_min', 'deCODE_max', 'AA_Map_max'))} FROM chrom_limits WHERE panel IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT panel, chrom, deCODE_min, AA_Map_max, CASE WHEN AA_Map_min > AA_Map_max THEN NULL ELSE AA_Map_min END AS aa, CASE WHEN deCODE_max = 0 OR deCODE_max < deCODE_min THEN NULL ELSE deCODE_max END AS de FROM r WHERE chrom IS NOT NULL),
+{_mixed_sql('d', 'aa', 'deCODE_min', 'chrom', 'panel', 'a')}, {_mixed_sql('d', 'de', 'AA_Map_max', 'chrom', 'panel', 'z')}
+SELECT panel, chrom, 'AA_Map_min' AS field, round(coalesce(aa, greatest(least(fit, coalesce(AA_Map_max, 399.999)), 0)), 6) AS value_filled, aa IS NULL AS is_filled FROM a_w
+UNION ALL SELECT panel, chrom, 'deCODE_max', round(coalesce(de, greatest(least(fit, 399.999), coalesce(deCODE_min, 0))), 6), de IS NULL FROM z_w"""
+_ALT_FILLED = f"""
+WITH r AS (SELECT {chrom_sql()} AS chrom, pos, min(ref) AS ref, min(alt) AS alt FROM reference_file GROUP BY 1, 2), n AS (SELECT ref, chrom, alt AS c, CAST(count(*) AS DOUBLE) AS n FROM r WHERE alt IS NOT NULL GROUP BY 1, 2, 3),
+o AS (SELECT c, sum(n) / sum(sum(n)) OVER () AS p FROM n GROUP BY 1), g0 AS (SELECT ref, c, sum(n) AS n FROM n GROUP BY 1, 2), refs AS (SELECT ref, sum(n) AS s FROM n GROUP BY 1),
+pg AS (SELECT refs.ref, o.c, (coalesce(g0.n, 0) + 10 * o.p) / (refs.s + 10) AS p FROM refs CROSS JOIN o LEFT JOIN g0 ON g0.ref IS NOT DISTINCT FROM refs.ref AND g0.c = o.c),
+cells AS (SELECT ref, chrom, sum(n) AS s FROM n GROUP BY 1, 2), pc AS (SELECT cells.ref, cells.chrom, pg.c, (coalesce(n.n, 0) + 10 * pg.p) / (cells.s + 10) AS p FROM cells JOIN pg ON pg.ref IS NOT DISTINCT FROM cells.ref LEFT JOIN n ON n.ref IS NOT DISTINCT FROM cells.ref AND n.chrom IS NOT DISTINCT FROM cells.chrom AND n.c = pg.c),
+bc AS (SELECT ref, chrom, first(c ORDER BY p DESC, c) AS c FROM pc GROUP BY 1, 2), bg AS (SELECT ref, first(c ORDER BY p DESC, c) AS c FROM pg GROUP BY 1), bo AS (SELECT first(c ORDER BY p DESC, c) AS c FROM o)
+SELECT r.chrom, r.pos, r.ref, coalesce(r.alt, bc.c, bg.c, bo.c) AS alt_filled, r.alt IS NULL AS is_filled FROM r LEFT JOIN bc ON bc.ref IS NOT DISTINCT FROM r.ref AND bc.chrom IS NOT DISTINCT FROM r.chrom LEFT JOIN bg ON bg.ref IS NOT DISTINCT FROM r.ref, bo"""
+
 QUERIES = {
     "p2_found": (
         p2_found,
@@ -148,7 +189,7 @@ FROM t JOIN r ON t.chrom = r.chrom AND t.pos = r.pos GROUP BY 1""",
 CAST(sum(CASE WHEN kind = 'period' THEN pos_end - pos END) AS BIGINT) AS covered, CAST(coalesce(sum(CASE WHEN kind = 'gap' THEN pos_end - pos END), 0) AS BIGINT) AS uncovered FROM out GROUP BY 1, 2""",
     ),
     "p5_found": (p5_found, _P5),
-    "p5_map_filled": (p5_map_filled, None),
-    "p5_limits_filled": (p5_limits_filled, None),
-    "p5_alt_filled": (p5_alt_filled, None),
+    "p5_map_filled": (p5_map_filled, _MAP_FILLED),
+    "p5_limits_filled": (p5_limits_filled, _LIMITS_FILLED),
+    "p5_alt_filled": (p5_alt_filled, _ALT_FILLED),
 }

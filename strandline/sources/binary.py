@@ -210,12 +210,12 @@ def read_bam(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("strandline_bam").option("path", ",".join(paths)).load()
 
 
-def pileup(reads: DataFrame, sites: DataFrame, bucket: int = 500, drop_prefix: str = "Phi") -> DataFrame:
+def pileup(reads: DataFrame, sites: DataFrame, bucket: int = 500, drop_prefix: str = "Phi", keep_sites: bool = False) -> DataFrame:
     """(chrom, pos, ref, alt, rg, base, bq, mq, len, pos_in_read, reverse, deam): plain reads over sites, by a bucketed range join.
 
     Reads with insertions, deletions, gaps or clipping and bases other than ACGT are left out; read groups lose what follows
     a '-', and groups named with ``drop_prefix`` are dropped. ``deam`` is the distance of the first damaged base from the
-    nearer end, or -1.
+    nearer end, or -1. With ``keep_sites`` a site without reads keeps a row.
     """
     from strandline.operators.panelstats import damage_position
     from strandline.operators.tracts import overlap_join
@@ -225,9 +225,10 @@ def pileup(reads: DataFrame, sites: DataFrame, bucket: int = 500, drop_prefix: s
     plain = reads.where(~F.col("cigar").rlike("[IDNSHP]")).withColumn("rg", rg).where(~F.col("rg").startswith(drop_prefix)).withColumn("deam", five)
     s = sites.select("chrom", F.col("pos").alias("r_start"), F.col("pos").alias("r_end"), "ref", "alt")
     j = overlap_join(plain, s, ["chrom"], bucket)
-    off = F.col("r_start") - F.col("start") + 1
+    off = (F.col("r_start") - F.col("start") + 1).cast("int")
     out = j.select("chrom", F.col("r_start").alias("pos"), "ref", "alt", "rg", F.substring("seq", off, F.lit(1)).alias("base"), F.element_at("qual", off).alias("bq"), F.col("mapq").alias("mq"), F.length("seq").alias("len"), (off - 1).alias("pos_in_read"), "reverse", "deam")
-    return out.where(F.col("base").isin("A", "C", "G", "T"))
+    out = out.where(F.col("base").isin("A", "C", "G", "T"))
+    return sites.select("chrom", "pos", "ref", "alt").join(out, ["chrom", "pos", "ref", "alt"], "left") if keep_sites else out
 
 
 def pileup_counts(piles: DataFrame, cutoff: int = 3, length_bin: int | None = None) -> DataFrame:
@@ -239,3 +240,14 @@ def pileup_counts(piles: DataFrame, cutoff: int = 3, length_bin: int | None = No
     n = lambda c: F.count(F.when(c, 1))
     is_ref, is_alt = F.col("base") == F.col("ref"), F.col("base") == F.col("alt")
     return piles.groupBy("chrom", "pos", F.concat_ws("_", *lib).alias("lib")).agg(n(is_ref).alias("tref"), n(is_alt).alias("talt"), n(dmg).alias("tdeam"), n(~is_ref & ~is_alt).alias("tother"))
+
+
+def pileup_counts_exact(piles: DataFrame) -> DataFrame:
+    """Read counts per site, group, length, damage position (-1 for none) and damage site: chrom, pos, tref, talt, lib, len, deam, dmgsite."""
+    from strandline.operators.panelstats import explained_by_damage
+
+    is_ref, is_alt = F.col("base") == F.col("ref"), F.col("base") == F.col("alt")
+    dmg = explained_by_damage(F.col("base"), F.col("ref"), F.col("alt"), F.col("reverse")).cast("int")
+    n = lambda c: F.count(F.when(c, 1))
+    g = piles.where(is_ref | is_alt).groupBy("chrom", "pos", F.col("rg").alias("lib"), "len", "deam", dmg.alias("dmgsite"))
+    return g.agg(n(is_ref).alias("tref"), n(is_alt).alias("talt")).select("chrom", "pos", "tref", "talt", "lib", "len", "deam", "dmgsite")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.canon import chrom_rank
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """One directory of gzip csv with header, or parquet."""
@@ -26,20 +28,21 @@ def genotype_text(g: Sequence[Column]) -> Column:
 
 
 def vcf_lines(df: DataFrame) -> DataFrame:
-    """One VCF line (column value) per site from chrom, pos, ref, alt, aa, l0…l2 (log10), g0…g2 and depth."""
+    """One VCF line (column value) per site from chrom, pos, ref, alt, aa, l0…l2 (log10), g0…g2 and depth; rank and at order them."""
     g = [F.col(f"g{i}") for i in range(3)]
-    gl = F.concat_ws(",", *[F.call_function("format_number", F.col(f"l{i}"), F.lit("0.####")) for i in range(3)])
-    gp = F.concat_ws(",", *[F.call_function("format_number", x, F.lit("0.####")) for x in g])
-    sample = F.concat_ws(":", genotype_text(g), gl, gp, F.col("depth").cast("string"))
-    return df.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), F.concat(F.lit("AA="), F.coalesce("aa", F.lit("."))), F.lit("GT:GL:GP:DP"), sample).alias("value"))
-
-
-def write_vcf(df: DataFrame, path: str, samples: Sequence[str]) -> None:
-    """Lines sorted by chromosome and position in text parts; the header leads every part list as its own file."""
-    spark = df.sparkSession
-    head = spark.createDataFrame([(i, x) for i, x in enumerate(vcf_header(samples))], "i int, value string").coalesce(1).orderBy("i").select("value")
-    head.write.mode("overwrite").text(f"{path}/header")
-    vcf_lines(df.orderBy("chrom", "pos")).write.mode("overwrite").text(f"{path}/records")
+    four = lambda *c: F.concat_ws(",", *[F.call_function("format_number", x, F.lit("0.####")) for x in c])
+    sample = F.concat_ws(":", genotype_text(g), four(*[F.col(f"l{i}") for i in range(3)]), four(*g), F.col("depth").cast("string"))
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), F.concat(F.lit("AA="), F.coalesce("aa", F.lit("."))), F.lit("GT:GL:GP:DP"), sample)
+    return df.select(line.alias("value"), F.coalesce(chrom_rank("chrom"), F.lit(99)).alias("rank"), F.col("pos").cast("long").alias("at"))
+
+
+def write_vcf(df: DataFrame, path: str, samples: Sequence[str], chroms: Sequence[str] = ()) -> None:
+    """Text parts that make up one VCF in the order of their names: header, then lines by chromosome and position.
+
+    The order is a range partitioning, so no task gets all lines.
+    """
+    head = df.sparkSession.createDataFrame([(x, -1, i) for i, x in enumerate(vcf_header(samples, chroms))], "value string, rank int, at long")
+    head.unionByName(vcf_lines(df)).orderBy("rank", "at", "value").select("value").write.mode("overwrite").text(path)
 
 
 def params_yaml(params: dict) -> str:

@@ -51,13 +51,18 @@ def read_xz(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load_panel(spark: SparkSession, paths: Sequence[str], states: Mapping[str, Sequence[str]], autosomes: bool = False) -> DataFrame:
-    """Panel files joined by site, the first one leading; the first file that has a population gives its counts. Populations
+    """Panel files joined by site, see ``join_panels``."""
+    pops = list(dict.fromkeys(p for v in states.values() for p in v))
+    return join_panels([spark.read.parquet(p) if p.endswith(".parquet") else read_table(spark, p, panel_schema(pops)) for p in paths], states, autosomes)
+
+
+def join_panels(panels: Sequence[DataFrame], states: Mapping[str, Sequence[str]], autosomes: bool = False) -> DataFrame:
+    """Panels joined by site, the first one leading; the first one that has a population gives its counts. Populations
     are summed to states, missing counts are 0, sites without a map position are left out and each site counts once."""
     pops = list(dict.fromkeys(p for v in states.values() for p in v))
     key = ["chrom", "pos", "ref", "alt"]
     out, have = None, set()
-    for path in paths:
-        head = spark.read.parquet(path) if path.endswith(".parquet") else read_table(spark, path, panel_schema(pops))
+    for head in panels:
         own = [p for p in pops if p not in have and f"{p}_ref" in head.columns]
         cols = [f"{p}_{a}" for p in own for a in ("ref", "alt")]
         part = first_per_key(head.select(*key, "map", *cols), key, ["map", *cols])
@@ -70,6 +75,55 @@ def load_panel(spark: SparkSession, paths: Sequence[str], states: Mapping[str, S
     return out.where(~F.col("chrom").isin("X", "Y", "Z", "W")) if autosomes else out
 
 
+def join_genotypes(streams: Mapping[str, DataFrame], keep: str = "outer") -> DataFrame:
+    """(chrom, pos, {name}_ref, {name}_alt …): the counts of several files side by side, 0 where a file lacks a site; with
+    keep='left' only sites of the first."""
+    out = None
+    for name, df in streams.items():
+        one = df.groupBy("chrom", "pos").agg(F.sum("n_ref").alias(f"{name}_ref"), F.sum("n_alt").alias(f"{name}_alt"))
+        out = one if out is None else out.join(one, ["chrom", "pos"], keep)
+    return out.fillna(0, [c for c in out.columns if c not in ("chrom", "pos")]) if out is not None else out
+
+
+def tagged_union(tables: Mapping[str, DataFrame], tag: str = "sample") -> DataFrame:
+    """Tables of several samples below each other with their name, columns matched by name, absent ones null."""
+    out = None
+    for name, df in tables.items():
+        one = df.withColumn(tag, F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def subset_samples(vcf: DataFrame, samples: Sequence[str], chroms: Sequence[str] | None = None) -> DataFrame:
+    """Rows of ``parse_vcf`` of some samples, and chromosomes."""
+    out = vcf.where(F.col("sample").isin(*samples))
+    return out.where(F.col("chrom").isin(*chroms)) if chroms is not None else out
+
+
+def panel_from_vcf(spark: SparkSession, path: str, pops: Mapping[str, Sequence[str]], chroms: Sequence[str] | None = None, pseudo_haploid: Sequence[str] = (), rec_file: str | None = None, map_id: str = "AA_Map", rate: float = 1e-8) -> DataFrame:
+    """A panel (chrom, pos, ref, alt, map, counts per population) from VCF text; {CHROM} in a path stands for each chromosome.
+
+    ``map`` is in cM: interpolated in the recombination maps ``rec_file``, or pos · rate · 100."""
+    from strandline.operators.sites import interpolate_map
+
+    named = [(c, path.replace("{CHROM}", c)) for c in chroms or []] if "{CHROM}" in path else [(None, path)]
+    out = None
+    for c, one in named:
+        v = parse_vcf(spark.read.text(one), vcf_samples(spark, one))
+        v = v.where(F.col("chrom").isin(*chroms)) if chroms else v
+        p = vcf_panel(genotype_counts(v, pseudo_haploid), pops)
+        out = p if out is None else out.unionByName(p)
+    if rec_file is None:
+        out = out.withColumn("map", F.col("pos") * rate * 100)
+    else:
+        knots = None
+        for c in chroms or [""]:
+            m = read_recombination_map(spark, rec_file.replace("{CHROM}", c), c, map_id)
+            knots = m if knots is None else knots.unionByName(m)
+        out = interpolate_map(out, knots, "pos", "pos", "map")
+    return out.select("chrom", "pos", "ref", "alt", "map", *[f"{p}_{a}" for p in pops for a in ("ref", "alt")])
+
+
 def load_counts(counts: DataFrame, split_lib: bool = True) -> DataFrame:
     """Read counts with a library (default 'lib0'), incomplete rows left out, summed over libraries unless ``split_lib``."""
     c = counts if "lib" in counts.columns else counts.withColumn("lib", F.lit("lib0"))

@@ -105,8 +105,12 @@ def test_bam_pileup(spark, tmp_path):
 def test_vcf_output(spark, tmp_path):
     df = spark.createDataFrame([("1", 5, "A", "C", "A", -0.1, -1.0, -2.0, 0.8, 0.15, 0.05, 7)], "chrom string, pos int, ref string, alt string, aa string, l0 double, l1 double, l2 double, g0 double, g1 double, g2 double, depth int")
     assert vcf_lines(df).first()[0] == "1\t5\t.\tA\tC\t.\tPASS\tAA=A\tGT:GL:GP:DP\t0/0:-0.1,-1,-2:0.8,0.15,0.05:7"
-    write_vcf(df, str(tmp_path / "o"), ["s"])
-    assert spark.read.text(str(tmp_path / "o/header")).count() == len(vcf_header(["s"]))
+    more = df.unionByName(df.withColumns({"chrom": F.lit("10"), "pos": F.lit(3)})).unionByName(df.withColumn("pos", F.lit(2))).unionByName(df.withColumn("chrom", F.lit("X")))
+    write_vcf(more.repartition(3), str(tmp_path / "o"), ["s"])
+    lines = [x for p in sorted((tmp_path / "o").glob("part-*")) for x in p.read_text().splitlines()]
+    head = vcf_header(["s"])
+    assert lines[: len(head)] == head
+    assert [tuple(x.split("\t")[:2]) for x in lines[len(head) :]] == [("1", "2"), ("1", "5"), ("10", "3"), ("X", "5")]
 
 
 def test_runs_recover_the_source(spark):
@@ -117,7 +121,55 @@ def test_runs_recover_the_source(spark):
     assert r.fit.ll[-1] > r.fit.ll[0]
     p = r.tables["bin"].agg(F.avg("NEA"), F.avg("AFR")).first()
     assert p[0] > p[1]  # the first 100 kb of every chromosome follow the second source
-    assert {"bin", "rle", "sim", "occupancy", "cont", "pars"} == set(r.tables)
+    assert {"bin", "snp", "rle", "sim", "occupancy", "cont", "pars"} == set(r.tables)
+    snp = r.tables["snp"].agg(F.min(F.pow(F.lit(10.0), "log_g0") + F.pow(F.lit(10.0), "log_g1") + F.pow(F.lit(10.0), "log_g2")), F.count("p")).first()
+    assert snp[0] == pytest.approx(1.0) and snp[1] == counts.select("chrom", "pos").distinct().count()
     assert r.tables["occupancy"].agg(F.sum("mean")).first()[0] == pytest.approx(1.0)
-    s = run_sfs(panel, counts, SfsConfig(max_iter=2))
-    assert s["sfs"].where("n_snps > 0").count() > 0
+    s = run_sfs(panel, counts, SfsConfig(max_iter=2, states=("NEA", "DEN", "PAN"), jackknife=2))
+    assert set(s) == {"pars", "sfs", "cont", "snp", "f2", "f3", "f4", "vcf"}
+    assert s["sfs"].where("n_snps > 0 and se_tau is not null and l_tau <= tau").count() > 0
+    assert {r[0] for r in s["f4"].select("rep").distinct().collect()} == {"0", "1", "2"}
+    assert s["cont"].where("se_cont >= 0 and n_reads > 0").count() == counts.select("lib").distinct().count()
+    v = s["vcf"].select(*[F.abs(F.col("g0") + F.col("g1") + F.col("g2") - 1).alias("d")]).agg(F.max("d"), F.count("d")).first()
+    assert v[0] < 1e-9 and v[1] == s["snp"].count() > 0
+
+
+def test_genotype_mode_and_haploid_chromosomes(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    panel = X.sites(spark, d).withColumn("map", F.col("pos") * 1e-6)
+    calls = X.obs(spark, d).groupBy("chrom", "pos").agg(F.least(F.sum("tref"), F.lit(2)).alias("tref"), F.least(F.sum("talt"), F.lit(2)).alias("talt"))
+    calls = calls.withColumn("talt", F.least("talt", 2 - F.least("tref", F.lit(2)))).withColumn("tref", 2 - F.col("talt")).withColumn("lib", F.lit("gt"))
+    r = run_hmm(panel, calls, HmmConfig(sources=("AFR", "NEA"), gt_mode=True, sex="m", max_iter=2, replicates=2, high_cov=None, prior=0.5, favoured=("AFR",)))
+    assert r.fit.ll[-1] > r.fit.ll[0] and r.fit.params.cont == {"gt": 0.01}
+    x = r.tables["bin"].where("haploid").agg(F.max("AFRNEA"), F.min(F.col("AFR") + F.col("NEA")), F.count_distinct("chrom")).first()
+    assert x[0] == 0 and x[1] == pytest.approx(1.0) and x[2] == 1
+    assert r.tables["bin"].where("not haploid and AFRNEA > 0").count() > 0
+    strands = {a: b for a, b in r.tables["sim"].where("it = 0").groupBy("chrom").agg(F.sum("len")).collect()}
+    bins = {a: b for a, b in r.tables["bin"].groupBy("chrom").count().collect()}
+    assert all(strands[c] == bins[c] * (1 if c == "X" else 2) for c in bins)
+    one = run_hmm(panel, calls, HmmConfig(sources=("AFR", "NEA"), gt_mode=True, snp_mode=True, max_iter=1, replicates=1, high_cov=None, ancestral="PAN", ancestral_prior=0.1, rates=((-0.1, 0.1), (0.2, -0.2)), outputs=("bin", "pars")))
+    assert one.tables["bin"].count() == S_count(panel)
+    one.write(str(tmp_path / "r"))
+    assert "converged: false" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "r.yaml")).collect())
+    for rr in (False, True):
+        s = run_sfs(panel, calls, SfsConfig(gt_mode=True, random_read=rr, max_iter=2))
+        assert s["sfs"].where("n_anc + n_der > 0 and read_ratio between 0 and 1").count() > 0 and s["snp"].count() > 0
+
+
+def S_count(panel):
+    return panel.where("PAN_ref + PAN_alt > 0").count()
+
+
+def test_command_line_runs_panels_and_counts(spark, tmp_path):
+    from strandline.__main__ import main
+
+    bins = spark.createDataFrame([("1", i, i * 0.1, i * 100, "NEA" if 3 < i < 9 else "AFR", 1, 0.05 if 3 < i < 9 else 0.95, 0.9 if 3 < i < 9 else 0.02, 0.05 if 3 < i < 9 else 0.03) for i in range(14)], "chrom string, bin long, map double, pos long, viterbi string, n_snps int, AFR double, NEA double, AFRNEA double")
+    bins.coalesce(1).write.option("header", True).csv(str(tmp_path / "bins"))
+    main(["runs", "--in", str(tmp_path / "bins"), "--out", str(tmp_path / "rle")])
+    got = spark.read.option("header", True).csv(str(tmp_path / "rle")).where("target = 'NEA' and type = 'homo'").collect()
+    assert [(r.start, r.end, r.pos, r.pos_end) for r in got] == [("4", "8", "400", "800")] or [(r.start, r.end) for r in got] == [("5", "8")]
+    (tmp_path / "pops.yaml").write_text("P: [a, b]\nQ: [c]\n")
+    (tmp_path / "x.vcf").write_text("##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\tc\n1\t100\t.\tA\tG\t.\t.\t.\tGT\t0/1\t1/1\t0/0\n")
+    main(["panel", "--vcf", str(tmp_path / "x.vcf"), "--out", str(tmp_path / "panel"), "--state-file", str(tmp_path / "pops.yaml"), "--format", "parquet"])
+    r = spark.read.parquet(str(tmp_path / "panel")).first()
+    assert (r.P_ref, r.P_alt, r.Q_ref, r.Q_alt) == (1, 3, 2, 0) and r.map == pytest.approx(1e-4)
