@@ -145,11 +145,12 @@ def fit_ages(tracts: DataFrame, group: Sequence[str], length: str, trunc: float,
     return h.groupBy(*group).applyInPandas(run, f"{types}, age double, weight double")
 
 
-def longest_tract_null(spark, counts: Sequence[int], generations: float, reps: int, seed: int = 0) -> DataFrame:
-    """(n, rep, longest): longest of n exponential tracts since admixture, by inversion of a hash-drawn uniform."""
+def longest_tract_null(counts: DataFrame, generations: float, reps: int, seed: int = 0) -> DataFrame:
+    """(n, rep, longest): longest of n exponential tracts since admixture, by inversion of a hash-drawn uniform, for every
+    number n of ``counts``."""
     from strandline.operators.panelstats import md5_uniform
 
-    x = spark.createDataFrame([(int(n),) for n in counts], "n int").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    x = counts.select(F.col("n").cast("int").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     u = F.greatest(md5_uniform(F.lit(seed), F.col("n"), F.col("rep")), F.lit(1e-12))
     # P(longest <= x) = (1 - exp(-g x / 100))^n
     return x.withColumn("longest", -F.ln(1 - F.pow(u, 1 / F.col("n"))) * F.lit(100.0 / generations))

@@ -75,12 +75,12 @@ def block_callback(spark, d):
 
 
 def age_mixture(spark, d):
-    return E.fit_ages(PQ.with_len(spark, d), ["target"], "len", 1.0, [5, 20, 50, 100, 200, 500])
+    return E.fit_ages(PQ.with_len(spark, d), ["target"], "len", 1.0, [5, 20, 50, 100, 200, 500]).withColumn("weight", F.round("weight", 6))
 
 
 def geneflow_null(spark, d):
-    n = PQ.with_len(spark, d).groupBy("target").agg(F.count(F.lit(1)).alias("n")).select("n").distinct().collect()  # one count per target
-    return E.longest_tract_null(spark, [r[0] for r in n], 30, 100)
+    n = PQ.with_len(spark, d).groupBy("target").agg(F.count(F.lit(1)).alias("n")).select("n").distinct()
+    return E.longest_tract_null(n, 30, 100).withColumn("longest", F.round("longest", 6))
 
 
 _L = "CAST(floor(len / 10.0) AS BIGINT)"
@@ -117,6 +117,8 @@ SELECT a, b, round(cov, 6) AS cov, round(cov / nullif(sqrt((ka - ka * ka / n) /
     "expanded_reads": (expanded, FX + " SELECT chrom, 0 AS allele, CAST(sum(tref) AS BIGINT) AS n FROM obs GROUP BY 1 HAVING sum(tref) > 0 UNION ALL SELECT chrom, 1, CAST(sum(talt) AS BIGINT) FROM obs GROUP BY 1 HAVING sum(talt) > 0"),
     "sites_in_intervals": (in_intervals, FX + ", b AS (SELECT chrom, CAST(floor(pos / 100000.0) AS BIGINT) AS k, min(pos) AS s FROM sites GROUP BY 1, 2) SELECT chrom, pos FROM sites t WHERE EXISTS (SELECT 1 FROM b WHERE b.chrom = t.chrom AND t.pos > b.s AND t.pos <= b.s + 30000)"),
     "block_callback": (block_callback, FX + ", " + SQ._BLK.split(",\nfq AS")[0] + " SELECT chrom, block, count(*) AS n, CAST(median(AFR_alt) AS DOUBLE) AS median FROM bs GROUP BY 1, 2"),
-    "age_mixture": (age_mixture, None),
-    "geneflow_null": (geneflow_null, None),
+    "geneflow_null": (
+        geneflow_null,
+        f"WITH {PQ._TR}, n AS (SELECT DISTINCT CAST(n AS INTEGER) AS n FROM (SELECT count(*) AS n FROM t GROUP BY target)), r AS (SELECT n, CAST(unnest(range(1, 101)) AS INTEGER) AS rep FROM n) SELECT n, rep, round(-ln(1 - pow(greatest(CAST('0x' || substr(md5('0|' || n || '|' || rep), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE, 1e-12), 1.0 / n)) * (100.0 / 30), 6) AS longest FROM r",
+    ),
 }

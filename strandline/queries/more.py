@@ -18,6 +18,7 @@ from strandline.operators import tracts as TR
 from strandline.pipelines import cont_by_group
 from strandline.plans import fixture as X
 from strandline.plans.tables import table
+from strandline.queries import extras as XQ
 from strandline.queries import hmm as HQ
 from strandline.queries import panel as PQ
 from strandline.queries import sfs as SQ
@@ -386,7 +387,63 @@ def cluster_order(spark, d):
     return spark.createDataFrame(pd.DataFrame({"place": range(len(order)), "sample": order}), "place int, sample string")
 
 
+# --- estimation, step by step --------------------------------------------------------------------------------------
+
+
+def hmm_em_step(spark, d):
+    """One iteration of the EM: log-likelihood at the start and the transitions after it."""
+    o = HQ.observed(spark, d).select("chrom", "bin", "pos", "lib", "tref", "talt", "p_cont")
+    bins = S.genome_bins(X.sites(spark, d), "pos", 10000).select("chrom", "bin")
+    fit = H.fit_hmm(o, HQ.snps(spark, d), bins, HQ.SPACE, HQ.PARAMS, max_iter=1, est_cont=False)
+    n = HQ.SPACE.names
+    return spark.createDataFrame([("ll", "", round(fit.ll[0], 3))] + [("trans", f"{a}>{b}", round(fit.params.trans[i][j], 5)) for i, a in enumerate(n) for j, b in enumerate(n)], "kind string, name string, value double")
+
+
+_STEP = HQ._CHAIN + f", xi AS ({HQ._XI}), nm AS (SELECT unnest([0, 1, 2]) AS i, unnest(['AFR', 'NEA', 'AFRNEA']) AS n) SELECT 'll' AS kind, '' AS name, round(sum(ln(n) + s), 3) AS value FROM fwd UNION ALL SELECT 'trans', a.n || '>' || b.n, round(xi / sum(xi) OVER (PARTITION BY xi.i), 5) FROM xi JOIN nm a ON a.i = xi.i JOIN nm b ON b.i = xi.j"
+
+
+def sfs_em_step(spark, d):
+    """One EM step of the SFS model: every parameter and the log-likelihood before it."""
+    p = M.em_step(SQ.data(spark, d), SQ.params(spark, d), M.SfsUpdates())
+    f = M.to_frame(p)
+    rows = [(a, b, round(float(v), 6)) for a, b, v in f[["parameter", "name", "value"]].itertuples(index=False, name=None)] + [("ll", "", round(p["0"].ll, 3))]
+    return spark.createDataFrame(rows, "parameter string, name string, value double")
+
+
+_CLIP = lambda x: f"least(greatest({x}, 1e-10), 1 - 1e-10)"
+_SFS_STEP = f"""{SQ._B}, {SQ._POST}, {SQ._READS}, z AS (SELECT sfs, sum(g0) AS g0, sum(g1) AS g1, sum(g2) AS g2 FROM post GROUP BY 1), ir AS (SELECT *, {SQ._ISREF} AS q FROM rp),
+e AS (SELECT sum(CASE WHEN allele = 1 THEN n * q END) AS err, sum(CASE WHEN allele = 0 THEN n * q END) AS ok, sum(CASE WHEN allele = 0 THEN n * (1 - q) END) AS bias, sum(CASE WHEN allele = 1 THEN n * (1 - q) END) AS nobias FROM ir)
+SELECT 'tau' AS parameter, CAST(sfs AS VARCHAR) AS name, round({_CLIP(SQ._TF)}, 6) AS value FROM z UNION ALL SELECT 'f', CAST(sfs AS VARCHAR), round({_CLIP(f'least(greatest(1 - g1 / (2 * {SQ._TF} * (1 - {SQ._TF}) * (g0 + g1 + g2)), 0), 1)')}, 6) FROM z
+UNION ALL SELECT 'cont', rg, round(sum(n * post_c) / sum(n), 6) FROM rp GROUP BY 2 UNION ALL SELECT 'e', '', round(err / (err + ok), 6) FROM e UNION ALL SELECT 'b', '', round(bias / (bias + nobias), 6) FROM e UNION ALL SELECT 'll', '', round(sum(ll), 3) FROM post"""
+
+
+def runs_check(spark, d):
+    """Simulated runs per chromosome: replicates, and the least and largest total length of one."""
+    x = HQ.QUERIES["posterior_runs"][0](spark, d).groupBy("chrom", "it").agg(F.sum("len").alias("n"))
+    return x.groupBy("chrom").agg(F.count(F.lit(1)).alias("replicates"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def length_fit_check(spark, d):
+    x = TR.fit_lengths(PQ.with_len(spark, d), ["target"], "len", PQ.TRUNC)
+    return x.select("target", "n", r("rate", 4), r("ll_exp", 2), ((F.col("ll_lomax") >= F.col("ll_exp") - 1e-9) & F.col("p").between(0, 0.5)).alias("nested"))
+
+
+_AGES = [5, 20, 50, 100, 200, 500]
+_LIK = [f"({a / 100} * exp(-(x - 1.0) * {a / 100}))" for a in _AGES]
+_DEN = "(" + " + ".join(f"{l} * w{k}" for k, l in enumerate(_LIK)) + ")"
+_AGE = f"""{('WITH RECURSIVE ' + PQ._TR)}, h AS (SELECT target, round(len, 3) AS x, CAST(count(*) AS DOUBLE) AS n FROM t WHERE len >= 1 GROUP BY 1, 2),
+em AS (SELECT target, 0 AS it, {', '.join(f'1 / 6.0::DOUBLE AS w{k}' for k in range(6))} FROM h GROUP BY 1 UNION ALL SELECT target, it + 1, {', '.join(f'sum(n * {l} * w{k} / greatest({_DEN}, 1e-300)) / sum(n)' for k, l in enumerate(_LIK))} FROM em JOIN h USING (target) WHERE it < 50 GROUP BY target, it)
+""" + " UNION ALL ".join(f"SELECT target, CAST({a} AS DOUBLE) AS age, round(w{k}, 6) AS weight FROM em WHERE it = 50" for k, a in enumerate(_AGES))
+
 QUERIES = {
+    "age_mixture": (XQ.age_mixture, _AGE),
+    "hmm_em_step": (hmm_em_step, _STEP),
+    "sfs_em_step": (sfs_em_step, _SFS_STEP),
+    "posterior_runs_check": (runs_check, FX + f", {_BINS} SELECT chrom, CAST(100 AS BIGINT) AS replicates, 2 * count(*) AS least, 2 * count(*) AS most FROM bins0 GROUP BY 1"),
+    "length_fit_check": (
+        length_fit_check,
+        f"WITH {PQ._TR}, h AS (SELECT target, round(len, 4) - 1.0 AS x FROM t WHERE len >= 1), g AS (SELECT target, count(*) AS n, greatest(avg(x), 1e-12) AS m FROM h GROUP BY 1) SELECT target, n, round(1 / m, 4) AS rate, round(-n * ln(m) - n, 2) AS ll_exp, true AS nested FROM g",
+    ),
     "hmm_forward_ll_haploid": (_ll(haploid=("X",)), FX + f", {_em(_ONX)}, {HQ._FWD}, {_FWDX}{_LLX}"),
     "hmm_forward_ll_gt": (_ll(calls=True), FX + f", {_em(HQ._STATES, _CALL)}, {HQ._FWD}{_LLS}"),
     "hmm_forward_ll_eb": (_ll(prior=None), FX + f", {_EBP}, {_em(_EBS, None, ', ebAFR eA, ebNEA eN')}, {HQ._FWD}{_LLS}"),

@@ -266,6 +266,12 @@ c AS (SELECT era, chrom, pos, count(DISTINCT b.sample) AS n FROM b JOIN e ON e.s
         FX + """, e AS (SELECT site_id, lib, 'r' AS a, unnest(range(1, tref + 1)) AS i FROM obs UNION ALL SELECT site_id, lib, 'a', unnest(range(1, talt + 1)) FROM obs),
 k AS (SELECT *, CAST('0x' || substr(md5('0|' || site_id || '|' || lib || '|' || a || '|' || i), 1, 8) AS BIGINT) / 4294967296.0 < 0.3 AS keep FROM e) SELECT site_id, lib, CAST(count(*) FILTER (a = 'r') AS INTEGER) AS tref, CAST(count(*) FILTER (a = 'a') AS INTEGER) AS talt FROM k WHERE keep GROUP BY 1, 2""",
     ),
-    "fake_contamination": (lambda s, d: P.fake_contamination(X.obs(s, d).join(X.sites(s, d).select("site_id", S.cont_freq("AFR", 0.5, 0.5).alias("p")), "site_id"), ["site_id", "lib"], "p", 0.1), None),
+    "fake_contamination": (
+        lambda s, d: P.fake_contamination(X.obs(s, d).join(X.sites(s, d).select("site_id", S.cont_freq("AFR", 0.5, 0.5).alias("p")), "site_id"), ["site_id", "lib"], "p", 0.1).select("site_id", "lib", "tref", "talt"),
+        FX + f""", lm AS (SELECT 0.1 * avg(tref + talt) / 0.9 AS lam FROM obs), o AS (SELECT site_id, lib, tref, talt, lam, (AFR_alt + 0.5) / 21.0 AS p FROM obs JOIN sites USING (site_id), lm),
+u AS (SELECT o.*, a, CASE a WHEN 'a' THEN p ELSE 1 - p END * lam AS rate, CAST('0x' || substr(md5('0|' || site_id || '|' || lib || '|' || a), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM o, (SELECT unnest(['a', 'r']) AS a)),
+k AS (SELECT site_id, lib, a, u, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY site_id, lib, a ORDER BY k ROWS UNBOUNDED PRECEDING) AS cdf FROM u, (SELECT unnest(range(0, 40)) AS k)),
+n AS (SELECT site_id, lib, count(*) FILTER (a = 'a' AND cdf < u) AS na, count(*) FILTER (a = 'r' AND cdf < u) AS nr FROM k GROUP BY 1, 2) SELECT site_id, lib, CAST(tref + nr AS BIGINT) AS tref, CAST(talt + na AS BIGINT) AS talt FROM obs JOIN n USING (site_id, lib)""",
+    ),
     "random_read": (lambda s, d: P.random_read(X.obs(s, d), ["site_id", "lib"]).select("site_id", "lib", "allele"), FX + " SELECT site_id, lib, CASE WHEN CAST('0x' || substr(md5('0|' || site_id || '|' || lib), 1, 8) AS BIGINT) / 4294967296.0 * (tref + talt) < talt THEN 1 ELSE 0 END AS allele FROM obs"),
 }
