@@ -41,11 +41,6 @@ def canon_name(col: Column | str) -> Column:
     return F.when(t == "", None).otherwise(t)
 
 
-def canon_source_name(col: Column | str) -> Column:
-    """Document sources: case, outer blanks and '-' against '_' do not matter."""
-    return F.translate(canon_name(col), "-", "_")
-
-
 def genetic_position(col: Column | str) -> Column:
     """The value where it can be a genetic position (finite, from 0 to below 400 cM), else null."""
     v = _c(col)

@@ -48,13 +48,13 @@ def expand_reads(counts: DataFrame) -> DataFrame:
     return counts.withColumn("allele", F.explode(both)).drop("tref", "talt")
 
 
-def length_classes(reads: DataFrame, keys: Sequence[str], value: str, size: int, most: int = 254, out: str = "cls") -> DataFrame:
+def length_classes(reads: DataFrame, keys: Sequence[str], value: str, size: int, most: int = 254, out: str = "cls", weight: Column | None = None) -> DataFrame:
     """``reads`` with quantile classes of ``value`` of about ``size`` reads per group; 255 where it is null or negative.
 
     Classes come from counts per distinct value (few), accumulated inside the group, so reads are not ranked one by one.
     """
     ok = F.col(value).isNotNull() & (F.col(value) >= 0)
-    h = reads.where(ok).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    h = reads.where(ok).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__n"))
     w = Window.partitionBy(*keys)
     total = F.sum("__n").over(w)
     k = F.least(F.greatest(F.floor(total / F.lit(size)), F.lit(1)), F.lit(most))
@@ -63,6 +63,16 @@ def length_classes(reads: DataFrame, keys: Sequence[str], value: str, size: int,
     return reads.join(h, [*keys, value], "left").withColumn(out, F.when(ok, F.col(out)).otherwise(255))
 
 
+def bin_read_groups(counts: DataFrame, deam_size: int, len_size: int) -> tuple[DataFrame, DataFrame]:
+    """Counts with lib, len, deam, tref and talt: ``counts`` with rg, named after library, damage class and length class of about so
+    many reads each, and the index of groups (rg, lib, deam_cls, len_cls, n_exact)."""
+    n = F.col("tref") + F.col("talt")
+    x = length_classes(counts, ["lib"], "deam", deam_size, out="deam_cls", weight=n)
+    x = length_classes(x, ["lib"], "len", len_size, out="len_cls", weight=n)
+    x = x.withColumn("rg", F.concat_ws("_", "lib", F.col("deam_cls").cast("string"), F.col("len_cls").cast("string")))
+    return x, x.groupBy("rg", "lib", "deam_cls", "len_cls").agg(F.sum(n).alias("n_exact"))
+
+
 def read_level_d(reads: DataFrame, freqs: DataFrame, on: Sequence[str], by: Sequence[str], a: str, c: str, o: str) -> DataFrame:
     """(by, abba, baba, d): D(read, a; c, o) where the first population is each read's allele, per read class."""
     j = reads.join(freqs.where(F.col(a).isNotNull() & F.col(c).isNotNull() & F.col(o).isNotNull()), list(on))

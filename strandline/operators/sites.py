@@ -49,22 +49,23 @@ def coverage_filter(obs: DataFrame, high: float) -> DataFrame:
 def greedy_thin(panel: DataFrame, by: str, distance: float) -> DataFrame:
     """Per chromosome, keep a site if it lies more than ``distance`` after the last kept one.
 
-    The choice depends on all earlier ones, so a chromosome is one pandas group; sites of a chromosome are bounded by
-    its length. Ties in ``by`` keep one site.
+    The choice depends on all earlier ones, so the distinct values of ``by`` of a chromosome are one pandas group, bounded by
+    the chromosome's length; no other column goes through it. Ties in ``by`` keep one site, the first by its other columns.
+    Sites with a null in ``by`` or without a chromosome are left out.
     """
-    cols = panel.columns
+    at = panel.select("chrom", by).where(F.col("chrom").isNotNull() & F.col(by).isNotNull()).distinct()
 
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([by, *[c for c in cols if c != by]])
-        x, keep, last = pdf[by].to_numpy(), [], float("-inf")
-        at = 0
-        while at < len(x):
-            keep.append(at)
-            last = x[at]
-            at = max(at + 1, int(x.searchsorted(last + distance, side="right")))
-        return pdf.iloc[keep][cols]
-
-    return panel.groupBy("chrom").applyInPandas(thin, panel.schema)
+        pdf = pdf.sort_values(by)
+        x, keep, k = pdf[by].to_numpy(), [], 0
+        while k < len(x):
+            keep.append(k)
+            k = max(k + 1, int(x.searchsorted(x[k] + distance, side="right")))
+        return pdf.iloc[keep]
+
+    kept = at.groupBy("chrom").applyInPandas(thin, at.schema)
+    one = first_per_key(panel, ["chrom", by], [c for c in panel.columns if c not in ("chrom", by)] or [by])
+    return one.join(kept, ["chrom", by]).select(*panel.columns)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -20,12 +20,12 @@ def chrom_sql(c: str = "chrom") -> str:
 
 
 def key_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Counts and sums per lib and per chrom over target_file ⋈ cont."""
+    """Counts and sums per lib and per chrom over target_file ⋈ cont; sum_snps counts a library's sites once per row."""
     target = table(spark, d, "target_file").select(canon_chrom("chrom").alias("chrom"), "lib", "tref", "talt")
     state = eager_join_aggregate(
-        target, table(spark, d, "cont").select("lib", "n_snps"), ["lib"], left_group=["chrom"], left_sums={"sum_tref": "tref", "sum_talt": "talt"}, how="left"
+        target, table(spark, d, "cont").select("lib", "n_snps"), ["lib"], left_group=["chrom"], left_sums={"sum_tref": "tref", "sum_talt": "talt"}, right_sums={"sum_snps": "n_snps"}, how="left"
     )
-    return rollup_states(state, {"lib": "lib", "chrom": "chrom"}, ["sum_tref", "sum_talt"])
+    return rollup_states(state, {"lib": "lib", "chrom": "chrom"}, ["sum_tref", "sum_talt", "sum_snps"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,10 +96,10 @@ def p5_alt_filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TOTALS = f"""
-WITH state AS (SELECT t.lib, {chrom_sql('t.chrom')} AS chrom, t.tref, t.talt FROM target_file t LEFT JOIN cont c ON t.lib = c.lib),
-keyed AS (SELECT 'lib' AS key_field, lib AS key_value, tref, talt FROM state
- UNION ALL SELECT 'chrom', chrom, tref, talt FROM state),
-totals AS (SELECT key_field, key_value, count(*) AS n_rows, CAST(sum(tref) AS BIGINT) AS sum_tref, CAST(sum(talt) AS BIGINT) AS sum_talt
+WITH state AS (SELECT t.lib, {chrom_sql('t.chrom')} AS chrom, t.tref, t.talt, c.n_snps FROM target_file t LEFT JOIN cont c ON t.lib = c.lib),
+keyed AS (SELECT 'lib' AS key_field, lib AS key_value, tref, talt, n_snps FROM state
+ UNION ALL SELECT 'chrom', chrom, tref, talt, n_snps FROM state),
+totals AS (SELECT key_field, key_value, count(*) AS n_rows, CAST(sum(tref) AS BIGINT) AS sum_tref, CAST(sum(talt) AS BIGINT) AS sum_talt, CAST(sum(n_snps) AS BIGINT) AS sum_snps
  FROM keyed GROUP BY 1, 2)
 """
 

@@ -435,7 +435,62 @@ _AGE = f"""{('WITH RECURSIVE ' + PQ._TR)}, h AS (SELECT target, round(len, 3) AS
 em AS (SELECT target, 0 AS it, {', '.join(f'1 / 6.0::DOUBLE AS w{k}' for k in range(6))} FROM h GROUP BY 1 UNION ALL SELECT target, it + 1, {', '.join(f'sum(n * {l} * w{k} / greatest({_DEN}, 1e-300)) / sum(n)' for k, l in enumerate(_LIK))} FROM em JOIN h USING (target) WHERE it < 50 GROUP BY target, it)
 """ + " UNION ALL ".join(f"SELECT target, CAST({a} AS DOUBLE) AS age, round(w{k}, 6) AS weight FROM em WHERE it = 50" for k, a in enumerate(_AGES))
 
+
+
+def grouped_reads(spark, d):
+    """Reads per site and read group, with the group's exact count."""
+    c = P.count_reads(X.reads(spark, d), ["chrom", "pos", "lib", "len", "deam"])
+    x, index = E.bin_read_groups(c, 3000, 2000)
+    g = x.groupBy("chrom", "pos", "rg").agg(F.sum("tref").alias("tref"), F.sum("talt").alias("talt"))
+    return g.join(index, "rg").select("chrom", "pos", "rg", "tref", "talt", "deam_cls", "len_cls", "n_exact")
+
+
+def _cls(v, size, name):
+    return f"{name}h AS (SELECT lib, {v}, count(*) AS n FROM reads WHERE {v} >= 0 GROUP BY 1, 2), {name}c AS (SELECT *, sum(n) OVER (PARTITION BY lib) AS t, sum(n) OVER (PARTITION BY lib ORDER BY {v} ROWS UNBOUNDED PRECEDING) - n AS b FROM {name}h), {name}k AS (SELECT lib, {v}, CAST(floor(b * least(greatest(floor(t / {size}.0), 1), 254) / t) AS INTEGER) AS {name} FROM {name}c)"
+
+
+_GROUPED = f"""{FX}, {_cls('deam', 3000, 'deam_cls')}, {_cls('len', 2000, 'len_cls')}, x AS (SELECT r.chrom, r.pos, r.is_alt, r.lib, coalesce(deam_cls, 255) AS deam_cls, len_cls FROM reads r LEFT JOIN deam_clsk d ON d.lib = r.lib AND d.deam = r.deam JOIN len_clsk l ON l.lib = r.lib AND l.len = r.len),
+y AS (SELECT *, lib || '_' || deam_cls || '_' || len_cls AS rg FROM x), n AS (SELECT rg, count(*) AS n_exact FROM y GROUP BY 1)
+SELECT chrom, pos, rg, CAST(sum(1 - is_alt) AS BIGINT) AS tref, CAST(sum(is_alt) AS BIGINT) AS talt, deam_cls, len_cls, n_exact FROM y JOIN n USING (rg) GROUP BY ALL"""
+
+
+def drift_genotypes(spark, d):
+    return HQ._gt_query(spark, d, lambda a, b: [("AFR", L.genotype_homozygous(a[0], b[0], 0.25, 0.7)), ("NEA", L.genotype_homozygous(a[1], b[1], 0.0, 2.5))])
+
+
+def _drift(p, f, tau):
+    a, b = f"({p}_alt + 0.5)", f"({p}_ref + 0.5)"
+    d = f"(({a} + {b}) * ({tau} * ({a} + {b}) + 1))"
+    g0, g2 = f"(({b} * {b} * {tau} + {b} + {a} * {b} * {f} * {tau}) / {d})", f"(({a} * {a} * {tau} + {a} + {a} * {b} * {f} * {tau}) / {d})"
+    return g0, f"(1 - {g0} - {g2})", g2
+
+
+def sfs_tau_step(spark, d):
+    """The step that moves tau alone: inbreeding, contamination and errors stay."""
+    p = M.em_step(SQ.data(spark, d), SQ.params(spark, d), M.SfsUpdates(cont=False, f=False, error=False))["0"]
+    return spark.createDataFrame([(int(k), round(v, 6), round(p.f[k], 6)) for k, v in p.tau.items()], "sfs int, tau double, f double")
+
+
+def stationary_states(spark, d):
+    from strandline.numeric import stationary
+
+    t = np.array([[0.97, 0.03], [0.2, 0.8]])
+    return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(("AFR", "NEA"), stationary(t))], "state string, p double")
+
+
+def parsed_states(spark, d):
+    from strandline.states import parse_chroms, parse_states
+
+    rows = [("state", k, p) for k, v in parse_states(["AFR", "ARC=NEA+DEN", "ARC=VIN"], {"DEN": ["D3", "D4"]}).items() for p in v] + [("chrom", c, "") for c in parse_chroms("20-22,X")]
+    return spark.createDataFrame(rows, "kind string, name string, pop string")
+
+
 QUERIES = {
+    "grouped_reads": (grouped_reads, _GROUPED),
+    "geno_given_state_drift": (drift_genotypes, FX + f" SELECT site_id, {HQ._gts('AFR', _drift('AFR', 0.25, 0.7))}, {HQ._gts('NEA', _drift('NEA', 0.0, 2.5))} FROM sites"),
+    "sfs_m_step_tau": (sfs_tau_step, SQ._B + f", {SQ._POST}, z AS (SELECT sfs, sum(g0) AS g0, sum(g1) AS g1, sum(g2) AS g2 FROM post GROUP BY 1) SELECT CAST(sfs AS INTEGER) AS sfs, round({_CLIP(SQ._TF)}, 6) AS tau, CAST({SQ.INB} AS DOUBLE) AS f FROM z"),
+    "stationary_states": (stationary_states, "SELECT 'AFR' AS state, round(CAST(0.2 AS DOUBLE) / 0.23, 6) AS p UNION ALL SELECT 'NEA', round(CAST(0.03 AS DOUBLE) / 0.23, 6)"),
+    "parsed_states": (parsed_states, "SELECT * FROM (VALUES ('state', 'AFR', 'AFR'), ('state', 'ARC', 'NEA'), ('state', 'ARC', 'D3'), ('state', 'ARC', 'D4'), ('state', 'ARC', 'VIN'), ('chrom', '20', ''), ('chrom', '21', ''), ('chrom', '22', ''), ('chrom', 'X', '')) v(kind, name, pop)"),
     "age_mixture": (XQ.age_mixture, _AGE),
     "hmm_em_step": (hmm_em_step, _STEP),
     "sfs_em_step": (sfs_em_step, _SFS_STEP),

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandline.plans.scan import running_count
+from strandline.sources.text import ordered_lines
+
 # Chromosome codes of the .snp file, base codes and operations of BAM.
 CODES = {"23": "X", "24": "Y", "90": "mt"}
 BASES = "=ACMGRSVTWYHKDBN"
@@ -75,13 +78,14 @@ def read_eigenstrat(spark: SparkSession, prefix: str) -> DataFrame:
     if kind != b"GENO":
         raise ValueError("not a packed genotype file")
     g = spark.read.format("strandline_geno").options(path=f"{prefix}.geno", n_ind=int(n_ind), n_snp=int(n_snp)).load()
-    # small side tables, numbered by a driver-side read of their lines
+    # a list of individuals is a row of the matrix long; the sites are numbered by a blocked count of their lines
     with open(f"{prefix}.ind") as f:
         ind = [(i, *x.split()[:3]) for i, x in enumerate(f) if x.strip()]
     inds = spark.createDataFrame(ind, "ind int, sample string, sex string, pop string")
-    with open(f"{prefix}.snp") as f:
-        snp = [(i, CODES.get(x[1], x[1]), int(x[3]), x[4], x[5], float(x[2]) * 100) for i, x in enumerate(line.split() for line in f if line.strip())]
-    snps = spark.createDataFrame(snp, "row long, chrom string, pos int, ref string, alt string, map double")
+    lines = running_count(ordered_lines(spark, f"{prefix}.snp").where(F.trim("value") != ""), [], "at", "n", 1 << 20, null_keys=False)
+    x = F.split(F.trim("value"), r"\s+")
+    code = F.create_map(*[F.lit(v) for kv in CODES.items() for v in kv])
+    snps = lines.select((F.col("n") - 1).alias("row"), F.coalesce(F.element_at(code, x[1]), x[1]).alias("chrom"), x[3].cast("int").alias("pos"), x[4].alias("ref"), x[5].alias("alt"), (x[2].cast("double") * 100).alias("map"))
     return g.join(snps, "row").join(inds, "ind").drop("row", "ind")
 
 

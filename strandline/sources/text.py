@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.sites import first_per_key, merge_states
+from strandline.plans.scan import running_sum
 
 COUNTS = "chrom string, pos int, lib string, tref int, talt int, tdeam int, tother int"
 COUNTS_V2 = "chrom string, pos int, tref int, talt int, lib string, len int, deam int, dmgsite int"
@@ -34,22 +35,31 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_xz(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """csv.xz, which Spark has no codec for: one task per file, decoded in chunks."""
+    """csv.xz, which Spark has no codec for: one task per file, decompressed and parsed in chunks."""
     types = dict(c.split() for c in schema.split(","))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for blob in b["content"]:
-                for part in pd.read_csv(io.BytesIO(lzma.decompress(blob)), dtype={n: str for n, t in types.items() if t == "string"}, chunksize=100_000):
-                    out = pd.DataFrame({n: part[n] if n in part else pd.Series([None] * len(part)) for n in types})
-                    for n, t in types.items():
-                        if t != "string":
-                            out[n] = out[n].astype("float64" if t == "double" else "Int64")
-                    yield out
+                with lzma.open(io.BytesIO(blob)) as f:
+                    for part in pd.read_csv(f, dtype={n: str for n, t in types.items() if t == "string"}, chunksize=100_000):
+                        out = pd.DataFrame({n: part[n] if n in part else pd.Series([None] * len(part)) for n in types})
+                        for n, t in types.items():
+                            if t != "string":
+                                out[n] = out[n].astype("float64" if t == "double" else "Int64")
+                        yield out
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, schema)
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, value): lines of one text file with a number that rises along the file; parts of the file are read by many tasks.
+
+    A line's number is the offset of its part plus its place in the task, which is below the part's length."""
+    t = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return t.select((F.col("b") + F.col("i").bitwiseAND(F.lit((1 << 33) - 1))).alias("at"), "value")
+
+
 def load_panel(spark: SparkSession, paths: Sequence[str], states: Mapping[str, Sequence[str]], autosomes: bool = False) -> DataFrame:
     """Panel files joined by site, see ``join_panels``."""
     pops = list(dict.fromkeys(p for v in states.values() for p in v))
@@ -151,12 +161,21 @@ def bed_positions(bed: DataFrame, chrom: str | None = None, start: int | None =
     return p.orderBy("chrom", "pos").limit(max_snps) if max_snps is not None else p
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, pos, base): one record per sequence is split at '>', so a sequence must fit one task."""
-    t = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    name = F.regexp_extract("value", r"^\s*(\S+)", 1)
-    seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", ""))
-    return t.select(name.alias("chrom"), F.posexplode(F.split(seq, "")).alias("i", "base")).where("base <> ''").select("chrom", (F.col("i") + 1).alias("pos"), "base")
+FASTA_PIECE = 10_000
+
+
+def read_fasta(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
+    """(chrom, pos, base) of every sequence. Lines get their sequence and place from blocked running sums, so a sequence may be of
+    any length; lines that are long themselves are cut into pieces."""
+    t = ordered_lines(spark, path).withColumn("value", F.regexp_replace("value", r"[\s]+$", ""))
+    head = F.col("value").startswith(">")
+    t = t.withColumns({"head": head.cast("int"), "n": F.when(head, 0).otherwise(F.length("value"))})
+    t = running_sum(t, [], "at", "head", "seq", block, null_keys=False)
+    names = t.where("head = 1").select("seq", F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("chrom"))
+    t = running_sum(t.where("head = 0 and n > 0"), ["seq"], "at", "n", "upto", block, null_keys=False)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / FASTA_PIECE)), lambda k: F.struct((k * FASTA_PIECE).alias("off"), F.substring("value", (k * FASTA_PIECE + 1).cast("int"), F.lit(FASTA_PIECE)).alias("s")))
+    t = t.join(names, "seq").select("chrom", (F.col("upto") - F.col("n")).alias("before"), F.explode(pieces).alias("p"))
+    return t.select("chrom", "before", "p.off", F.posexplode(F.split(F.upper("p.s"), "")).alias("i", "base")).where("base <> ''").select("chrom", (F.col("before") + F.col("off") + F.col("i") + 1).cast("int").alias("pos"), "base")
 
 
 def parse_vcf(lines: DataFrame, samples: Sequence[str]) -> DataFrame:
