@@ -86,6 +86,12 @@ def fisher(table: DataFrame) -> float:
     return fisher_exact(n.get((True, True), 0), n.get((True, False), 0), n.get((False, True), 0), n.get((False, False), 0))
 
 
+def map_limits(sites: DataFrame, maps: Sequence[str], chrom: str = "chrom", pos: str = "pos") -> DataFrame:
+    """(chrom, pos_min, pos_max, {map}_min, {map}_max …): the ends of every chromosome on each map; missing positions count on none."""
+    ends = [f(c).alias(f"{c}_{n}") for c in (pos, *maps) for n, f in (("min", F.min), ("max", F.max))]
+    return sites.groupBy(chrom).agg(*ends)
+
+
 def weighted_mean(value: str, weight: str) -> Column:
     """Σ value · weight / Σ weight over rows that have both."""
     w = F.when(F.col(value).isNotNull() & F.col(weight).isNotNull(), F.col(weight))

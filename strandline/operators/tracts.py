@@ -153,6 +153,17 @@ def overlaps_any(left: DataFrame, right: DataFrame, on: Sequence[str], ids: Sequ
     return left.join(hit, list(ids), "left").withColumn("overlaps", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
+def select_tracts(tracts: DataFrame, chrom: str | None = None, start: int | None = None, end: int | None = None, length: str = "len", min_length: float | None = None, targets: Sequence[str] | None = None, types: Sequence[str] | None = None) -> DataFrame:
+    """Tracts that meet a region (closed), of at least a length, of some targets and types; a null fails every condition asked."""
+    out = tracts
+    for ok in (
+        None if chrom is None else F.col("chrom") == chrom, None if start is None else F.col("end") >= start, None if end is None else F.col("start") <= end, None if min_length is None else F.col(length) >= min_length,
+        None if targets is None else F.col("target").isin(*targets), None if types is None else F.col("type").isin(*types),
+    ):
+        out = out if ok is None else out.where(ok)
+    return out
+
+
 def explode_bins(runs: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """One row per bin of every run."""
     return runs.withColumn("bin", F.explode(F.sequence(F.col(start), F.col(end))))

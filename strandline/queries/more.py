@@ -485,7 +485,41 @@ def parsed_states(spark, d):
     return spark.createDataFrame(rows, "kind string, name string, pop string")
 
 
+
+
+def selected_tracts(spark, d):
+    t = TR.select_tracts(PQ.with_len(spark, d), "2", 10_000_000, 120_000_000, min_length=2.0, targets=["NEA", "DEN"], types=["state", "homo"])
+    return t.groupBy("sample", "target", "type").agg(F.count(F.lit(1)).alias("n"), r_sum("len"))
+
+
+def r_sum(c, n=4):
+    return F.round(F.sum(c), n).alias(c)
+
+
+def run_occupancy(spark, d):
+    """Shares of covered bins per target, over samples as replicates."""
+    t = PQ.tracts(spark, d).where("type = 'state'").select(F.col("sample").alias("it"), F.col("target").alias("state"), (F.col("id_end") - F.col("id") + 1).alias("len")).where("len is not null")
+    return TR.occupancy(t).select("state", *[r(c) for c in ("mean", "sd", "lower", "upper")])
+
+
+_OCC = f"""WITH {PQ._TR}, u AS (SELECT sample AS it, target AS state, id_end - id + 1 AS len FROM t WHERE type = 'state' AND id_end - id IS NOT NULL), a AS (SELECT it, CAST(sum(len) AS DOUBLE) AS tot FROM u GROUP BY 1), p AS (SELECT it, state, sum(len) / min(tot) AS p FROM u JOIN a USING (it) GROUP BY 1, 2), k AS (SELECT count(DISTINCT it) AS k FROM u),
+g AS (SELECT state, sum(p) AS s, sum(p * p) AS q, min(k) AS k FROM p, k GROUP BY 1), m AS (SELECT state, s / k AS mean, sqrt(greatest((q - k * (s / k) * (s / k)) / nullif(k - 1, 0), 0)) AS sd FROM g) SELECT state, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - 1.96 * sd, 6) AS lower, round(mean + 1.96 * sd, 6) AS upper FROM m"""
+
+
+def extrapolated(spark, d):
+    """A squared extrapolation of two EM steps."""
+    from strandline.numeric import squarem_step
+
+    x = squarem_step(np.array([0.1, 0.5]), np.array([0.2, 0.46]), np.array([0.25, 0.44]))
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(x)], "i int, x double")
+
+
+_SQ = "WITH v AS (SELECT unnest([0, 1]) AS i, unnest([0.1, 0.5])::DOUBLE AS a, unnest([0.2, 0.46])::DOUBLE AS b, unnest([0.25, 0.44])::DOUBLE AS c), s AS (SELECT least(-sqrt(sum((b - a) * (b - a)) / sum((c - 2 * b + a) * (c - 2 * b + a))), -1) AS al FROM v) SELECT CAST(i AS INTEGER) AS i, round(a - 2 * al * (b - a) + al * al * (c - 2 * b + a), 6) AS x FROM v, s"
+
 QUERIES = {
+    "selected_tracts": (selected_tracts, f"WITH {PQ._TR} SELECT sample, target, type, count(*) AS n, round(sum(len), 4) AS len FROM t WHERE chrom = '2' AND e >= 10000000 AND s <= 120000000 AND len >= 2 AND target IN ('NEA', 'DEN') AND type IN ('state', 'homo') GROUP BY 1, 2, 3"),
+    "run_occupancy": (run_occupancy, _OCC),
+    "squared_extrapolation": (extrapolated, _SQ),
     "grouped_reads": (grouped_reads, _GROUPED),
     "geno_given_state_drift": (drift_genotypes, FX + f" SELECT site_id, {HQ._gts('AFR', _drift('AFR', 0.25, 0.7))}, {HQ._gts('NEA', _drift('NEA', 0.0, 2.5))} FROM sites"),
     "sfs_m_step_tau": (sfs_tau_step, SQ._B + f", {SQ._POST}, z AS (SELECT sfs, sum(g0) AS g0, sum(g1) AS g1, sum(g2) AS g2 FROM post GROUP BY 1) SELECT CAST(sfs AS INTEGER) AS sfs, round({_CLIP(SQ._TF)}, 6) AS tau, CAST({SQ.INB} AS DOUBLE) AS f FROM z"),

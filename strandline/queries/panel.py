@@ -110,7 +110,8 @@ def chrom_limits(spark, d):
     from strandline.functions.canon import genetic_position
 
     x = table(spark, d, "reference_file").select(canon_chrom("chrom").alias("chrom"), "pos", genetic_position("map").alias("m"))
-    return x.groupBy("chrom").agg(F.min("pos").alias("pos_min"), F.max("pos").alias("pos_max"), F.min("m").alias("map_min"), F.max("m").alias("map_max"))
+    x = x.select("chrom", "pos", F.col("m").alias("map"), F.when(F.col("m").isNotNull(), F.col("pos") * 1e-6).alias("even"))
+    return P.map_limits(x, ["map", "even"])
 
 
 def allele_join(spark, d):
@@ -228,7 +229,7 @@ c AS (SELECT era, chrom, pos, count(DISTINCT b.sample) AS n FROM b JOIN e ON e.s
         lambda s, d: P.pivot_panel(X.obs(s, d).select("chrom", "pos", "lib", "tref", "talt"), ["chrom", "pos"], "lib", ["lib0", "lib1", "lib2"], ["tref", "talt"]),
         FX + " SELECT chrom, pos, " + ", ".join(f"CAST(sum({v}) FILTER (lib = '{p}') AS BIGINT) AS {p}_{v}" for p in ("lib0", "lib1", "lib2") for v in ("tref", "talt")) + " FROM obs GROUP BY 1, 2",
     ),
-    "map_limits": (chrom_limits, f"WITH m AS (SELECT {chrom_sql()} AS chrom, pos, CASE WHEN map IS NULL OR isnan(map) OR map < 0 OR map >= 400 THEN NULL ELSE map END AS m FROM reference_file) SELECT chrom, min(pos) AS pos_min, max(pos) AS pos_max, min(m) AS map_min, max(m) AS map_max FROM m GROUP BY 1"),
+    "map_limits": (chrom_limits, f"WITH m AS (SELECT {chrom_sql()} AS chrom, pos, CASE WHEN map IS NULL OR isnan(map) OR map < 0 OR map >= 400 THEN NULL ELSE map END AS m FROM reference_file) SELECT chrom, min(pos) AS pos_min, max(pos) AS pos_max, min(m) AS map_min, max(m) AS map_max, min(CASE WHEN m IS NOT NULL THEN pos * CAST(1e-6 AS DOUBLE) END) AS even_min, max(CASE WHEN m IS NOT NULL THEN pos * CAST(1e-6 AS DOUBLE) END) AS even_max FROM m GROUP BY 1"),
     "quantile_bins": (
         quantile_bins,
         f"WITH {_GENE}, c AS (SELECT quantile_cont(n, 0.2) AS q1, quantile_cont(n, 0.4) AS q2, quantile_cont(n, 0.6) AS q3, quantile_cont(n, 0.8) AS q4 FROM g), k AS (SELECT n, 1 + CASE WHEN n > q1 THEN 1 ELSE 0 END + CASE WHEN n > q2 THEN 1 ELSE 0 END + CASE WHEN n > q3 THEN 1 ELSE 0 END + CASE WHEN n > q4 THEN 1 ELSE 0 END AS bin FROM g, c) SELECT bin, count(*) AS genes, min(n) AS lo, max(n) AS hi FROM k GROUP BY 1",
