@@ -18,7 +18,9 @@ from strandline.plans.scan import block_of_hot, running_sum
 from strandline.states import StateSpace
 
 
-def test_quantiles_are_exact(spark):
+@pytest.mark.parametrize("most", [0, 65_536])
+def test_quantiles_are_exact(spark, monkeypatch, most):
+    monkeypatch.setattr("strandline.plans.quantiles.MOST_VALUES", most)
     rng = random.Random(1)
     vals = [rng.choice([0.0, 1e-300, -5.0, rng.lognormvariate(0, 40), float(rng.randint(0, 9))]) for _ in range(3000)] + [7.5] * 1000
     df = spark.createDataFrame([(v,) for v in vals] + [(None,), (float("nan"),)], "v double")
