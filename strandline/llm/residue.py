@@ -38,11 +38,13 @@ _LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8
 # ---------------------------------------------------------------------------------------------------------------
 # Weak labels, evaluated on the bounded training sample. Scores are the model's; of what it finds, MENTIONS alone are checked.
 
+#: Words that ask for an entry.
+_ASKED = "your|insert|enter|add|paste|fill in|type|name|hier|bitte|ins[ée]rer|indiquer|compl[ée]ter|ajouter|insertar|indicar|completar|escribir|su|votre|ihr|todo|tbd"
 #: Shapes of slots that were never filled, or filled with an empty value.
 SLOTS = [
     r"\{\{\s*[\w .\-]+\s*\}\}", r"\[\[\s*[\w .\-]+\s*\]\]", r"<%=?\s*[\w .\-]+\s*%>", r"[$#]\{\s*[\w .\-]+\s*\}", r"%\(\w+\)[sdf]",
     r"\{%\s*\w+[^%]*%\}", r"@@\w+@@", r"\$[A-ZÀ-Ü_]{3,}\$", r"«\s*[\w .\-]+\s*»", r"&lt;\s*[\w .\-]+\s*&gt;", r"(?<![\w(])\{\d+\}", r"(?:^|[\s(])\{[a-zà-ü][\wà-ü ]{2,30}\}(?=[\s,.;:%)]|$)", r"__[A-Z]{3,}__", r"(?<!\w)_{4,}(?!\w)", r"(?:^|\s)%[sd]\b", r"%[A-Z_]{4,}%",
-    r"<(?:your|insert|enter|add|paste|name|votre|su|ihr)\b[^<>]{0,40}>", r"\[(?:your|insert|enter|add|paste|fill in|type|hier|bitte|ins[ée]rer|indiquer|compl[ée]ter|insertar|indicar|completar|escribir|su|votre|ihr|todo|tbd)\b[^\]\n]{0,60}\]",
+    rf"<(?:{_ASKED})\b[^<>]{{0,60}}>", rf"\[(?:{_ASKED})\b[^\]\n]{{0,60}}\]",
     r"\bXX+(?:\.X+)?\b", r"\[object Object\]", r"#REF!", r"#N/A\b", r"#VALUE!", r"(?::|\bwas|\bon|\bis|\bby|\bto|\bof|\bfor|\bvon|\bde)\s(?:None|NaN|undefined|null|NULL|nil)\b", r"\b(?:None|NaN|undefined|null)-fold\b", r"<!--[^>]{0,80}-->",
 ]
 #: Instructions to the writer.
@@ -72,7 +74,7 @@ _STATUS = (
 #: Error and refusal pages: status lines and their usual sentences.
 ERRORS = [
     rf"^(?:(?:http|error|fehler|erreur)[ :\-–]*)?(?:\(?[45]\d\d\)?)?[ :\-–.]*(?:{_STATUS})[ .!]*(?:\([45]\d\d\))?[ .!]*(?:request id .*)?$", rf"\b(?:http|error|fehler|erreur)\s*[45]\d\d\b", rf"^[45]\d\d[ :\-–]+(?:{_STATUS})", rf"^(?:{_STATUS}) \([45]\d\d\)", rf"<(?:title|h1)>[^<]*(?:{_STATUS})",
-    r"\brequest id [0-9a-f]{4,}\b", r"\btraceback \(most recent call last\)", r"\b(?:requested|angeforderte|demandée|solicitada)\b[^.]{0,40}\b(?:not be found|existiert nicht|n'existe pas|no existe|does not exist)\b", r"\bpage you are looking for\b", r"\bcould not (?:connect to|load this)\b", r"\btoo many connections\b", r"^template error\b",
+    r"\brequest id [0-9a-f]{4,}\b", r"\bsession has expired\b", r"\btraceback \(most recent call last\)", r"\b(?:requested|angeforderte|demandée|solicitada)\b[^.]{0,40}\b(?:not be found|existiert nicht|n'existe pas|no existe|does not exist)\b", r"\bpage you are looking for\b", r"\bcould not (?:connect to|load this)\b", r"\btoo many connections\b", r"^template error\b",
     r"\b(?:query|request) (?:did not finish|timed out)\b", r"\bexceeded your rate limit\b", r"\bslow down and retry\b", r"\byou (?:must|need to) be (?:signed|logged) in\b", r"\bsie sind nicht angemeldet\b", r"\bmelden sie sich (?:erneut )?an\b", r"\b(?:down for|under|en|in) (?:maintenance|wartung|mantenimiento)\b",
     r"\binvalid response from the upstream\b", r"\bhas been removed by its owner\b", r"\b(?:record|page|report) (?:has been removed|is no longer available)\b", r"\bsearch returned no results\b", r"\bcheck the spelling and try again\b", r"\b(?:try again later|später erneut|réessayer plus tard|réessayez plus tard|inténtelo de nuevo)\b",
     r"\breload the page or go back\b", r"\bfile is empty or truncated\b", r"\byou (?:do not|don't) have permission\b", r"\bvous n'êtes pas (?:autorisé|connecté)\b", r"\bno tiene permiso\b|\bno ha iniciado sesión\b", r"\bserver(?: is|s are)? (?:currently )?(?:unavailable|overloaded)\b", r"\ban? (?:unexpected|internal) error (?:has )?occurred\b",
@@ -353,7 +355,7 @@ class Training:
     other: int = 5_000  #: other segments by hash
     near: int = 5_000  #: other segments, by hash, that hold a string of the patterns
     seeds: int = 12  #: examples made from each pattern
-    l2: float = 1e-4
+    l2: float = 3e-5
     rounds: int = 60
     seed: int = 0
 
