@@ -20,8 +20,9 @@ def class_freqs(sfs: DataFrame, pops: Sequence[str]) -> DataFrame:
 
 
 def _mean(x: Column) -> Column:
+    """Mean weighted by n_snps. Terms are added as decimals, so the order of rows never changes the result (totals stay below 1e20)."""
     w = F.when(x.isNotNull(), F.col("n_snps"))
-    return F.sum(x * w) / F.nullif(F.sum(w), F.lit(0))
+    return F.sum((x * w).cast("decimal(38,18)")).cast("double") / F.nullif(F.sum(w), F.lit(0))
 
 
 def pi_table(freqs: DataFrame, pops: Sequence[str], target: str = "target", by: Sequence[str] = ("rep", "sex_chrom")) -> DataFrame:
