@@ -7,12 +7,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.likelihood import call_likelihood, genotype_haploid, genotype_heterozygous, genotype_homozygous, log_read_likelihood, safe_ln
 from strandline.numeric import expm, maximise_bounded, stationary
+from strandline.operators.hmm_pass import em_sums, pack
 from strandline.plans.tables import materialise
 from strandline.states import StateSpace
 
@@ -290,20 +290,6 @@ def transition_counts(bins: DataFrame, keys: Sequence[str], order: str, params:
     return per_sequence(bins, keys, order, fn, "i int, j int, xi double")
 
 
-def e_step(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, names: Sequence[str], haploid: Sequence[str] = ()) -> DataFrame:
-    """(keys, order, one posterior column per state, ll, n_states, xi): one pass per sequence; log-likelihood, number of states and
-    expected transitions (row by row) stand at its first bin."""
-    choose = _chooser(params, keys, haploid)
-
-    def fn(k: tuple, o: np.ndarray, e: np.ndarray) -> pd.DataFrame:
-        t, s, n = choose(k)
-        p = forward_backward(e[:, :n], t, s)
-        first = lambda v: [v, *[None] * (len(o) - 1)]
-        return pd.DataFrame({order: o, **_gamma_columns(p, names), "ll": first(p.ll), "n_states": pd.array(first(n), "Int32"), "xi": first(expected_transitions(e[:, :n], t, p).ravel().tolist())})
-
-    return per_sequence(bins, keys, order, fn, f"{order} {bins.schema[order].dataType.simpleString()}, " + ", ".join(f"`{n}` double" for n in names) + ", ll double, n_states int, xi array<double>")
-
-
 def posterior_runs(bins: DataFrame, keys: Sequence[str], order: str, params: HmmParams, space: StateSpace, replicates: int, seed: int = 0, haploid: Sequence[str] = ()) -> DataFrame:
     """(keys, it, state, start, len): haplotype runs of ``replicates`` paths drawn from the posterior, seeded per sequence.
     Haploid sequences have one strand."""
@@ -449,43 +435,32 @@ def fit_hmm(
     called genotypes, and contamination is not estimated. From the fourth iteration on, contamination is updated every
     ``freq_cont``th time and inbreeding and drift every ``freq_f``th; an update that moves nothing by ``still`` is the last.
 
-    The inputs are materialised once; each iteration builds its plan from them with new literals, so plans stay of
-    constant size, and brings back only sums per transition, per (library, p_cont) and per distinct panel count. What an
-    iteration reads twice is kept on the executors' disks until its end.
+    The inputs are materialised once, and packed once per sequence; each iteration is one job of one stage over the packed
+    rows (``hmm_pass``) and brings back only sums per transition, per (library, p_cont) and per distinct panel count.
     """
     obs, snps, bins = materialise(obs), materialise(snps), materialise(bins)
-    site, one = [*keys, "bin", "pos"], is_haploid(haploid)
+    packed = pack(obs, snps, bins, space, keys, prior, calls)
     cont_on, f_on = (est_cont or est_error) and not calls, est_f or est_tau
     lls: list[float] = []
     while True:
-        states = state_genotypes(space, params.f, params.tau, prior, one)
-        lik = snp_log_likelihood(obs, site, "p_cont", _per_lib(params.cont, F.col("lib")), _per_lib(params.error, F.col("lib")), calls)
-        with_reads = snps.join(lik, site).persist(StorageLevel.DISK_ONLY)
-        e = complete_bins(bins, bin_log_emissions(with_reads, [*keys, "bin"], states), [*keys, "bin"], space.n)
-        post = e_step(e, keys, "bin", params, space.names, haploid).persist(StorageLevel.DISK_ONLY)
-        sums = post.where("ll is not null").select("ll", "n_states", (one if haploid else F.lit(False)).alias("hap"), F.posexplode("xi").alias("k", "xi"))
-        sums = sums.groupBy("hap", "k").agg(F.sum("ll").alias("ll"), F.sum("xi").alias("xi")).orderBy("hap", "k").toPandas()
-        lls.append(float(sums.groupby("hap")["ll"].first().sum()))
+        it = len(lls)
+        now_cont, now_f = cont_on and (it < 3 or it % freq_cont == 0), f_on and (it < 3 or it % freq_f == 0)
+        sums, reads, drift = em_sums(packed, space, params, keys, haploid, calls, now_cont, now_f)
+        lls.append(float(sum(v[0] for v in sums.values())))
         converged = len(lls) > 1 and abs(lls[-1] - lls[-2]) < tol
         if converged or len(lls) > max_iter:
-            e = materialise(e)
-            post.unpersist()
-            with_reads.unpersist()
-            return HmmFit(params, lls, e, converged)
-        old, it = params, len(lls) - 1
-        now_cont, now_f = cont_on and (it < 3 or it % freq_cont == 0), f_on and (it < 3 or it % freq_f == 0)
-        if now_cont or now_f:
-            pg = posterior_genotypes(with_reads, post, [*keys, "bin"], states, space.names)
-            if now_cont:
-                params = update_contamination(contamination_stats(obs, pg, site).toPandas(), params, est_error, est_cont)
-                cont_on = max(abs(a[k] - b[k]) for a, b in ((params.cont, old.cont), (params.error, old.error)) for k in a) >= still
-            if now_f:
-                params = update_drift(drift_stats(pg, space, prior, haploid).toPandas(), params, space, est_f, est_tau)
-                f_on = max(abs(a - b) for a, b in zip((*params.f, *params.tau), (*old.f, *old.tau))) >= still
-        post.unpersist()
-        with_reads.unpersist()
+            site, states = [*keys, "bin", "pos"], state_genotypes(space, params.f, params.tau, prior, is_haploid(haploid))
+            lik = snp_log_likelihood(obs, site, "p_cont", _per_lib(params.cont, F.col("lib")), _per_lib(params.error, F.col("lib")), calls)
+            e = complete_bins(bins, bin_log_emissions(snps.join(lik, site), [*keys, "bin"], states), [*keys, "bin"], space.n)
+            return HmmFit(params, lls, materialise(e), converged)
+        old = params
+        if now_cont:
+            params = update_contamination(reads, params, est_error, est_cont)
+            cont_on = max(abs(a[k] - b[k]) for a, b in ((params.cont, old.cont), (params.error, old.error)) for k in a) >= still
+        if now_f:
+            params = update_drift(drift, params, space, est_f, est_tau)
+            f_on = max(abs(a - b) for a, b in zip((*params.f, *params.tau), (*old.f, *old.tau))) >= still
         if est_trans:
-            xi = {h: x["xi"].to_numpy() for h, x in sums.groupby("hap")}
-            start, trans = updated_transitions(xi[False], old.trans) if False in xi else (old.start, old.trans)
-            start_hap, trans_hap = updated_transitions(xi[True], old.trans_hap) if True in xi else (old.start_hap, old.trans_hap)
+            start, trans = updated_transitions(sums["two"][1:], old.trans) if "two" in sums else (old.start, old.trans)
+            start_hap, trans_hap = updated_transitions(sums["hap"][1:], old.trans_hap) if "hap" in sums else (old.start_hap, old.trans_hap)
             params = replace(params, trans=trans, start=start, trans_hap=trans_hap, start_hap=start_hap)

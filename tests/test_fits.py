@@ -1,6 +1,80 @@
 """Results that must not depend on how rows are spread, and fits that run in few jobs."""
 
+from dataclasses import replace
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from strandline.operators import fstats as FS
+from strandline.operators import hmm as H
+from strandline.operators import hmm_pass as HP
+from strandline.states import StateSpace
+
+
+def jobs(spark, f):
+    """Result of ``f`` and the number of its Spark jobs."""
+    import uuid
+
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        return f(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+SPACE = StateSpace(("A", "B"))
+
+
+def reads(spark):
+    """Two chromosomes, X with few bins, of bins without sites, sites without reads and sites of one or two libraries."""
+    rng = np.random.default_rng(7)
+    bins = [(c, b) for c, n in (("1", 90), ("X", 11)) for b in range(n)]
+    sites = [(c, b, 100 * b + i, *map(int, rng.integers(0, 5, 4))) for c, b in bins if b % 7 for i in range(b % 3 + 1)]
+    obs = [(c, b, pos, lib, int(rng.integers(0, 4)), int(rng.integers(0, 4)), float(rng.choice([0.05, 0.3, 0.8]))) for c, b, pos, *_ in sites if pos % 5 for lib in ("l", "m")[: 1 + pos % 2]]
+    o = spark.createDataFrame(obs, "chrom string, bin int, pos int, lib string, tref int, talt int, p_cont double")
+    s = spark.createDataFrame(sites, "chrom string, bin int, pos int, A_alt int, A_ref int, B_alt int, B_ref int")
+    return o, s, spark.createDataFrame(bins, "chrom string, bin int")
+
+
+@pytest.mark.parametrize("calls", [False, True])
+def test_packed_pass_equals_the_expressions(spark, calls, monkeypatch):
+    monkeypatch.setattr(HP, "CHUNK", 32)
+    obs, snps, bins = reads(spark)
+    hap, site = ("X",), ["chrom", "bin", "pos"]
+    p = replace(H.HmmParams.initial(SPACE, ["l", "m"], off=0.1, f=0.2, tau=-0.5), cont={"l": 0.1, "m": 0.3}, error={"l": 0.02, "m": 0.04})
+    sums, by_read, drift = HP.em_sums(HP.pack(obs, snps, bins, SPACE, ["chrom"], 0.5, calls), SPACE, p, ["chrom"], hap, calls, True, True)
+    states = H.state_genotypes(SPACE, p.f, p.tau, 0.5, H.is_haploid(hap))
+    lik = snps.join(H.snp_log_likelihood(obs, site, "p_cont", H._per_lib(p.cont, F.col("lib")), H._per_lib(p.error, F.col("lib")), calls), site)
+    e = H.complete_bins(bins, H.bin_log_emissions(lik, ["chrom", "bin"], states), ["chrom", "bin"], SPACE.n)
+    ll = {r.chrom: r.ll for r in H.sequence_ll(e, ["chrom"], "bin", p, hap).collect()}
+    assert np.allclose([sums["two"][0], sums["hap"][0]], [ll["1"], ll["X"]], rtol=1e-10)
+    xi = H.transition_counts(e, ["chrom"], "bin", p, hap).orderBy("i", "j").toPandas()
+    for chrom, kind in (("1", "two"), ("X", "hap")):
+        assert np.allclose(sums[kind][1:], xi[xi["chrom"] == chrom]["xi"], atol=1e-8)
+    pg = H.posterior_genotypes(lik, H.decode(e, ["chrom"], "bin", p, SPACE.names, hap), ["chrom", "bin"], states, SPACE.names)
+    want = H.drift_stats(pg, SPACE, 0.5, hap).toPandas().sort_values(["source", "a", "b"])
+    assert np.allclose(drift.sort_values(["source", "a", "b"]).iloc[:, 1:].astype(float), want.iloc[:, 1:].astype(float), atol=1e-8)
+    if not calls:
+        want = H.contamination_stats(obs, pg, site).toPandas().sort_values(["lib", "p_cont", "g"])
+        assert np.allclose(by_read.sort_values(["lib", "p_cont", "g"]).iloc[:, 1:].astype(float), want.iloc[:, 1:].astype(float), atol=1e-8)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 1003])
+def test_blocked_recursions_equal_the_plain_ones(n):
+    rng = np.random.default_rng(n)
+    e, t = rng.normal(0, 3, (n, 3)), np.array(((0.9, 0.06, 0.04), (0.1, 0.8, 0.1), (0.02, 0.03, 0.95)))
+    want = H.forward_backward(e, t, np.array((0.2, 0.5, 0.3)))
+    alpha, beta, norm = HP.forward_backward(H.scaled(e)[0], t, np.array((0.2, 0.5, 0.3)))
+    assert np.allclose(alpha, want.alpha) and np.allclose(beta, want.beta) and np.allclose(norm, want.norm)
+
+
+def test_an_iteration_of_the_hmm_is_one_job(spark):
+    fit = lambda n: jobs(spark, lambda: H.fit_hmm(*reads(spark), SPACE, H.HmmParams.initial(SPACE, ["l", "m"]), max_iter=n, tol=0.0, est_error=True, est_tau=True))
+    (few, n_few), (more, n_more) = fit(1), fit(5)
+    assert len(more.ll) - len(few.ll) == 4 and n_more - n_few == 4
+    assert few.ll == pytest.approx(more.ll[:2])
 
 
 def test_f_statistics_do_not_depend_on_row_order(spark):
