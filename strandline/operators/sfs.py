@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import likelihood as L
 from strandline.numeric import squarem_step
+from strandline.operators.sfs_pass import em_sums, pack
 from strandline.operators.sites import polarize
 from strandline.plans.quantiles import quantiles
 from strandline.plans.tables import materialise
@@ -163,21 +164,33 @@ def em_step(data: DataFrame, params: Mapping[str, SfsParams], on: SfsUpdates, ce
 
     ``cells`` are the ``read_cells`` of ``data``, where they are at hand.
     """
+    s = class_stats(site_posteriors(data, params)).toPandas()
+    x = None
+    if on.cont or on.error:
+        reads = read_posteriors(data if cells is None else cells, params)
+        x = reads.groupBy("rep", "rg").agg(F.sum(F.col("n") * F.col("post_c")).alias("c"), F.sum("n").alias("n"), *_error_sums()).toPandas()
+    return _m_step(params, on, s, x)
+
+
+def _m_step(params: Mapping[str, SfsParams], on: SfsUpdates, s: pd.DataFrame, x: pd.DataFrame | None) -> dict[str, SfsParams]:
+    """New parameters from sums per class (g0, g1, g2, ll) and, where needed, per read group (c, n, err, ok, bias, nobias)."""
     new = {r: SfsParams(dict(p.cont), dict(p.tau), dict(p.f), p.e, p.b) for r, p in params.items()}
-    s = class_stats(site_posteriors(data, params)).withColumn("__t", F.struct(*[x.alias(n) for n, x in zip(("t", "f"), tau_f_update(F.col("g0"), F.col("g1"), F.col("g2")))])).toPandas()
     for r, p in new.items():
         own = s[s["rep"] == r]
         p.ll = float(own["ll"].sum())
-        for k, v in zip(own["sfs"], own["__t"]):
-            if on.tau and v["t"] is not None:
-                p.tau[int(k)] = float(np.clip(v["t"], EPS, 1 - EPS))
-            if on.tau and on.f:
-                p.f[int(k)] = p.f[int(k)] if v["f"] is None else float(np.clip(v["f"], EPS, 1 - EPS))
-    if on.cont or on.error:
-        reads = read_posteriors(data if cells is None else cells, params)
-        x = reads.groupBy("rep", "rg").agg(F.sum(F.col("n") * F.col("post_c")).alias("c"), F.sum("n").alias("n"), *_error_sums()).toPandas()
+        for k, g0, g1, g2 in own[["sfs", "g0", "g1", "g2"]].itertuples(index=False):
+            n = g0 + g1 + g2
+            if not n > 0:
+                continue
+            t = (g1 / 2 + g2) / n
+            het = 2 * t * (1 - t) * n
+            if on.tau:
+                p.tau[int(k)] = float(np.clip(t, EPS, 1 - EPS))
+            if on.tau and on.f and het != 0:
+                p.f[int(k)] = float(np.clip(1 - g1 / het, EPS, 1 - EPS))
+    if x is not None:
         if on.cont:
-            for row in x.itertuples():
+            for row in x[x["n"] > 0].itertuples():
                 new[row.rep].cont[row.rg] = float(row.c / row.n)
         if on.error:
             for rep, row in x.groupby("rep")[["err", "ok", "bias", "nobias"]].sum().iterrows():
@@ -219,17 +232,18 @@ def fit_sfs(
     """EM for all replicates in lockstep, with squared extrapolation that is kept only where the likelihood rises.
 
     A replicate leaves when its own log-likelihood changes by less than ``ll_tol``; ``converged`` is false for those that
-    ``max_iter`` ends. ``data`` (and its ``read_cells``) are materialised once; plans don't grow with iterations. With
-    ``calls`` it has one called genotype per site (genotype mode). Returns parameters and the log-likelihoods of replicate
-    '0' (or the first).
+    ``max_iter`` ends. ``data`` is read twice, to count and to pack it in blocks; a step is then one job of one stage over the
+    blocks (``sfs_pass``). With ``calls`` it has one called genotype per site (genotype mode) and is materialised once. Returns
+    parameters and the log-likelihoods of replicate '0' (or the first).
     """
-    data = materialise(data)
-    cells = None if calls else materialise(read_cells(data))
+    data = materialise(data) if calls else pack(data)
     first = "0" if "0" in params else next(iter(params))
 
     def step(p: Mapping[str, SfsParams]) -> dict[str, SfsParams]:
-        own = data.where(F.col("rep").isin(*p))
-        return call_em_step(own, p, on, random_read) if calls else em_step(own, p, on, cells.where(F.col("rep").isin(*p)))
+        if calls:
+            return call_em_step(data.where(F.col("rep").isin(*p)), p, on, random_read)
+        s, x = em_sums(data, p, on.cont or on.error)
+        return _m_step(p, on, s, x if on.cont or on.error else None)
 
     cur, done, last, lls = dict(params), {}, {}, []
     for _ in range(max_iter):

@@ -13,6 +13,7 @@ from strandline.operators import hmm as H
 from strandline.operators import sfs as M
 from strandline.operators import sites as S
 from strandline.operators import tracts as T
+from strandline.plans.tables import materialise
 from strandline.sources.sinks import interval, params_yaml, write_table, write_vcf
 from strandline.sources.text import load_counts
 from strandline.states import StateSpace
@@ -220,7 +221,7 @@ def sfs_data(panel: DataFrame, counts: DataFrame, c: SfsConfig) -> DataFrame:
 def run_sfs(panel: DataFrame, counts: DataFrame, config: SfsConfig = SfsConfig()) -> dict[str, DataFrame]:
     """Tables of the conditional SFS model: pars (with jackknife errors), sfs, cont, snp, f2, f3, f4, and the rows of a VCF."""
     c = config
-    base = sfs_data(panel, counts, c)
+    base = materialise(sfs_data(panel, counts, c))
     data = M.jackknife(base, c.jackknife) if c.jackknife else base
     ks = data.select("rg").distinct().collect(), data.select("sfs").distinct().collect()  # read groups and classes are few
     one = M.SfsParams({r[0]: c.cont0 for r in ks[0]}, {r[0]: c.tau0 for r in ks[1]}, {r[0]: c.f0 for r in ks[1]}, c.e0, c.b0)

@@ -11,6 +11,7 @@ from strandline.operators import fstats as FS
 from strandline.operators import sfs as M
 from strandline.operators import sites as S
 from strandline.plans import fixture as X
+from strandline.plans.tables import materialise
 from strandline.queries.sites import _FLIP, FX
 
 CONT, E, B, INB = {"lib0": 0.05, "lib1": 0.1, "lib2": 0.2}, 0.01, 0.02, 0.2
@@ -35,7 +36,7 @@ def r(c, n=6):
 
 
 def sfs_em_fit(spark, d):
-    x, p0 = data(spark, d), params(spark, d)["0"]
+    x, p0 = materialise(data(spark, d).drop("NEA_der", "sex_chrom")), params(spark, d)["0"]
     x = M.jackknife(x, 3)
     fits, lls = M.fit_sfs(x, {str(k): M.SfsParams(dict(p0.cont), dict(p0.tau), dict(p0.f), p0.e, p0.b) for k in range(4)})
     f = M.to_frame(fits)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from strandline.operators import fstats as FS
 from strandline.operators import hmm as H
 from strandline.operators import hmm_pass as HP
+from strandline.operators import sfs as M
+from strandline.operators import sfs_pass as MP
 from strandline.states import StateSpace
 
 
@@ -85,3 +87,40 @@ def test_f_statistics_do_not_depend_on_row_order(spark):
         x = FS.f2(FS.pi_table(FS.class_freqs(d, pops), pops), [*pops, "target"])
         got.add(tuple(sorted((r["A"], r["B"], r["f2"]) for r in x.collect())))
     assert len(got) == 1
+
+
+def sfs_reads(spark):
+    """Two replicates of sites with one to three read groups, flipped and haploid ones, one without psi and one without reads."""
+    rng = np.random.default_rng(5)
+    rows = [
+        (r, s, s % 3, g, None if s == 7 else float(rng.choice([0.0, 0.25, 1.0])), bool(s % 2), s % 5 == 0, *(0 if s == 8 else int(x) for x in rng.integers(0, 6, 2)))
+        for r in "01"
+        for s in range(60)
+        if r == "0" or s % 4
+        for g in ("r0", "r1", "r2")[: s % 3 + 1]
+    ]
+    return spark.createDataFrame(rows, "rep string, snp long, sfs int, rg string, psi double, flipped boolean, haploid boolean, ref long, alt long")
+
+
+def sfs_start():
+    return {r: M.SfsParams({"r0": 0.1, "r1": c, "r2": 0.4}, {0: 0.3, 1: t, 2: 0.0}, {0: 0.1, 1: 0.6, 2: 0.2}, 0.02, 0.03) for r, c, t in (("0", 0.2, 0.5), ("1", 0.3, 0.9))}
+
+
+@pytest.mark.parametrize("bias", [True, False])
+def test_packed_sfs_step_equals_the_expressions(spark, bias, monkeypatch):
+    monkeypatch.setattr(MP, "BLOCK", 40)
+    d, p, on = sfs_reads(spark), sfs_start(), M.SfsUpdates(bias=bias)
+    packed = MP.pack(d)
+    assert packed.count() > 2
+    got, want = M._m_step(p, on, *MP.em_sums(packed, p, True)), M.em_step(d, p, on)
+    for r in p:
+        assert got[r].ll == pytest.approx(want[r].ll, rel=1e-10)
+        assert np.allclose(got[r].vector(), want[r].vector(), atol=1e-10)
+    only = MP.em_sums(packed, {"1": p["1"]}, False)
+    assert set(only[0]["rep"]) == {"1"} and not len(only[1])
+
+
+def test_a_step_of_the_sfs_is_one_job(spark):
+    fit = lambda n: jobs(spark, lambda: M.fit_sfs(sfs_reads(spark), sfs_start(), max_iter=n, ll_tol=0.0, accelerate=False))
+    (_, few), (_, more) = fit(1), fit(5)
+    assert more - few == 4
