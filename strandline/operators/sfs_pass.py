@@ -51,7 +51,8 @@ def pack(data: DataFrame) -> DataFrame:
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
     packed = rows.repartition(tasks, "rep", "block").groupBy("rep", "block").applyInArrow(run, "rep string, x binary")
-    return materialise(packed.repartition(max(spark.sparkContext.defaultParallelism, parts)))
+    # few tasks a step, each of at most 16 blocks on average
+    return materialise(packed.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-parts // 16))))
 
 
 def _params(d: dict, p: SfsParams) -> tuple[np.ndarray, ...]:
